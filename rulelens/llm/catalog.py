@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from rulelens.llm import mixing, url_rules
+from rulelens.llm import chat, mixing, quality, secret_ledger, url_rules
 
-_ALL = {"op1_mixing": mixing, "op5_url_rules": url_rules}
+_ALL = {
+    "op1_mixing": mixing,
+    "op5_url_rules": url_rules,
+    "op8_quality_rules": quality,
+    "op9_chat_windows": chat,
+    "op10_secret_ledger": secret_ledger,
+}
 
 
 def queries() -> dict:
