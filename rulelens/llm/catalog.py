@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from rulelens.llm import bpe, chat, mixing, quality, secret_ledger, set_join, token_counts, url_rules
+from rulelens.llm import bpe, chat, mixing, quality, secret_ledger, set_join, token_counts, url_rules, vector_search
 
 _ALL = {
     "op1_mixing": mixing,
     "op3_bpe": bpe,
+    "op4_vector_search": vector_search,
     "op5_url_rules": url_rules,
     "op6_set_join": set_join,
     "op7_token_counts": token_counts,
