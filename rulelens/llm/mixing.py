@@ -55,27 +55,17 @@ def _boundary(rows: DataFrame, budgets: DataFrame, shift: int) -> DataFrame:
     return cut.withColumn("_first", first).where("_first = 1").select("_source", "bucket", (F.col("need") - (F.col("running") - F.col("words"))).alias("need"), "words", "low", "high")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: tuple[int, ...] = (1, 2, 3), cap: int = 3, share: float = 1.0) -> DataFrame:
-    """How often each document goes into the mix.
+def _named(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
 
-    Returns one row per input row: doc_id, size, source_size, target, taken, copies, source and key. ``copies``
-    is at most ``cap``. Whole documents are taken, so a source misses its target by half its boundary document
-    at most; rows equal in id and text share a hash and are taken or left together. A null source is a source
-    of its own; a null or empty text has size 0, never counts and is never taken beyond its source's whole
-    rounds; an empty table gives no rows. Other columns are ignored.
-    """
-    sized = save(
-        docs.select(
-            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
-            hash60(F.col(id_col), F.col(text_col)).alias("key"),
-        ).withColumn("_source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))),
-        "mix-sized",
-    )
+
+def thresholds(sized: DataFrame, cycle: tuple[int, ...], cap: int, share: float) -> DataFrame:
+    """One row a source: _source, source_size, target, rounds, and threshold (null: no part round)."""
     totals = sized.groupBy("_source").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     targets = source_targets(totals.select("source", "source_size"), cycle, cap, share)
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = save(
-        targets.withColumn("_source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))).withColumn("rounds", rounds)
+        targets.withColumn("_source", _named(F.col("source"))).withColumn("rounds", rounds)
         .withColumn("rest", F.col("target") - F.col("rounds") * F.col("source_size")).drop("source"),
         "mix-plan",
     )
@@ -83,8 +73,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     for k in range(1, ROUNDS + 1):
         shift = BITS * (ROUNDS - k)
         edge = save(_boundary(rows, budgets, shift), "mix-edge")
-        done = edge.where("low = high")
-        found.append(done)
+        found.append(edge.where("low = high"))
         budgets = edge.where("low < high").select("_source", "need")
         if k == ROUNDS or budgets.isEmpty():
             break
@@ -95,22 +84,49 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         ends = ends.unionByName(x)
     # The boundary hash is taken if that brings the source nearer to its target.
     ends = ends.select("_source", F.when(F.col("need") * 2 >= F.col("words"), F.col("low")).otherwise(F.col("low") - 1).alias("threshold"))
-    plan = save(plan.join(ends, "_source", "left"), "mix-thresholds")
-    copies = (F.col("rounds") + F.when(F.col("key") <= F.col("threshold"), 1).otherwise(0)).cast("int")
+    return save(plan.join(ends, "_source", "left"), "mix-thresholds")
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
+        hash60(F.col(id_col), F.col(text_col)).alias("key"),
+    )
+    return save(rows.withColumn("_source", _named(F.col("source"))), "mix-sized")
+
+
+def _copies() -> Column:
+    return (F.col("rounds") + F.when(F.col("key") <= F.col("threshold"), 1).otherwise(0)).cast("int")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: tuple[int, ...] = (1, 2, 3), cap: int = 3, share: float = 1.0) -> DataFrame:
+    """How often each document goes into the mix.
+
+    Returns one row per input row: doc_id, size, source_size, target, taken, copies, source and key. ``copies``
+    is at most ``cap``. Whole documents are taken, so a source misses its target by half its boundary document
+    at most; rows equal in id and text share a hash and are taken or left together. A null source is a source
+    of its own; a null or empty text has size 0, never counts and is never taken beyond its source's whole
+    rounds; an empty table gives no rows. Other columns are ignored.
+    """
+    sized = _sized(docs, id_col, text_col, source_col)
+    plan = thresholds(sized, cycle, cap, share)
     return (
-        checked_join(sized, plan, ["_source"]).withColumn("copies", copies)
+        checked_join(sized, plan, ["_source"]).withColumn("copies", _copies())
         .select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source", "key")
     )
 
 
-def take(docs: DataFrame, **options) -> DataFrame:
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: tuple[int, ...] = (1, 2, 3), cap: int = 3, share: float = 1.0) -> DataFrame:
     """The mixed documents: each row of ``docs`` as often as ``mix`` takes it, with its own columns.
 
-    Rows are matched to their decision by the hash of id and text, one decision a hash.
+    Rows are filtered by their hash and their source's threshold where they are read; no text is shuffled.
     """
-    named = docs.withColumn("_key", hash60(F.col(options.get("id_col", "doc_id")), F.col(options.get("text_col", "text")))).withColumn("_of", F.coalesce(F.concat(F.lit("="), options.get("source_col", "source")), F.lit("null")))
-    decided = mix(docs, **options).where("copies > 0").groupBy(F.col("key").alias("_key"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("_of")).agg(F.max("copies").alias("_copies"))
-    return named.join(decided, ["_key", "_of"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    plan = thresholds(_sized(docs, id_col, text_col, source_col), cycle, cap, share).select("_source", "rounds", "threshold")
+    aside = F.struct(*[docs[c] for c in docs.columns]).alias("_doc")  # names of the input can't clash
+    keyed = docs.select(aside, hash60(docs[id_col], docs[text_col]).alias("key"), _named(docs[source_col]).alias("_source"))
+    columns = [F.col("_doc").getField(c).alias(c) for c in docs.columns]
+    dealt = checked_join(keyed, plan, ["_source"], "inner").withColumn("_n", _copies()).where("_n > 0")
+    return dealt.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_n"))).select(*columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulelens.plans.components import components
-from rulelens.plans.joins import checked_join
+from rulelens.plans.joins import BROADCAST_ROWS, checked_join
 from rulelens.plans.scratch import save
 
 #: Members of a part; clusters of at most two parts are one task; small clusters share tasks of so many members.
@@ -355,12 +355,16 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of linked documents, that of the component's doc_id; columns as in ``docs``.
 
-    Rows without a doc_id stay unless they equal a document with one.
+    Rows that share a doc_id are one document, of which one row stays; rows without a doc_id all stay. Rows that
+    stay are not shuffled while the ids of the others can be broadcast.
     """
-    joined = link(docs, n, percent, id_col, text_col)
-    stays = joined.where("component_id <=> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    first = docs.where(F.col(id_col).isNotNull()).join(stays, id_col, "left_semi").dropDuplicates([id_col])
-    return first.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    joined = save(link(docs, n, percent, id_col, text_col).where("doc_id is not null").select(F.col("doc_id").alias(id_col), (F.col("component_id") == F.col("doc_id")).alias("stays")), "join-decided")
+    each = joined.groupBy(id_col).agg(F.count("*").alias("_rows"), F.first("stays").alias("_stays"))
+    odd = save(each.where(~F.col("_stays") | (F.col("_rows") > 1)), "join-dropped")
+    listed = F.broadcast(odd) if odd.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else odd
+    alone = docs.join(listed, id_col, "left_anti")
+    repeated = docs.join(odd.where("_stays"), id_col, "left_semi").dropDuplicates([id_col])
+    return alone.select(*docs.columns).unionByName(repeated.select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
