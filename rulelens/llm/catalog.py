@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from rulelens.llm import bpe, chat, mixing, quality, secret_ledger, set_join, token_counts, url_rules, vector_search
+from rulelens.llm import bpe, chat, mixing, quality, secret_ledger, set_join, site_quality, token_counts, url_rules, vector_search
 
 _ALL = {
     "op1_mixing": mixing,
+    "op2_site_quality": site_quality,
     "op3_bpe": bpe,
     "op4_vector_search": vector_search,
     "op5_url_rules": url_rules,
