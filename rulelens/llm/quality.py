@@ -2,8 +2,8 @@
 
 Normalised lines are hashed and counted over the distinct documents of a host. Copies of a document are one
 document here: those that share a sketch (the least hash of their three-word windows) are a family, and a line
-is above its limit if it stands in more families of its host than the limits allow, and its texts are not
-mostly of few families. Lines above the limit are removed; a document that loses most of its words is rejected.
+is above its limit if it stands in more families of its host than the limits allow, and these make a quarter of
+its distinct texts at least (near copies make a tenth or so). Lines above the limit are removed; a document that loses most of its words is rejected.
 Distinct lines are summed per (host, line, family) before they meet per line, so a line that half a host repeats
 is spread over its families.
 """
@@ -78,7 +78,7 @@ def frequent_lines(digests: DataFrame, min_docs: int, min_share: float) -> DataF
     """(host, line hash) of lines above the limits."""
     each = digests.select("_host", "_sketch", "_text", F.explode(F.array_distinct(F.transform("_lines", lambda x: x["h"]))).alias("_line")).distinct()
     families = each.groupBy("_host", "_line", "_sketch").agg(F.count("*").alias("texts"))
-    lines = families.groupBy("_host", "_line").agg(F.count("*").alias("families"), F.sum("texts").alias("texts")).where((F.col("families") > min_docs) & (F.col("families") * 2 >= F.col("texts")))
+    lines = families.groupBy("_host", "_line").agg(F.count("*").alias("families"), F.sum("texts").alias("texts")).where((F.col("families") > min_docs) & (F.col("families") * 4 >= F.col("texts")))
     hosts = save(digests.groupBy("_host").agg(F.count("*").alias("docs")), "quality-hosts")
     return checked_join(lines, hosts, ["_host"], "inner").where(F.col("families") > F.col("docs") * min_share).select("_host", "_line")
 
