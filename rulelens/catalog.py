@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rulelens.operators import normalizing, tokens
+
 FLAGSHIP = "claims_by_marker"
-MODULES: tuple = ()
+MODULES = (normalizing, tokens)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
