@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rulelens.operators import normalizing, tokens
+from rulelens.operators import lookup, normalizing, tokens
 
 FLAGSHIP = "claims_by_marker"
-MODULES = (normalizing, tokens)
+MODULES = (normalizing, tokens, lookup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
