@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rulelens.operators import lookup, normalizing, tokens
+from rulelens.operators import evaluation, graph, lookup, mining, normalizing, tokens
+from rulelens.streaming import trackers
 
 FLAGSHIP = "claims_by_marker"
-MODULES = (normalizing, tokens, lookup)
+MODULES = (normalizing, tokens, lookup, graph, mining, evaluation, trackers)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
