@@ -49,7 +49,7 @@ def book_pages(spark: SparkSession, path: str) -> DataFrame:
     numbers = F.regexp_extract_all("t", F.lit(mark), F.lit(1))
     texts = F.split("t", mark)
     zipped = F.when(F.size(numbers) == 0, F.array(F.struct(F.lit("1").alias("page"), F.col("t").alias("raw_text")))).otherwise(F.arrays_zip(numbers.alias("page"), F.slice(texts, 2, F.size(numbers)).alias("raw_text")))
-    return whole.select("part", F.explode(zipped).alias("p")).select("part", F.col("p.page").cast("int").alias("page"), F.trim("p.raw_text").alias("raw_text"))
+    return whole.select("part", F.explode(zipped).alias("p")).select("part", F.col("p.page").cast("int").alias("page"), F.regexp_replace("p.raw_text", r"^\s+|\s+$", "").alias("raw_text"))
 
 
 def write_records(df: DataFrame, path: str) -> None:
