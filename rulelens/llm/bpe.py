@@ -11,7 +11,9 @@ never count as agreement; a window that covers both sides needs none.
 from __future__ import annotations
 
 import unicodedata
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,25 +27,46 @@ from rulelens.plans.scratch import save
 LIMIT, WINDOW, GUARD = 32_768, 128, 24
 #: Words whose ids a worker keeps.
 KEPT_WORDS = 400_000
-_known: dict[str, dict[str, list[int]]] = {}
 
 
-def encode_texts(path: str, texts: list[str]) -> list[list[int]]:
+class _Words(dict):
+    """The bytes of each word's ids, encoded when first met."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.encode = tokenizer(path).encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = array("i", self.encode(word, add_special_tokens=False).ids).tobytes()
+        return ids
+
+
+@lru_cache(maxsize=4)
+def _words(path: str) -> _Words:
+    return _Words(path)
+
+
+def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
     """Ids of each text; words of simple texts are encoded once a worker."""
-    t, known = tokenizer(path), _known.setdefault(path, {})
+    known = _words(path)
     if len(known) > KEPT_WORDS:
         known.clear()
-    split = [simple_words(x) if simple(x) else None for x in texts]
-    fresh = list({w for ws in split if ws for w in ws if w not in known})
-    for k in range(0, len(fresh), 4096):
-        some = fresh[k : k + 4096]
-        known.update(zip(some, (e.ids for e in t.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-    whole = iter(t.encode_batch_fast([x for x, ws in zip(texts, split, strict=True) if ws is None], add_special_tokens=False))
-    return [next(whole).ids if ws is None else [i for w in ws for i in known[w]] for ws in split]
+    easy = [simple(x) for x in texts]
+    whole = iter(tokenizer(path).encode_batch_fast([x for x, e in zip(texts, easy, strict=True) if not e], add_special_tokens=False))
+    return [np.frombuffer(b"".join(map(known.__getitem__, simple_words(x))), np.int32) if e else np.array(next(whole).ids, np.int32) for x, e in zip(texts, easy, strict=True)]
+
+
+@lru_cache(maxsize=4)
+def _tokens(path: str) -> np.ndarray:
+    t = tokenizer(path)
+    return np.array([t.id_to_token(k) for k in range(t.get_vocab_size())], object)
 
 
-def decode_ids(path: str, lists: list[list[int]]) -> list[str]:
-    return tokenizer(path).decode_batch(lists, skip_special_tokens=False)
+def decode_ids(path: str, lists: list[np.ndarray]) -> list[str]:
+    """Texts of ids; a file without a decoder joins its tokens by spaces."""
+    if tokenizer(path).decoder is None:
+        return [" ".join(_tokens(path)[x].tolist()) for x in lists]
+    return tokenizer(path).decode_batch([x.tolist() for x in lists], skip_special_tokens=False)
 
 
 class Piece:
@@ -114,10 +137,15 @@ def join_tree(path: str, text: str, pieces: list[Piece]) -> Piece:
     return pieces[0]
 
 
-def _ids_array(lists: list[list[int]]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, lists)])
-    flat = np.fromiter((i for x in lists for i in x), np.int32, int(ends[-1]))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *arrays]).astype(np.int32, copy=False)))
+
+
+def _arrays(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column without nulls, as views of its values."""
+    values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def _encode_whole(path: str):
@@ -125,7 +153,7 @@ def _encode_whole(path: str):
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                ids = _ids_array(encode_texts(path, part.column("_text").to_pylist()))
+                ids = _lists(encode_texts(path, part.column("_text").to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
 
     return run
@@ -134,9 +162,11 @@ def _encode_whole(path: str):
 def _encode_pieces(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                p = Piece(path, row["piece"], 0, len(row["piece"]))
-                yield pa.RecordBatch.from_pylist([{"_row": row["_row"], "k": row["k"], "piece": row["piece"], "ids": p.ids.tolist(), "places": p.places.ravel().tolist()}], _PIECES)
+            for k in range(batch.num_rows):
+                text = batch.column("piece")[k].as_py()
+                p = Piece(path, text, 0, len(text))
+                row = batch.slice(k, 1)
+                yield pa.RecordBatch.from_arrays([row.column("_row"), row.column("k"), row.column("piece"), _lists([p.ids]), _lists([p.places.ravel()])], schema=_PIECES)
 
     return run
 
@@ -147,13 +177,14 @@ _JOINED = pa.schema([("_row", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 def _join_pieces(path: str):
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["k"])
-        text, at, pieces = "".join(r["piece"] for r in rows), 0, []
-        for r in rows:
-            end = at + len(r["piece"])
-            pieces.append(Piece.of(at, end, np.array(r["ids"], np.int64), np.array(r["places"], np.int64).reshape(-1, 2) + at))
-            at = end
-        return pa.Table.from_pylist([{"_row": rows[0]["_row"], "ids": join_tree(path, text, pieces).ids.tolist()}], _JOINED)
+        table = table.combine_chunks().sort_by("k").combine_chunks()
+        parts = table.column("piece").to_pylist()
+        ids, places = (_arrays(table.column(c).combine_chunks()) for c in ("ids", "places"))
+        text, at, pieces = "".join(parts), 0, []
+        for part, i, p in zip(parts, ids, places, strict=True):
+            pieces.append(Piece.of(at, at + len(part), i.astype(np.int64), p.astype(np.int64).reshape(-1, 2) + at))
+            at += len(part)
+        return pa.Table.from_arrays([table.column("_row").slice(0, 1), _lists([join_tree(path, text, pieces).ids])], schema=_JOINED)
 
     return run
 
@@ -187,7 +218,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                texts = decode_ids(path, part.column("ids").to_pylist())
+                texts = decode_ids(path, _arrays(part.column("ids")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")

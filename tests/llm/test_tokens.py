@@ -26,12 +26,12 @@ def noise(rng, n):
 def test_every_simple_character():
     for c in map(chr, range(1, 0x250)):
         for x in (c, f"a{c}b", f"1{c} {c}{c}'s"):
-            assert bpe.encode_texts(PATH, [x])[0] == library(x), repr(x)
+            assert bpe.encode_texts(PATH, [x])[0].tolist() == library(x), repr(x)
 
 
 @pytest.mark.parametrize("x", ODD)
 def test_odd_texts(x):
-    assert bpe.encode_texts(PATH, [x])[0] == library(x)
+    assert bpe.encode_texts(PATH, [x])[0].tolist() == library(x)
     t = token_counts.transducer(PATH)
     assert token_counts.total(t, [token_counts.chunk_map(t, x)]) == len(library(x))
 
