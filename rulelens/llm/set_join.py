@@ -5,9 +5,10 @@ differ in, plus some, so linked texts hold equal blocks (the pigeonhole principl
 common block are never compared. Blocks of few shingles, which unrelated texts may share by chance, count only for
 texts with so many of them that a link could rest on those alone. Texts with equal shingles are one node throughout.
 
-Nodes that blocks connect form a cluster. In a cluster the tree goes on below: nodes hold the OR of their members'
-token bitmaps and the range of their set sizes, a dual traversal drops node pairs whose largest possible overlap is
-too small, and surviving pairs are checked on all their shingles, unless they are connected already. Large clusters
+In each index entry the tree goes on below: nodes hold the OR of their members' token bitmaps and the range of their
+set sizes, and a dual traversal drops node pairs whose largest possible overlap is too small. Nodes that surviving
+pairs connect form a cluster; there the traversal is repeated with the shingles at hand and surviving pairs are
+checked on all of them, unless they are connected already. Large clusters
 are cut into parts by size and hash; each pair of parts whose sizes may link is a task of its own. Tasks return the
 edges of spanning forests, so neither pairs of a group nor a whole group ever meet in one place.
 """
@@ -21,7 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rulelens.plans.components import components
@@ -31,6 +32,8 @@ from rulelens.plans.scratch import save
 #: Members of a part; clusters of at most two parts are one task; small clusters share tasks of so many members.
 PART, SHARED = 512, 2000
 LEAF, FANOUT = 16, 8
+#: Sets of an index entry that are compared without a tree.
+FEW = 6
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -237,35 +240,142 @@ def forest(nodes: np.ndarray, sets: list[np.ndarray], percent: int, second: np.n
 
 # -- the jobs -------------------------------------------------------------------------------------------------------
 
-_DIGESTS = "n_shingles long, d1 long, d2 long, keys array<long>"
+_DIGESTS = "n_shingles long, node long, sketch binary"
 
 
-def _digest(n: int, percent: int):
+def _width(size: int) -> int:
+    """Bits of a set's bitmap: a power of two of its size at least, so that about half are set."""
+    return 1 << min(16, max(6, int(size - 1).bit_length()))
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    marks = np.zeros(_width(len(tokens)), bool)
+    marks[(tokens & np.uint64(len(marks) - 1)).astype(np.int64)] = True
+    return np.packbits(marks, bitorder="little").tobytes()
+
+
+def _digest(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, nodes, sketches = [], [], []
+            for x in batch.column("_text"):
+                tokens = shingles(x.as_py(), n)
+                sizes.append(len(tokens))
+                nodes.append(int(_mix(tokens + _ODD[0]).sum(dtype=np.uint64).view(np.int64)))
+                sketches.append(sketch(tokens))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "node", "sketch"])
+
+    return run
+
+
+def _keys(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies within a task are indexed once
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
-                sizes, digests, keys = [], [], []
-                for x in part.column("_text"):
+            for k in range(0, batch.num_rows, 256):
+                keys, nodes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                for x in batch.slice(k, 256).column("_text"):
                     tokens = shingles(x.as_py(), n)
-                    sizes.append(len(tokens))
-                    digests.append([int(_mix(tokens + o).sum(dtype=np.uint64).view(np.int64)) for o in _ODD[:2]])
-                    keys.append(block_keys(tokens, percent))
-                ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys)))],
-                    ["doc_id", "n_shingles", "d1", "d2", "keys"],
-                )
+                    node = int(_mix(tokens + _ODD[0]).sum(dtype=np.uint64).view(np.int64))
+                    if node not in seen:
+                        seen.add(node)
+                        keys.append(block_keys(tokens, percent))
+                        nodes.append(np.full(len(keys[-1]), node, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], ["key", "node"])
+
+    return run
+
+
+class Entries:
+    """Index entries of one task, in turn: which of an entry's sets may link, less what is connected already."""
+
+    def __init__(self, percent: int):
+        self.percent, self.label = percent, {}
+
+    def find(self, node: int) -> int:
+        at = node
+        while (up := self.label.get(at, at)) != at:
+            at = up
+        while (up := self.label.get(node, node)) != at:
+            self.label[node], node = at, up
+        return at
+
+    def bits(self, sketches: list[bytes]) -> np.ndarray:
+        """Bitmaps folded to the narrowest."""
+        least = min(map(len, sketches))
+        rows = [np.frombuffer(x, np.uint64) for x in sketches]
+        return np.stack([r if len(r) * 8 == least else np.bitwise_or.reduce(r.reshape(-1, least // 8)) for r in rows])
+
+    def join(self, a: int, b: int) -> bool:
+        ra, rb = self.find(a), self.find(b)
+        self.label[max(ra, rb)] = min(ra, rb)
+        return ra != rb
+
+    def add(self, nodes: list[int], sizes: list[int], sketches: list[bytes]) -> list[tuple[int, int]]:
+        if len(nodes) <= FEW:
+            return self.few(nodes, sizes, [(int.from_bytes(x, "little"), len(x) * 8) for x in sketches])
+        if len({self.find(x) for x in nodes}) == 1:
+            return []
+        bits, n = self.bits(sketches), np.array(sizes, np.int64)
+        order = np.argsort(n, kind="stable")
+        nodes, out = [nodes[k] for k in order], []
+        for i, j in dual(Tree(bits[order], n[order]), None, self.percent):
+            out += [(nodes[a], nodes[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True) if self.join(nodes[a], nodes[b])]
+        return out
+
+    def few(self, nodes: list[int], sizes: list[int], bitmaps: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """The bound of a tree's leaves for an entry of a few sets, where arrays would cost more than they save."""
+        out = []
+        for i in range(len(nodes)):
+            for j in range(i):
+                if self.find(nodes[i]) != self.find(nodes[j]):
+                    width = min(bitmaps[i][1], bitmaps[j][1])
+                    x, y = _folded(*bitmaps[i], width), _folded(*bitmaps[j], width)
+                    most = (x & y).bit_count() + min(sizes[i] - x.bit_count(), sizes[j] - y.bit_count())
+                    if (100 + self.percent) * min(most, sizes[i], sizes[j]) >= self.percent * (sizes[i] + sizes[j]):
+                        self.join(nodes[i], nodes[j])
+                        out.append((nodes[i], nodes[j]))
+        return out
+
+
+def _folded(bits: int, width: int, to: int) -> int:
+    while width > to:
+        width //= 2
+        bits = (bits | bits >> width) & (1 << width) - 1
+    return bits
+
+
+def _possible_links(percent: int):
+    """Edges between sets of an index entry that may link; rows come sorted by key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries, key, held = Entries(percent), None, []
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "n_shingles", "sketch")), strict=True):
+                if row[0] != key:
+                    if len(held) > 1:
+                        out += entries.add(*map(list, zip(*held, strict=True)))
+                    key, held = row[0], []
+                held.append(row[1:])
+            yield pa.RecordBatch.from_pydict({"a": [e[0] for e in out], "b": [e[1] for e in out]}, _EDGES)
+        if len(held) > 1:
+            out = entries.add(*map(list, zip(*held, strict=True)))
+            yield pa.RecordBatch.from_pydict({"a": [e[0] for e in out], "b": [e[1] for e in out]}, _EDGES)
 
     return run
 
 
 def _tokens(n: int):
+    """Shingles of the rows whose text is the named node's; another text of the same doc_id gives none."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                sets = [shingles(x.as_py(), n).view(np.int64) for x in part.column("_text")]
+                sets = [shingles(x.as_py(), n) for x in part.column("_text")]
+                right = part.column("node").to_numpy() == np.array([_mix(s + _ODD[0]).sum(dtype=np.uint64).view(np.int64) for s in sets], np.int64)
+                sets = [s.view(np.int64) if r else np.empty(0, np.int64) for s, r in zip(sets, right, strict=True)]
                 ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("cluster"), part.column("parts"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))], ["node", "cluster", "parts", "tokens"])
 
@@ -324,31 +434,37 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
 
     Sets of ``n``-word shingles link if ``100 * intersection >= percent * union``; component_id is the least
     doc_id that links reach, the row's own included. Empty texts and nulls have no shingles and no links. Rows
-    that share a doc_id are one document as far as links go; a row without a doc_id has component_id null unless
+    that share a doc_id are one document as far as links go; sets are told apart by 64-bit digests; a row without a doc_id has component_id null unless
     it equals a document with one. Repeated rows stay repeated; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    digests = save(rows.mapInArrow(_digest(n, percent), f"doc_id long, {_DIGESTS}"), "join-digests")
-    filled = digests.where("n_shingles > 0")
-    nodes = save(
-        filled.where("doc_id is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n_shingles", "keys")).alias("x"))
-        .select("d1", "d2", F.col("x.doc_id").alias("node"), F.col("x.n_shingles").alias("n_shingles"), F.col("x.keys").alias("keys")),
-        "join-nodes",
-    )
-    held = nodes.select("node", F.explode("keys").alias("key"))
-    shared = held.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("key", "first")
-    candidates = held.join(shared, "key").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    digests = save(rows.mapInArrow(_digest(n), f"doc_id long, {_DIGESTS}"), "join-digests")
+    filled = digests.where("n_shingles > 0 and doc_id is not null")
+    # One row a set: the least doc_id that has it carries its text from here on.
+    sets = save(filled.groupBy("node").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("x")).select("node", "x.*"), "join-sets")
+    held = rows.mapInArrow(_keys(n, percent), "key long, node long").repartition("key")
+    entry = Window.partitionBy("key").orderBy("node")
+    # Rows equal in key and node are copies of a text: one stays; an entry of one node is none.
+    ranked = held.groupBy("key", "node").agg(F.lit(1).alias("_one")).withColumns({"_before": F.lag("node").over(entry), "_after": F.lead("node").over(entry)})
+    shared = save(ranked.where("_before is not null or _after is not null").select("key", "node"), "join-shared")
+    described = shared.join(sets.select("node", "n_shingles", "sketch"), "node")
+    candidates = described.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_possible_links(percent), "a long, b long")
     clusters = components(candidates, "join-clusters")
-    members = save(clusters.withColumnRenamed("component", "cluster").join(nodes.groupBy("node").agg(F.max("n_shingles").alias("n_shingles")), "node"), "join-members")
-    parts = save(_parts(members, percent), "join-parts")
-    texts = checked_join(rows.withColumnRenamed("doc_id", "node").where("node is not null"), parts, ["node"], "inner")
+    members = save(clusters.withColumnRenamed("component", "cluster").join(sets.select("node", "n_shingles", "doc_id"), "node"), "join-members")
+    parts = save(_parts(members.drop("doc_id"), percent).join(members.select("node", "doc_id"), "node"), "join-parts")
+    texts = checked_join(rows.where("doc_id is not null"), parts, ["doc_id"], "inner")
     tokens = texts.select("node", "cluster", "parts", "_text").mapInArrow(_tokens(n), "node long, cluster long, parts array<struct<task:string,paired:boolean,second:boolean>>, tokens array<long>").where(F.size("tokens") > 0)
     dealt = tokens.select("node", "cluster", F.explode("parts").alias("p"), "tokens").select("p.task", "p.paired", "p.second", "node", "cluster", "tokens")
     edges = dealt.groupBy("task").applyInArrow(_link(percent), "a long, b long")
-    reached = components(edges, "join-links")
-    named = nodes.select("d1", "d2", "node").join(reached, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
-    out = digests.drop("keys").join(named, ["d1", "d2"], "left")
-    own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    # A document with several texts is one document: its sets are linked through it.
+    several = filled.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc_id", "a")
+    same = filled.join(several, "doc_id").select("a", F.col("node").alias("b"))
+    reached = components(edges.unionByName(same), "join-links")
+    named = sets.select("node", "doc_id").join(reached, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = named.join(least, "component").select("node", "component_id")
+    out = digests.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"))
 
 
