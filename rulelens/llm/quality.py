@@ -1,11 +1,9 @@
 """Quality rules: word, symbol and repetition rules, then cross-document line frequency.
 
-Normalised lines are hashed and counted over the distinct documents of a host. Copies of a document are one
-document here: those that share a sketch (the least hash of their three-word windows) are a family, and a line
-is above its limit if it stands in more families of its host than the limits allow, and these make a quarter of
-its distinct texts at least (near copies make a tenth or so). Lines above the limit are removed; a document that loses most of its words is rejected.
-Distinct lines are summed per (host, line, family) before they meet per line, so a line that half a host repeats
-is spread over its families.
+Normalised lines are hashed and counted over the distinct documents of a host: rows with equal texts are one
+document, near copies are several, and choosing among those is left to the duplicate stage. Lines above the limit are
+removed; a document that loses most of its words is rejected. Rows are reduced to distinct (host, line, text) before
+they meet per line, so a line that half a host repeats is spread over its texts.
 """
 
 from __future__ import annotations
@@ -56,11 +54,11 @@ def normal_line(line: Column) -> Column:
 
 
 def digest(docs: DataFrame, text_col: str, host_col: str, keep: list[str]) -> DataFrame:
-    """Base counts, sketch and line hashes of each row, beside the columns in ``keep``."""
+    """Base counts and line hashes of each row, beside the columns in ``keep``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = F.transform(lines, lambda x: let(normal_line(x), lambda y: F.struct(F.xxhash64(y).alias("h"), F.size(F.split(y, " ")).alias("n"))))
-    numbers = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), let(window_hashes(w), lambda h: F.struct(repeat_words(h).cast("long").alias("n_repeat_words"), F.array_min(h).alias("least"))).alias("w")))
+    numbers = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), let(window_hashes(w), repeat_words).cast("long").alias("n_repeat_words")))
     return docs.select(
         *keep,
         F.monotonically_increasing_id().alias("_row"),
@@ -76,11 +74,10 @@ def digest(docs: DataFrame, text_col: str, host_col: str, keep: list[str]) -> Da
 
 def frequent_lines(digests: DataFrame, min_docs: int, min_share: float) -> DataFrame:
     """(host, line hash) of lines above the limits."""
-    each = digests.select("_host", "_sketch", "_text", F.explode(F.array_distinct(F.transform("_lines", lambda x: x["h"]))).alias("_line")).distinct()
-    families = each.groupBy("_host", "_line", "_sketch").agg(F.count("*").alias("texts"))
-    lines = families.groupBy("_host", "_line").agg(F.count("*").alias("families"), F.sum("texts").alias("texts")).where((F.col("families") > min_docs) & (F.col("families") * 4 >= F.col("texts")))
+    each = digests.select("_host", "_text", F.explode(F.array_distinct(F.transform("_lines", lambda x: x["h"]))).alias("_line")).distinct()
+    lines = each.groupBy("_host", "_line").agg(F.count("*").alias("texts")).where(F.col("texts") > min_docs)
     hosts = save(digests.groupBy("_host").agg(F.count("*").alias("docs")), "quality-hosts")
-    return checked_join(lines, hosts, ["_host"], "inner").where(F.col("families") > F.col("docs") * min_share).select("_host", "_line")
+    return checked_join(lines, hosts, ["_host"], "inner").where(F.col("texts") > F.col("docs") * min_share).select("_host", "_line")
 
 
 def judge(
@@ -98,7 +95,7 @@ def judge(
     """
     kept = [F.col(id_col).alias("doc_id")] + ([F.struct(*[docs[c] for c in docs.columns]).alias("_doc")] if keep_text else [])
     digests = save(digest(docs, text_col, host_col, kept), "quality-digest")
-    digests = digests.withColumns({"n_words": F.col("_n.n_words"), "n_repeat_words": F.col("_n.w.n_repeat_words"), "_sketch": F.coalesce("_n.w.least", "_text")})
+    digests = digests.withColumns({"n_words": F.col("_n.n_words"), "n_repeat_words": F.col("_n.n_repeat_words")})
     frequent = save(frequent_lines(digests, min_docs, min_share), "quality-lines")
     lost = checked_join(digests.select("_row", "_host", F.explode("_lines").alias("x")).select("_row", "_host", F.col("x.h").alias("_line"), "x.n"), frequent, ["_host", "_line"], "inner")
     lost = lost.groupBy("_row").agg(F.sum("n").alias("lost_words"), F.collect_set("_line").alias("lost_lines"))

@@ -118,6 +118,20 @@ def test_quality_matches_brute_force(spark, docs):
     assert quality.judge(df.where("false")).count() == 0
 
 
+def test_boilerplate_of_distinct_documents(spark):
+    rows = []
+    for host, share in (("h80", 80), ("h90", 90), ("h95", 95)):
+        block = " ".join(f"{host}w{k}" for k in range(share))
+        rows += [(len(rows) + k, block + "\n" + " ".join(f"{host}d{k}x{j}" for j in range(100 - share)), host) for k in range(60)]
+    rows += [(1000 + k, rows[0][1].replace("h80", "h1"), "copies") for k in range(60)]  # one text only
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in quality.judge(df).collect()}
+    for i, t, host in rows:
+        lost = 0 if host == "copies" else len(t.split("\n")[0].split())
+        assert (got[i].lost_words, got[i].kept) == (lost, not lost)
+    assert {r.doc_id for r in quality.clean(df).collect()} == set(range(1000, 1060))
+
+
 def test_repeats_by_both_ways(spark):
     texts = ["a b c a b c", "a a a a a a", " ".join("x y".split() * 400), " ".join(f"w{k % 97}" for k in range(600)), prose(500), "p q r s"]
     df = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string")
