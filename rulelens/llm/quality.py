@@ -76,7 +76,8 @@ def frequent_lines(digests: DataFrame, min_docs: int, min_share: float) -> DataF
     """(host, line hash) of lines above the limits."""
     each = digests.select("_host", "_text", F.explode(F.array_distinct(F.transform("_lines", lambda x: x["h"]))).alias("_line")).distinct()
     lines = each.groupBy("_host", "_line").agg(F.count("*").alias("texts")).where(F.col("texts") > min_docs)
-    hosts = save(digests.groupBy("_host").agg(F.count("*").alias("docs")), "quality-hosts")
+    texts = digests.select("_host", "_text").distinct()  # before the host, so a hot one is spread
+    hosts = save(texts.groupBy("_host").agg(F.count("*").alias("docs")), "quality-hosts")
     return checked_join(lines, hosts, ["_host"], "inner").where(F.col("texts") > F.col("docs") * min_share).select("_host", "_line")
 
 
@@ -88,8 +89,8 @@ def judge(
 
     A document fails the base rules with fewer than ``min_words`` words or more than ``max_repeat`` percent of
     its words in repeated three-word windows. It is depleted if under ``min_left`` percent of its words stand
-    outside lines that more than ``min_docs`` distinct documents of its host, and more than ``min_share`` of
-    them, repeat. A null text is an empty one and fails; a null host is a host of its own; repeated rows are
+    outside lines that more than ``min_docs`` distinct texts of its host, and more than ``min_share`` of its
+    distinct texts, hold. A null text is an empty one and fails; a null host is a host of its own; repeated rows are
     judged alike and stay repeated; an empty table gives no rows. With ``keep_text`` the input's columns follow
     under ``_doc``.
     """

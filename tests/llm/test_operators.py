@@ -132,6 +132,17 @@ def test_boilerplate_of_distinct_documents(spark):
     assert {r.doc_id for r in quality.clean(df).collect()} == set(range(1000, 1060))
 
 
+def test_copies_do_not_move_the_share(spark):
+    block = " ".join(f"b{k}" for k in range(60))
+    rows = [(k, f"{block}\n" + " ".join(f"u{k}x{j}" for j in range(20)), "hot") for k in range(8)]
+    rows += [(100 + k, " ".join(f"v{k}x{j}" for j in range(80)), "hot") for k in range(91)]
+    rows += [(1000 + k, " ".join(f"c{j}" for j in range(80)), "hot") for k in range(900)]  # 100 distinct texts
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for share, lost in ((0.07, set(range(8))), (0.08, set())):  # 8 of 100
+        got = quality.judge(df, min_docs=5, min_share=share).where("lost_words > 0").collect()
+        assert {r.doc_id for r in got} == lost
+
+
 def test_repeats_by_both_ways(spark):
     texts = ["a b c a b c", "a a a a a a", " ".join("x y".split() * 400), " ".join(f"w{k % 97}" for k in range(600)), prose(500), "p q r s"]
     df = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string")
