@@ -284,6 +284,51 @@ def test_urls(spark):
     assert url_rules.judge(df.where("false"), url_rules.rule_table(spark)).count() == 0
 
 
+def fitting(parsed):
+    """Strings that a parsed expression fits, with each alternative, and with repeats left out, once and twice."""
+    made = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            some = [chr(arg)]
+        elif op == "NOT_LITERAL":
+            some = ["q", "."]
+        elif op == "IN":
+            negated = str(arg[0][0]) == "NEGATE"
+            some = ["q", "."] if negated else [chr(x) for _, x in arg]
+        elif op == "SUBPATTERN":
+            some = fitting(arg[3])
+        elif op == "BRANCH":
+            some = [x for way in arg[1] for x in fitting(way)]
+        elif op == "MAX_REPEAT":
+            one, (low, high) = fitting(arg[2]), arg[:2]
+            some = [x * n for n in (0, 1, 2) if low <= n <= high for x in one]
+        else:
+            assert op == "AT", op
+            some = [""]
+        made = [a + b for a in made for b in some]
+    return made
+
+
+def test_every_way_to_fit_is_filed(spark):
+    ways = collections.defaultdict(list)
+    for r in url_rules.rule_table(spark).collect():
+        ways[r.pattern].append(set(r.tokens))
+    assert len(ways) == len(url_rules.PREFIX_RULES) + len(url_rules.PATTERN_RULES)
+    for pattern, sets in ways.items():
+        for x in fitting(re._parser.parse(pattern)):
+            for y in (x, x + "5x", x + "/a", x + "com/", x + "-b"):
+                assert re.search(pattern, y)
+                assert any(t <= set(re.findall(url_rules.TOKEN, y.lower())) for t in sets), (pattern, y)
+
+
+def test_urls_of_open_ends(spark):
+    urls = ["http://cheappills.com/", "http://cheap-pills.com/", "http://a.cheappills-b.com/x", "http://x.test/wp-login.php5", "http://x.test/a/wp-login.phpx", "http://cheappillsx.com/", "http://wp.test/login"]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_rules.judge(df, url_rules.rule_table(spark)).collect()}
+    assert got == dict(enumerate(["block"] * 5 + ["allow"] * 2))
+
+
 def test_vector_search(spark):
     import numpy as np
 
