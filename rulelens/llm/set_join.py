@@ -22,7 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rulelens.plans.components import components
@@ -34,6 +34,8 @@ PART, SHARED = 512, 2000
 LEAF, FANOUT = 16, 8
 #: Sets of an index entry that are compared without a tree.
 FEW = 6
+#: Heads of a size class of a wide index entry.
+HEADS = 4
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -115,15 +117,16 @@ def block_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
 
 
 class Tree:
-    """Levels from leaves of LEAF sets up to one root: OR of bitmaps, size range, and most shingles beyond one a bit."""
+    """Levels from leaves of LEAF sets up to one root: OR of bitmaps, size range, most shingles beyond one a bit, and
+    the range of the labels if there are any."""
 
-    def __init__(self, bits: np.ndarray, sizes: np.ndarray):
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray, labels: np.ndarray | None = None):
         spare = sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-        self.levels = [(bits, sizes, sizes, spare)]
+        self.levels = [(bits, sizes, sizes, spare) + (() if labels is None else (labels, labels))]
+        by = (np.bitwise_or, np.minimum, np.maximum, np.maximum, np.minimum, np.maximum)
         while len(self.levels[-1][1]) > 1:
             at = np.arange(0, len(self.levels[-1][1]), LEAF if len(self.levels) == 1 else FANOUT)
-            b, low, high, more = self.levels[-1]
-            self.levels.append((np.bitwise_or.reduceat(b, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(more, at)))
+            self.levels.append(tuple(f.reduceat(v, at, axis=0) for f, v in zip(by, self.levels[-1], strict=False)))
 
 
 def _possible(x: tuple, i: np.ndarray, y: tuple, j: np.ndarray, percent: int) -> np.ndarray:
@@ -147,13 +150,17 @@ def _children(i: np.ndarray, j: np.ndarray, level: int, n: int, m: int) -> tuple
 
 
 def dual(x: Tree, y: Tree | None, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of members of x and y, or within x."""
+    """Candidate pairs of members of x and y, or within x; none of two members with one label."""
     other = y or x
     top = max(len(x.levels), len(other.levels)) - 1
     at = lambda t, k: t.levels[min(k, len(t.levels) - 1)]
     stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         level, i, j = stack.pop()
+        if len(at(x, level)) > 4:
+            (*_, low, high), (*_, low2, high2) = at(x, level), at(other, level)
+            apart = (low[i] != high[i]) | (low2[j] != high2[j]) | (low[i] != low2[j])
+            i, j = i[apart], j[apart]
         keep = _possible(at(x, level), i, at(other, level), j, percent)
         i, j = i[keep], j[keep]
         if not len(i):
@@ -319,7 +326,8 @@ class Entries:
         bits, n = self.bits(sketches), np.array(sizes, np.int64)
         order = np.argsort(n, kind="stable")
         nodes, out = [nodes[k] for k in order], []
-        for i, j in dual(Tree(bits[order], n[order]), None, self.percent):
+        labels = np.array([self.find(x) for x in nodes], np.int64)
+        for i, j in dual(Tree(bits[order], n[order], labels), None, self.percent):
             out += [(nodes[a], nodes[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True) if self.join(nodes[a], nodes[b])]
         return out
 
@@ -328,15 +336,17 @@ class Entries:
         out = []
         for i in range(len(nodes)):
             for j in range(i):
-                if self.find(nodes[i]) != self.find(nodes[j]):
-                    width = min(bitmaps[i][1], bitmaps[j][1])
-                    x, y = _folded(*bitmaps[i], width), _folded(*bitmaps[j], width)
-                    most = (x & y).bit_count() + min(sizes[i] - x.bit_count(), sizes[j] - y.bit_count())
-                    if (100 + self.percent) * min(most, sizes[i], sizes[j]) >= self.percent * (sizes[i] + sizes[j]):
-                        self.join(nodes[i], nodes[j])
-                        out.append((nodes[i], nodes[j]))
+                if self.find(nodes[i]) != self.find(nodes[j]) and self.fits(sizes[i], bitmaps[i], sizes[j], bitmaps[j]):
+                    self.join(nodes[i], nodes[j])
+                    out.append((nodes[i], nodes[j]))
         return out
 
+    def fits(self, a: int, of_a: tuple[int, int], b: int, of_b: tuple[int, int]) -> bool:
+        width = min(of_a[1], of_b[1])
+        x, y = _folded(*of_a, width), _folded(*of_b, width)
+        most = (x & y).bit_count() + min(a - x.bit_count(), b - y.bit_count())
+        return (100 + self.percent) * min(most, a, b) >= self.percent * (a + b)
+
 
 def _folded(bits: int, width: int, to: int) -> int:
     while width > to:
@@ -366,6 +376,80 @@ def _possible_links(percent: int):
     return run
 
 
+def _to_heads(percent: int):
+    """Edges from sets of wide entries to those of their entry's heads that they may link with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries, bitmap = Entries(percent), lambda x: (int.from_bytes(x, "little"), len(x) * 8)
+        for batch in batches:
+            out = []
+            for node, size, sketch, heads in zip(*(batch.column(c).to_pylist() for c in ("node", "n_shingles", "sketch", "heads")), strict=True):
+                for head in heads:
+                    a, b = size, head["n_shingles"]
+                    if 100 * min(a, b) >= percent * max(a, b) and entries.find(node) != entries.find(head["node"]) and entries.fits(a, bitmap(sketch), b, bitmap(head["sketch"])):
+                        entries.join(node, head["node"])
+                        out.append((node, head["node"]))
+            yield pa.RecordBatch.from_pydict({"a": [e[0] for e in out], "b": [e[1] for e in out]}, _EDGES)
+
+    return run
+
+
+def _between(percent: int):
+    """Edges between the two sides of a pair of parts of a wide entry, where labels differ."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sketches, node, label, sizes, second = (table.column(c).to_pylist() for c in ("sketch", "node", "label", "n_shingles", "second"))
+        sides, out = [np.array([k for k in range(len(node)) if second[k] is s], np.int64) for s in (False, True)], []
+        if all(map(len, sides)):
+            entries = Entries(percent)
+            entries.label = dict(zip(node, label, strict=True))
+            bits, n, labels = entries.bits(sketches), np.array(sizes, np.int64), np.array(label, np.int64)
+            sides = [s[np.argsort(n[s], kind="stable")] for s in sides]
+            for i, j in dual(*(Tree(bits[s], n[s], labels[s]) for s in sides), percent):
+                pairs = ((node[a], node[b]) for a, b in zip(sides[0][i].tolist(), sides[1][j].tolist(), strict=True))
+                out += [(a, b) for a, b in pairs if entries.join(a, b)]
+        return pa.Table.from_pydict({"a": [e[0] for e in out], "b": [e[1] for e in out]}, _EDGES)
+
+    return run
+
+
+def clusters_of(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of sets that may link, by the entries of ``shared`` (key, node).
+
+    Entries of at most two parts are compared within one task. In a wider one each set is held against a few heads
+    first. What these connect needs no comparing: only sets outside the entry's largest group meet all others, each
+    pair of parts in a task of its own.
+    """
+    described = lambda rows: rows.join(sets.select("node", "n_shingles", "sketch"), "node")
+    wide = save(shared.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 2 * PART).select("key"), "join-wide")
+    narrow = described(checked_join(shared, wide, ["key"], "left_anti"))
+    near = narrow.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_possible_links(percent), "a long, b long")
+    if wide.isEmpty():
+        return components(near, "join-clusters")
+    members = save(described(checked_join(shared, wide, ["key"], "inner")), "join-wide-members")
+    mark = F.xxhash64("node")
+    heads = members.groupBy("key", _class_of(F.col("n_shingles"), percent).alias("k"), F.pmod(mark, F.lit(HEADS)).alias("h")).agg(F.min(F.struct(mark.alias("mark"), "node", "n_shingles", "sketch")).alias("head"))
+    heads = save(heads.groupBy("key").agg(F.collect_list("head").alias("heads")), "join-heads")  # a few a size class
+    to_heads = checked_join(members, heads, ["key"], "inner").select("node", "n_shingles", "sketch", "heads").mapInArrow(_to_heads(percent), "a long, b long")
+    clusters = components(near.unionByName(to_heads), "join-near")
+    label = F.coalesce("component", "node").alias("label")
+    members = save(members.join(clusters, "node", "left").select("key", "node", "n_shingles", "sketch", label), "join-labelled")
+    groups = members.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"))
+    parts = lambda n: F.ceil(n / PART).cast("int")
+    mixed = save(groups.where("n > main.n").select("key", F.col("main.label").alias("main"), parts(F.col("n")).alias("of_all"), parts(F.col("n") - F.col("main.n")).alias("of_others")), "join-mixed")
+    if mixed.isEmpty():
+        return clusters
+    rows = checked_join(members, mixed, ["key"], "inner")
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = lambda n: F.pmod(mark, F.col(n)).cast("int")
+    task = lambda a, b, second: F.struct(F.concat_ws(":", F.col("key").cast("string"), a.cast("string"), b.cast("string")).alias("task"), F.lit(second).alias("second"))
+    met = F.transform(each("of_others"), lambda x: task(x, own("of_all"), True))
+    meets = F.transform(each("of_all"), lambda x: task(own("of_others"), x, False))
+    dealt = rows.select("node", "n_shingles", "sketch", "label", F.explode(F.when(F.col("label") == F.col("main"), met).otherwise(F.concat(met, meets))).alias("p")).select("node", "n_shingles", "sketch", "label", "p.*")
+    rest = dealt.groupBy("task").applyInArrow(_between(percent), "a long, b long")
+    return components(clusters.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest), "join-clusters")
+
+
 def _tokens(n: int):
     """Shingles of the rows whose text is the named node's; another text of the same doc_id gives none."""
 
@@ -402,10 +486,14 @@ def _link(percent: int):
     return run
 
 
+def _class_of(size: Column, percent: int) -> Column:
+    classes = [size_range(k, percent)[1] for k in range(size_class(1 << 40, percent))]
+    return F.size(F.filter(F.array(*map(F.lit, classes)), lambda x: x < size))
+
+
 def _parts(members: DataFrame, percent: int) -> DataFrame:
     """(node, cluster, parts): the tasks that each member goes to, with its side there."""
-    classes = [size_range(k, percent)[1] for k in range(size_class(1 << 40, percent))]
-    members = members.withColumn("k", F.size(F.filter(F.array(*map(F.lit, classes)), lambda x: x < F.col("n_shingles"))))
+    members = members.withColumn("k", _class_of(F.col("n_shingles"), percent))
     counts = members.groupBy("cluster", "k").agg(F.count("*").alias("n"))
     counts = counts.select("cluster", F.struct("k", F.ceil(F.col("n") / PART).cast("int").alias("r")).alias("c"), "n")
     counts = counts.groupBy("cluster").agg(F.collect_list("c").alias("rs"), F.sum("n").alias("total"))  # one row a size class
@@ -447,9 +535,7 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
     # Rows equal in key and node are copies of a text: one stays; an entry of one node is none.
     ranked = held.groupBy("key", "node").agg(F.lit(1).alias("_one")).withColumns({"_before": F.lag("node").over(entry), "_after": F.lead("node").over(entry)})
     shared = save(ranked.where("_before is not null or _after is not null").select("key", "node"), "join-shared")
-    described = shared.join(sets.select("node", "n_shingles", "sketch"), "node")
-    candidates = described.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_possible_links(percent), "a long, b long")
-    clusters = components(candidates, "join-clusters")
+    clusters = clusters_of(shared, sets, percent)
     members = save(clusters.withColumnRenamed("component", "cluster").join(sets.select("node", "n_shingles", "doc_id"), "node"), "join-members")
     parts = save(_parts(members.drop("doc_id"), percent).join(members.select("node", "doc_id"), "node"), "join-parts")
     texts = checked_join(rows.where("doc_id is not null"), parts, ["doc_id"], "inner")

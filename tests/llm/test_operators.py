@@ -206,6 +206,42 @@ def brute_links(texts, n, percent):
     return {k: (len(sets[k]), find(k)) for k in keys}
 
 
+def test_wide_index_entries(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(set_join, "PART", 12)
+    possible = set_join._possible_links
+
+    def bounded(percent):
+        def run(batches):
+            seen = collections.Counter()
+            for batch in batches:
+                seen.update(batch.column("key").to_pylist())
+                assert max(seen.values(), default=0) <= 24, "an entry of more than two parts in one task"
+                yield from possible(percent)(iter([batch]))
+
+        return run
+
+    monkeypatch.setattr(set_join, "_possible_links", bounded)
+    rows = []
+    for group in range(3):  # one group of 90 near copies, two of 30, each set with one word of its own
+        words = [f"g{group}w{j}" for j in range(200)]
+        rows += [(len(rows) + k, " ".join([*words[:150], f"own{group}x{k}", *words[150:]])) for k in range(30 if group else 90)]
+    rows += [(500 + k, " ".join(f"z{k}y{j}" for j in range(180))) for k in range(30)]  # alone
+    sets = {i: set_join.shingles(t, 3) for i, t in rows}
+    table = spark.createDataFrame([(i, len(x), bytearray(set_join.sketch(x))) for i, x in sets.items()], "node long, n_shingles long, sketch binary")
+    shared = spark.createDataFrame([(7, i) for i in sets] + [(8, i) for i in sets if i < 20], "key long, node long")
+    entry, order = set_join.Entries(90), sorted(sets)
+    entry.add(order, [len(sets[i]) for i in order], [set_join.sketch(sets[i]) for i in order])
+    want = {i: entry.find(i) for i in order}
+    got = {r.node: r.component for r in set_join.clusters_of(shared, table, 90).collect()}
+    assert {i: got.get(i, i) for i in order} == want and len(set(want.values())) == 3 + 30
+    # members that are connected already are no pairs
+    bits = np.stack([np.frombuffer(set_join.sketch(sets[i]), np.uint64) for i in range(90)])
+    pairs = list(set_join.dual(set_join.Tree(bits, np.full(90, len(sets[0])), np.zeros(90, np.int64)), None, 90))
+    assert not sum(len(i) for i, _ in pairs)
+
+
 @pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
 def test_set_join(spark, n, percent, monkeypatch):
     monkeypatch.setattr(set_join, "PART", 12)  # so that large clusters are cut into parts
