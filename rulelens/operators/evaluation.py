@@ -1,4 +1,4 @@
-"""Evaluation: accuracy, confusion, hold-out, drift, ablation, boundaries and sweeps."""
+"""Evaluation: accuracy, confusion, hold-out, drift, boundaries and sweeps (A12 to A28 without A18 and A25, J12 to J14)."""
 
 from __future__ import annotations
 
