@@ -185,6 +185,48 @@ def test_secrets_and_ledger(spark, tmp_path):
     assert "hunter22" not in masked[50] and secret_ledger.scan(df.where("false")).count() == 0
 
 
+def brute_spans(text, rules):
+    """Spans of every rule by Python's own regular expressions, kinds by place in ``rules``."""
+    out = set()
+    for k, r in enumerate(rules):
+        pattern = r.pattern.replace("(?i)", "") if r.group else r.pattern
+        for m in re.finditer(pattern, text or "", re.I if r.pattern.startswith("(?i)") else 0):
+            if len(m[r.group]) >= r.least:
+                out.add((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_every_kind_matches_brute_force(spark):
+    texts = [*SECRETS, "eyJ" + "a" * 9 + "." + "b" * 9 + "." + "c" * 9 + " AIza" + "x" * 35, "xoxb-1234567890ab xox-1", "ghp_short gho_" + "Z9" * 20, "é" * 40 + " secret: sk_live_" + "q" * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in secret_ledger.scan(df).collect()}
+    assert got == {k: brute_spans(t, secret_ledger.RULES) for k, t in enumerate(texts)}
+    assert {x[1] for v in got.values() for x in v} == set(range(len(secret_ledger.RULES)))
+
+
+def test_ledger_follows_changed_rules(spark, tmp_path):
+    a, b = secret_ledger.Rule("a", "[xy]+", 0, 2), secret_ledger.Rule("b", "q[0-9]+", 0, 1)
+    wider = secret_ledger.Rule("a", "[xyz]+", 0, 2)
+    df = spark.createDataFrame([(1, "xyxyx z q1"), (2, "zzz xx q22"), (3, None)], "doc_id long, text string")
+    told = lambda d, rules, **o: {r.doc_id: [tuple(x) for x in r.spans] for r in secret_ledger.scan(d, rules=rules, **o).collect()}
+    ledger = str(tmp_path / "changed")
+    for docs, rules in ((df.where("doc_id < 2"), (a, b)), (df, (wider, b)), (df, (b, a)), (df, (b,)), (df, (a, b, wider)), (df.where("doc_id > 1"), (wider, a))):
+        want = {r.doc_id: brute_spans(r.text, rules) for r in docs.collect()}
+        assert told(docs, rules, ledger=ledger) == told(docs, rules) == want
+    written = spark.read.parquet(ledger).select("blob", F.explode("scanned").alias("version"))
+    assert written.count() == written.distinct().count() == 9  # three blobs by three versions
+    spark.read.parquet(ledger).write.mode("append").parquet(str(tmp_path / "twice"))
+    spark.read.parquet(ledger).write.mode("append").parquet(str(tmp_path / "twice"))  # as two runs at once would leave it
+    assert told(df, (wider, b), ledger=str(tmp_path / "twice")) == told(df, (wider, b))
+
+
+def test_redact_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "secret: abcdefgh", "s", "b", "d", 7)], "doc_id long, text string, _spans string, _blob string, doc string, spans int")
+    got = secret_ledger.redact(df).collect()
+    assert [tuple(r) for r in got] == [(1, "[SECRET]", "s", "b", "d", 7)] and secret_ledger.redact(df).columns == df.columns
+    assert secret_ledger.redact(df.withColumnRenamed("_spans", "blob").withColumnRenamed("_blob", "a.b")).columns == ["doc_id", "text", "blob", "a.b", "doc", "spans"]
+
+
 def brute_links(texts, n, percent):
     sets = {}
     for k, t in texts:
