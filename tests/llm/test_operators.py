@@ -430,6 +430,37 @@ def test_vector_search(spark):
     assert vector_search.search(few, few.where("vec_id = 0")).count() == 3
 
 
+def test_recall_where_the_quantiser_decides(spark):
+    import numpy as np
+
+    r = np.random.default_rng(9)
+    x = r.normal(size=(3000, 32)) * r.uniform(0.5, 2, size=(3000, 1))
+    x[7], x[11] = 1e-170 * r.normal(size=32), 1e200 * r.normal(size=32)
+    df = spark.createDataFrame([(k, [float(a) for a in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked, want = [*range(0, 3000, 20), 7], {}
+    for q in asked:
+        s = (x * x[q]).sum(axis=1)
+        want[q] = [i for i in np.lexsort((np.arange(3000), -s)) if i != q][:20]
+    ask = df.where(F.col("vec_id").isin(asked))
+
+    def recall(**o):
+        got = collections.defaultdict(dict)
+        for row in vector_search.search(df, ask, **o).collect():
+            got[row.query_id][row.rank] = row.vec_id
+        assert set(got) == set(asked) and all(sorted(g) == list(range(1, 21)) for g in got.values())
+        return sum(len(set(got[q].values()) & set(want[q])) for q in asked) / 20 / len(asked)
+
+    assert recall(vector_block=1000, query_block=64, rerank=120) >= 0.9  # several blocks, an eighth reranked
+    assert recall(vector_block=1000, query_block=64, rerank=3000) == 1  # the exact way
+
+
+def test_huge_components_have_a_defined_order(spark):
+    big = [[1e200, 1e200], [1e200, -1e200], [-1e200, 1e200], [1.0, 2.0], [1e-320, 0.0]]
+    df = spark.createDataFrame(list(enumerate(big)), "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.rank, r.vec_id) for r in vector_search.search(df, df.where("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(0, 1, 3), (0, 2, 4), (0, 3, 1), (0, 4, 2)]
+
+
 def test_site_quality_holds_out(spark):
     good, bad = [prose(60) for _ in range(300)], [" ".join(w + "###" for w in prose(60).split()) for _ in range(120)]
     toxic = [prose(40) + " idiot " + prose(10) for _ in range(120)]
