@@ -334,11 +334,38 @@ def test_chat_round_trip(spark):
         assert told[c].loss == [r[3] or "" for r in rows if r[2] == "assistant"]
     made = chat.windows(df).where("conv_id = 9").orderBy("window").collect()
     assert len(made) > 5 and all("again:" in r.formatted for r in made[1:])
-    assert all(r.tokens <= 1024 + 50 for r in made)
     assert all(r.formatted.startswith("<|again:system|>") for r in chat.windows(df).where("conv_id = 1 and window > 0").collect())
     assert chat.windows(df.where("false")).count() == 0
 
 
+def test_windows_keep_the_budget(spark):
+    """No window exceeds its budget by more than one turn that can't be split; the system turn is the only other such."""
+    rows = []
+    for conv in range(60):
+        for turn in range(rng.randrange(1, 30)):
+            n = rng.choice([0, 1, 5, 20, 45, 90, 130]) if turn or conv % 3 else (30 if conv % 2 else 110)
+            rows.append((conv, turn, "system" if not turn and conv % 3 == 0 else rng.choice(["user", "assistant"]), "w " * n))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    size = {(c, t): len(x.split()) + chat.MARKERS for c, t, _, x in rows}
+    assert chat.windows(spark.createDataFrame([(1, 0, "system", "s " * 896)] + [(1, 1 + k, "user", "u " * 86) for k in range(20)], df.schema)).agg(F.max("tokens")).first()[0] <= 1024
+    for budget, history in ((100, 30), (100, 0), (64, 16)):
+        told = collections.defaultdict(list)
+        for r in chat.windows(df, budget, history).collect():
+            pieces = r.formatted.split(chat.END)[:-1]
+            told[r.conv_id].append((r.window, r.tokens, [(p.split("|>")[0], len(p.split("\n", 1)[1].split()) + chat.MARKERS) for p in pieces]))
+        for conv, made in told.items():
+            made.sort()
+            assert [w for w, _, _ in made] == list(range(len(made)))
+            system = size[conv, 0] if (conv, 0, "system") in {(c, t, role) for c, t, role, _ in rows} else 0
+            assert sum(n for _, _, ps in made for h, n in ps if h.startswith("<|turn:")) == sum(v for (c, _), v in size.items() if c == conv)
+            for w, tokens, pieces in made:
+                own = [n for h, n in pieces if h.startswith("<|turn:") and not h.endswith(":system")]
+                assert tokens == sum(n for _, n in pieces) and sum(h.endswith(":system") for h, _ in pieces) == bool(system)
+                assert tokens <= budget or len(own) <= 1, (conv, w, tokens, own)  # one turn, whole, beside system and history
+                if system < budget and all(n <= (budget - system) * (budget - history) // budget - 1 for n in own):
+                    assert tokens <= budget
+
+
 URLS = [
     None, "", "no scheme", "://", "HTTP://WWW.Example.COM/en/7x?q#f", "http://example.com/en/8", "http://xcom/en/", "http://a.com/en", "x://b.example.net/de/81", "x://example.net/de/9",
     "https://org/es/#a", "http://cheap-pills.example.org/a", "http://a.spam-farm.net/en/", "http://ok.org/wp-login.php", "http://a.com?/en/", "a://b.com/x://c.com/en/", "http://é.COM/en/ü", "http://" + "a" * 5000 + ".com/en/1",
