@@ -123,4 +123,34 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("lost_lines")
 
 
-SQL = None
+# Words, windows and lines are compared as they are, where the job compares their hashes.
+SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, source,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (
+  SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+repeated AS (SELECT r, i FROM grams QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM repeated) GROUP BY r),
+lines AS (
+  SELECT r, source, t, line,
+         translate(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS y
+  FROM (SELECT r, source, t, unnest(string_split(t, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dups AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r),
+hosts AS (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY source),
+frequent AS (
+  SELECT l.source, y FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
+  GROUP BY l.source, y, docs HAVING count(DISTINCT t) > 20 AND count(DISTINCT t) > docs * 0.002),
+lost AS (
+  SELECT r, sum(len(string_split(l.y, ' '))) AS n
+  FROM lines l JOIN frequent f ON l.source IS NOT DISTINCT FROM f.source AND l.y = f.y GROUP BY r),
+told AS (
+  SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(dups.n, 0) AS n_dup_lines,
+         coalesce(covered.n, 0) AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS lost_words
+  FROM d LEFT JOIN covered USING (r) LEFT JOIN dups USING (r) LEFT JOIN lost USING (r)),
+based AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM told)
+SELECT *, NOT base_failed AND (n_words - lost_words) * 100 >= n_words * 30 AS kept FROM based
+"""

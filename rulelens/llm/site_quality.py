@@ -4,7 +4,8 @@ Two logistic models, fitted on a bounded sample of labelled documents, give each
 and of toxicity from telling words and from the shape of its text. Quality evidence is summed by host and by path
 (a host's language section); each site's posterior is a beta mean, a path's shrunk toward its host's and a host's
 toward the corpus's, by strengths estimated from the spread between sites. A document's probability adds to its own
-evidence what its path says without it, so sparse sites say little.
+evidence what its path says without it: the document is left out of its path, its host and the corpus alike, so a
+site of one document says nothing.
 """
 
 from __future__ import annotations
@@ -171,13 +172,16 @@ def classify(docs: DataFrame, models: Models, host: str = "source", path: str =
     whole = hosts.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     prior = min(1 - 1e-6, max(1e-6, whole["s"] / whole["n"])) if whole["n"] else 0.5
     a = _strength(hosts, F.lit(prior))
-    hosts = hosts.select("_host", ((F.col("s") + a * prior) / (F.col("n") + a)).alias("host_posterior"))
+    hosts = hosts.select("_host", F.col("s").alias("host_s"), F.col("n").alias("host_n"), ((F.col("s") + a * prior) / (F.col("n") + a)).alias("host_posterior"))
     sites = save(paths.join(hosts, "_host"), "site-sites")
     b = _strength(sites, F.col("host_posterior"))
-    sites = save(sites.select("_host", "_path", "s", "n", "host_posterior", ((F.col("s") + b * F.col("host_posterior")) / (F.col("n") + b)).alias("path_posterior")), "site-posteriors")
+    sites = save(sites.select("_host", "_path", "s", "n", "host_s", "host_n", "host_posterior", ((F.col("s") + b * F.col("host_posterior")) / (F.col("n") + b)).alias("path_posterior")), "site-posteriors")
     joined = checked_join(scored, sites, ["_host", "_path"])
-    others = (F.col("s") - F.col("p") + b * F.col("host_posterior")) / (F.col("n") - 1 + b)
-    quality = _sigmoid(F.col("evidence") + site_weight * (_logit(others) - _logit(F.lit(prior))))
+    # What corpus, host and path say without the document itself.
+    rest = lambda s, n, weight, prior: (s - F.col("p") + weight * prior) / (n - 1 + weight)
+    corpus = (F.lit(whole["s"]) - F.col("p")) / (whole["n"] - 1) if (whole["n"] or 0) > 1 else F.lit(0.5)
+    others = rest(F.col("s"), F.col("n"), b, rest(F.col("host_s"), F.col("host_n"), a, corpus))
+    quality = _sigmoid(F.col("evidence") + site_weight * (_logit(others) - _logit(corpus)))
     return joined.select(
         "doc_id", "host", "path", "evidence", "host_posterior", "path_posterior", quality.alias("quality"), _sigmoid(F.col("toxic")).alias("toxic"),
         ((quality >= 0.5) & (F.col("toxic") < 0)).alias("kept"),

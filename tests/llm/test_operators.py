@@ -68,36 +68,25 @@ def test_smaller_budgets_nest(docs):
     assert all(more[k] >= n for k, n in less.items())
 
 
-def brute_quality(rows, min_docs):
-    """Base counts and the verdict, with families told apart by the text's distinct windows' least hash."""
-    xx = pytest.importorskip("xxhash")
-
-    def hash3(ws):
-        seed = 42
-        for w in ws:
-            seed = xx.xxh64_intdigest(w.encode(), seed=seed)
-        return seed - (1 << 64) if seed >> 63 else seed
-
-    norm = lambda x: re.sub(r"[\x20\x09-\x0d]+", " ", x).strip(" ").translate({c: c + 32 for c in range(65, 91)})
-    seen, hosts, out = collections.defaultdict(set), collections.Counter(), []
-    parsed = []
-    for i, t, s in rows:
-        t = t or ""
-        w = W.findall(t)
+def brute_quality(rows, min_docs, min_share=0.002, min_left=30):
+    """Base counts, then: normalise lines, count distinct documents per host, remove lines above the limits, and
+    reject documents that keep under ``min_left`` percent of their words. Documents are distinct if their texts are."""
+    norm = lambda x: " ".join(W.findall(x)).translate({c: c + 32 for c in range(65, 91)})
+    holders, hosts, out = collections.defaultdict(set), collections.defaultdict(set), []
+    for _, t, host in rows:
+        hosts[host].add(t or "")
+        for x in (t or "").split("\n"):
+            if W.search(x):
+                holders[host, norm(x)].add(t or "")
+    above = {k for k, texts in holders.items() if len(texts) > min_docs and len(texts) > min_share * len(hosts[k[0]])}
+    for i, t, host in rows:
+        w, lines = W.findall(t or ""), [x for x in (t or "").split("\n") if W.search(x)]
         windows = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
-        lines = [x for x in t.split("\n") if W.search(x)]
-        sketch = min(map(hash3, windows)) if windows else t
-        hosts[s] += 1
-        for x in set(map(norm, lines)):
-            seen[s, x].add((sketch, t))
-        parsed.append((i, s, w, windows, lines))
-    bad = {k for k, v in seen.items() if (f := len({x for x, _ in v})) > min_docs and 4 * f >= len(v) and f > hosts[k[0]] * 0.002}
-    for i, s, w, windows, lines in parsed:
-        c = collections.Counter(windows)
-        covered = {k + d for k, x in enumerate(windows) if c[x] > 1 for d in range(3)}
+        times = collections.Counter(windows)
+        covered = {k + d for k, x in enumerate(windows) if times[x] > 1 for d in range(3)}
         failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
-        lost = sum(len(W.findall(x)) for x in lines if (s, norm(x)) in bad)
-        out.append((i, len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(covered), failed, not failed and (len(w) - lost) * 100 >= 30 * len(w)))
+        lost = sum(len(W.findall(x)) for x in lines if (host, norm(x)) in above)
+        out.append((i, len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(covered), failed, not failed and (len(w) - lost) * 100 >= min_left * len(w)))
     return out
 
 
