@@ -47,6 +47,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of a text's n-word shingles; of the whole sequence if it is shorter."""
+    if n > len(_ODD):
+        raise ValueError(f"shingles of more than {len(_ODD)} words are not supported")
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and the six ASCII spaces only
     if not words:
         return np.empty(0, np.uint64)
@@ -557,16 +559,21 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of linked documents, that of the component's doc_id; columns as in ``docs``.
 
-    Rows that share a doc_id are one document, of which one row stays; rows without a doc_id all stay. Rows that
-    stay are not shuffled while the ids of the others can be broadcast.
+    Rows that share a doc_id are one document: of its rows that stay each text stays once, and an empty one is
+    decided apart from the others, since it links with nothing. Rows without a doc_id all stay, and so does a
+    document without words. An empty table gives no rows. Rows that stay are not shuffled while the ids of the
+    others can be broadcast.
     """
-    joined = save(link(docs, n, percent, id_col, text_col).where("doc_id is not null").select(F.col("doc_id").alias(id_col), (F.col("component_id") == F.col("doc_id")).alias("stays")), "join-decided")
-    each = joined.groupBy(id_col).agg(F.count("*").alias("_rows"), F.first("stays").alias("_stays"))
-    odd = save(each.where(~F.col("_stays") | (F.col("_rows") > 1)), "join-dropped")
-    listed = F.broadcast(odd) if odd.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else odd
-    alone = docs.join(listed, id_col, "left_anti")
-    repeated = docs.join(odd.where("_stays"), id_col, "left_semi").dropDuplicates([id_col])
-    return alone.select(*docs.columns).unionByName(repeated.select(*docs.columns))
+    told = link(docs, n, percent, id_col, text_col).where("doc_id is not null")
+    joined = save(told.select("doc_id", (F.col("n_shingles") > 0).alias("filled"), (F.col("component_id") == F.col("doc_id")).alias("stays")), "join-decided")
+    each = joined.groupBy("doc_id", "filled").agg(F.count("*").alias("rows"), F.max("stays").alias("stays"))
+    odd = save(each.where(~F.col("stays") | (F.col("rows") > 1)), "join-dropped")
+    words = F.coalesce(docs[text_col], F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), words.alias("filled"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    listed = odd.select("doc_id", "filled")
+    alone = rows.join(F.broadcast(listed) if listed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else listed, ["doc_id", "filled"], "left_anti")
+    repeated = rows.join(odd.where("stays").select("doc_id", "filled"), ["doc_id", "filled"], "left_semi").withColumn("text", F.coalesce(F.col("row").getField(text_col), F.lit("")))
+    return alone.unionByName(repeated.dropDuplicates(["doc_id", "text"]).drop("text")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -296,6 +296,16 @@ def test_set_join(spark, n, percent, monkeypatch):
     assert set_join.link(df.where("false"), n, percent).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (2, a), (2, ""), (3, b), (3, c), (3, c), (4, None), (4, None), (5, a), (None, b), (None, b)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _filled int")
+    left = set_join.one_of_each(df)
+    # 2 and 5 hold the text of 1 and go, but for the empty row of 2; 3 keeps both its texts once; rows without an id stay
+    assert sorted(((r.doc_id or 0, r.text or "") for r in left.collect())) == sorted([(1, a), (2, ""), (3, b), (3, c), (4, ""), (0, b), (0, b)])
+    assert left.columns == df.columns
+
+
 def test_pigeonhole_holds_for_every_size():
     for percent in (80, 90):
         for size in [*range(1, 60), 137, 500, 2000]:
@@ -477,6 +487,53 @@ def test_huge_components_have_a_defined_order(spark):
     assert got == [(0, 1, 3), (0, 2, 4), (0, 3, 1), (0, 4, 2)]
 
 
+def test_posteriors_match_brute_force(spark):
+    """The classifier's second part, from its evidence: sums, strengths by moments, and a document's own part taken out."""
+    import math
+
+    class Said:  # evidence by text, in place of fitted models
+        def evidence(self, text):
+            return float(len(text) % 13 - 6), -1.0
+
+    rows = [(k, "x" * (k * 7 % 41), f"h{k % 5}" if k < 90 else f"alone{k}", "en" if k % 3 else None) for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    sigmoid, logit = (lambda x: 1 / (1 + math.exp(-x))), (lambda p: math.log(p / (1 - p)))
+    p = {i: sigmoid(len(t) % 13 - 6) for i, t, _, _ in rows}
+    host, path = {i: h for i, _, h, _ in rows}, {i: (h, g) for i, _, h, g in rows}
+
+    def sums(of):
+        out = collections.defaultdict(lambda: [0.0, 0])
+        for i in p:
+            out[of[i]][0] += p[i]
+            out[of[i]][1] += 1
+        return out
+
+    def strength(groups, prior):
+        n = sum(g[1] for g in groups.values())
+        spread = sum(g[1] * (g[0] / g[1] - prior[k]) ** 2 for k, g in groups.items())
+        chance = sum(g[0] / g[1] * (1 - g[0] / g[1]) for g in groups.values())
+        between = (spread - chance) / n
+        most = sum(g[1] * prior[k] * (1 - prior[k]) for k, g in groups.items()) / n
+        return min(1e6, max(1.0, most / between - 1)) if between > 0 else 1e6
+
+    total, hosts, paths = sum(p.values()), sums(host), sums(path)
+    prior = total / len(p)
+    a = strength(hosts, dict.fromkeys(hosts, prior))
+    posterior = {h: (s + a * prior) / (n + a) for h, (s, n) in hosts.items()}
+    b = strength(paths, {k: posterior[k[0]] for k in paths})
+    for r in site_quality.classify(df, Said()).collect():
+        i = r.doc_id
+        corpus = (total - p[i]) / (len(p) - 1)
+        of_host = (hosts[host[i]][0] - p[i] + a * corpus) / (hosts[host[i]][1] - 1 + a)
+        of_path = (paths[path[i]][0] - p[i] + b * of_host) / (paths[path[i]][1] - 1 + b)
+        want = sigmoid(logit(p[i]) + site_quality.SITE_WEIGHT * (logit(of_path) - logit(corpus)))
+        assert abs(r.quality - want) < 1e-9 and abs(r.host_posterior - posterior[host[i]]) < 1e-9
+        assert r.path_posterior == pytest.approx((paths[path[i]][0] + b * posterior[host[i]]) / (paths[path[i]][1] + b))
+        assert i < 90 or r.quality == pytest.approx(p[i])  # a site of one document says nothing
+    one = spark.createDataFrame(rows[:1], df.schema)
+    assert site_quality.classify(one, Said()).first().quality == pytest.approx(p[0])
+
+
 def test_site_quality_holds_out(spark):
     good, bad = [prose(60) for _ in range(300)], [" ".join(w + "###" for w in prose(60).split()) for _ in range(120)]
     toxic = [prose(40) + " idiot " + prose(10) for _ in range(120)]
