@@ -25,8 +25,8 @@ from rulelens.plans.scratch import save
 
 #: Characters beyond which a text is cut; a join's first window; how far from a cut tokens may be wrong.
 LIMIT, WINDOW, GUARD = 32_768, 128, 24
-#: Words whose ids a worker keeps.
-KEPT_WORDS = 400_000
+#: Words of up to so many characters whose ids a worker keeps.
+KEPT_WORDS, LONGEST_KEPT = 400_000, 64
 
 
 class _Words(dict):
@@ -37,7 +37,9 @@ class _Words(dict):
         self.encode = tokenizer(path).encode
 
     def __missing__(self, word: str) -> bytes:
-        ids = self[word] = array("i", self.encode(word, add_special_tokens=False).ids).tobytes()
+        ids = array("i", self.encode(word, add_special_tokens=False).ids).tobytes()
+        if len(word) <= LONGEST_KEPT:
+            self[word] = ids
         return ids
 
 
@@ -159,6 +161,19 @@ def _encode_whole(path: str):
     return run
 
 
+def _cut(limit: int):
+    """Pieces of each text, cut in one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, x in zip(batch.column("_row"), batch.column("_text"), strict=True):
+                text = x.as_py()
+                for k in range(0, len(text), limit):
+                    yield pa.RecordBatch.from_pylist([{"_row": row.as_py(), "k": k // limit, "piece": text[k : k + limit]}], _CUT)
+
+    return run
+
+
 def _encode_pieces(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,6 +186,7 @@ def _encode_pieces(path: str):
     return run
 
 
+_CUT = pa.schema([("_row", pa.int64()), ("k", pa.int32()), ("piece", pa.string())])
 _PIECES = pa.schema([("_row", pa.int64()), ("k", pa.int32()), ("piece", pa.string()), ("ids", pa.list_(pa.int32())), ("places", pa.list_(pa.int32()))])
 _JOINED = pa.schema([("_row", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
@@ -202,9 +218,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     kind = rows.schema["doc_id"].dataType.simpleString()
     short = rows.where(F.length("_text") <= limit).mapInArrow(_encode_whole(path), f"doc_id {kind}, ids array<int>")
     long = save(rows.where(F.length("_text") > limit).withColumn("_row", F.monotonically_increasing_id()), "bpe-long")
-    starts = F.sequence(F.lit(0), F.floor((F.length("_text") - 1) / limit).cast("int"))
-    cut = long.select("_row", "_text", F.explode(starts).alias("k")).select("_row", "k", F.substring("_text", F.col("k") * limit + 1, F.lit(limit)).alias("piece"))
-    pieces = cut.repartition("_row", "k").mapInArrow(_encode_pieces(path), "_row long, k int, piece string, ids array<int>, places array<int>")
+    tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism
+    cut = long.select("_row", "_text").mapInArrow(_cut(limit), "_row long, k int, piece string")
+    pieces = cut.repartition(tasks, "_row", "k").mapInArrow(_encode_pieces(path), "_row long, k int, piece string, ids array<int>, places array<int>")
     joined = pieces.groupBy("_row").applyInArrow(_join_pieces(path), "_row long, ids array<int>")
     return short.unionByName(long.select("doc_id", "_row").join(joined, "_row").select("doc_id", "ids"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from rulelens.llm import bpe, chat, mixing, quality, secret_ledger, set_join, site_quality, token_counts, url_rules, vector_search
 
 _ALL = {
@@ -20,9 +19,8 @@ _ALL = {
 
 
 def queries() -> dict:
-    return {name: module.query for name, module in _ALL.items()} | {"pipeline": corpus_pipeline.run}
+    return {name: module.query for name, module in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {name: module.SQL for name, module in _ALL.items() if module.SQL}
-    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {name: module.SQL for name, module in _ALL.items() if module.SQL}
