@@ -3,6 +3,11 @@
 Each stage takes what the stage before wrote and its decisions take effect: documents that the quality rules reject
 and lines above their limits go; of each group of near duplicates (five words, similarity 0.8) one document stays;
 secrets are masked; documents stand in the mix as often as their source's target asks; texts are encoded.
+
+Null and empty texts fail the quality rules and go in the first stage; null sources are a source of their own; repeated
+rows are judged alike, and of equal texts one row stays after the second stage; a null doc_id is kept by all stages.
+Columns beyond those of ``documents`` pass through all stages but the last, whatever they are called. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
