@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rulelens.functions import arabic as ar
+from rulelens.functions.arrays import at, indexed, labelled, let
 from rulelens.operators.graph import SENTENCES
-from rulelens.operators.tokens import _SQL_TOKENS, token_rows
+from rulelens.operators.tokens import _SQL_TOKENS, counted_once, document_tokens, found
 from rulelens.sources.rules import Table
 
 _A = ar.ALL_MARKS
@@ -69,14 +70,26 @@ CONSTRUCTIONS = Table("constructions", "id trigger_word follows lang meaning", "
 
 
 def j28_constructions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trigger and next token against the construction table; the first in order counts, once a document."""
-    order = Window.partitionBy("doc_id", "sent_idx").orderBy("pos")
-    t = token_rows(spark, sf_dir).withColumn("next", F.lead("token").over(order))
-    c = F.broadcast(CONSTRUCTIONS.frame(spark).withColumnRenamed("lang", "clang"))
-    hit = t.join(c, (t.token == c.trigger_word) & (t.lang == c.clang)).where("follows is null or follows = next")
-    first = hit.groupBy("doc_id", "lang", "sent_idx", "pos").agg(F.min(F.struct("id", "meaning")).alias("c"))
-    each = first.groupBy("doc_id", "lang", F.col("c.id").alias("id"), F.col("c.meaning").alias("meaning")).agg(F.min(F.struct("sent_idx", "pos")).alias("at"), F.count("*").alias("hits"))
-    return each.groupBy("lang", "id", "meaning").agg(F.count("*").alias("docs"), F.sum("hits").alias("hits"), F.min("at.sent_idx").alias("earliest"))
+    """Trigger and next token against the construction table; the first in order counts, once a document."""
+
+    def in_sentence(toks: Column, s: Column) -> Column:
+        def first(t: Column, i: Column) -> Column:
+            out = F.lit(None).cast("int")
+            for number, trigger, follows, lang, _ in sorted(CONSTRUCTIONS.rows, reverse=True):
+                fits = (t == trigger) & (F.col("lang") == lang)
+                out = F.when(fits if follows is None else fits & F.coalesce(at(toks, i + 1) == follows, F.lit(False)), number).otherwise(out)
+            return F.struct(out.alias("id"), s.alias("sent"))
+
+        return indexed(toks, first, lambda x: x["id"].isNotNull())
+
+    def of_document(hits: Column) -> Column:
+        of = lambda x: F.filter(hits, lambda h: h["id"] == x)
+        each = lambda x: F.struct(x.alias("id"), F.size(of(x)).cast("long").alias("hits"), F.array_min(F.transform(of(x), lambda h: h["sent"])).alias("earliest"))
+        return F.transform(F.array_distinct(F.transform(hits, lambda h: h["id"])), each)
+
+    hits = let(F.flatten(F.transform("sents", in_sentence)), of_document)
+    summed = found(document_tokens(spark, sf_dir), hits, "lang").groupBy("lang", "id").agg(F.count("*").alias("docs"), F.sum("hits").alias("hits"), F.min("earliest").alias("earliest"))
+    return summed.join(F.broadcast(CONSTRUCTIONS.frame(spark).select("id", "meaning")), "id")
 
 
 J28 = f"WITH {CONSTRUCTIONS.sql()}, {_SQL_TOKENS}, n AS (SELECT *, lead(token) OVER (PARTITION BY doc_id, sent_idx ORDER BY pos) AS next FROM tokens), h AS (SELECT doc_id, n.lang, sent_idx, pos, id, meaning FROM n JOIN constructions c ON token = trigger_word AND c.lang = n.lang AND (follows IS NULL OR follows = next) QUALIFY row_number() OVER (PARTITION BY doc_id, sent_idx, pos ORDER BY id) = 1), e AS (SELECT doc_id, lang, id, meaning, min(sent_idx) AS first_at, count(*) AS hits FROM h GROUP BY ALL) SELECT lang, id, meaning, count(*) AS docs, sum(hits)::BIGINT AS hits, min(first_at) AS earliest FROM e GROUP BY ALL"
@@ -87,11 +100,14 @@ MODALS = Table("modals", "phrase lang force", "string string string", (("to be",
 
 def d05_modals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modal markers by windows of one and two tokens; a longer phrase at a place beats a shorter one."""
-    order = Window.partitionBy("doc_id", "sent_idx").orderBy("pos")
-    t = token_rows(spark, sf_dir).withColumn("two", F.concat_ws(" ", "token", F.lead("token").over(order)))
-    grams = t.select("doc_id", "lang", "sent_idx", "pos", F.explode(F.array_distinct(F.array("token", "two"))).alias("phrase"))
-    hit = grams.join(F.broadcast(MODALS.frame(spark)), ["phrase", "lang"]).groupBy("doc_id", "lang", "sent_idx", "pos").agg(F.max(F.struct(F.length("phrase").alias("n"), "phrase", "force")).alias("m"))
-    return hit.groupBy("lang", F.col("m.phrase").alias("phrase"), F.col("m.force").alias("force")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+    def phrases(toks: Column) -> Column:
+        modal = lambda p: labelled(p, F.col("lang"), [(phrase, lang, phrase) for phrase, lang, _ in MODALS.rows])
+        return indexed(toks, lambda t, i: F.coalesce(modal(F.concat_ws(" ", t, at(toks, i + 1))), modal(t)), lambda p: p.isNotNull())
+
+    each = counted_once(F.flatten(F.transform("sents", phrases)), lambda p, n: F.struct(p.alias("phrase"), n.cast("long").alias("n")))
+    summed = found(document_tokens(spark, sf_dir), each, "lang").groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    return summed.join(F.broadcast(MODALS.frame(spark)), ["lang", "phrase"])
 
 
 D05 = f"WITH {MODALS.sql()}, {_SQL_TOKENS}, w AS (SELECT *, concat_ws(' ', token, lead(token) OVER (PARTITION BY doc_id, sent_idx ORDER BY pos)) AS two FROM tokens), g AS (SELECT DISTINCT doc_id, lang, sent_idx, pos, unnest([token, two]) AS phrase FROM w), h AS (SELECT doc_id, g.lang, sent_idx, pos, g.phrase, force FROM g JOIN modals m ON m.phrase = g.phrase AND m.lang = g.lang QUALIFY row_number() OVER (PARTITION BY doc_id, sent_idx, pos ORDER BY length(g.phrase) DESC, g.phrase DESC) = 1) SELECT lang, phrase, force, count(*) AS n, count(DISTINCT doc_id) AS docs FROM h GROUP BY ALL"

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rulelens.functions.arrays import let
+from rulelens.plans.reading import spread, table
 from rulelens.sources.rules import Table
 
 #: Claim patterns by type: a sentence gives one claim a type, by the first pattern in order. Plain enough for any engine.
@@ -16,17 +18,22 @@ CLAIMS = Table("claim_rules", "rule type pattern confidence focus", "int string
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as parts of pages: each line of a document is a page of its source."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = spread(table(spark, sf_dir, "documents")).select("source", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return docs.select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("page", "raw"))
 
 
 _PAGES = "pages_ AS (SELECT source, doc_id, unnest(l) AS raw, generate_subscripts(l, 1) - 1 AS page FROM (SELECT source, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))"
 
 
+def is_heading(raw: Column) -> Column:
+    line = F.trim(raw)
+    return (F.length(line) > 0) & (F.length(line) <= 60) & ~line.rlike("[.,;:!?]$")
+
+
 def topics(pages: DataFrame) -> DataFrame:
     """Headings: short lines without end punctuation; a topic ends on the page before the next one."""
     line = F.trim("raw")
-    heads = pages.where((F.length(line) > 0) & (F.length(line) <= 60) & ~line.rlike("[.,;:!?]$")).select("source", "doc_id", F.col("page").alias("start_page"), line.alias("title"))
+    heads = pages.where(is_heading(F.col("raw"))).select("source", "doc_id", F.col("page").alias("start_page"), line.alias("title"))
     after = F.lead("start_page").over(Window.partitionBy("source", "doc_id").orderBy("start_page"))
     return heads.withColumn("end_page", F.coalesce(after - 1, F.col("start_page")))
 
@@ -39,13 +46,29 @@ _TOPICS = "topics AS (SELECT source, doc_id, page AS start_page, trim(raw) AS ti
 B03 = f"WITH {_PAGES}, {_TOPICS} SELECT * FROM topics"
 
 
+def page_claims(raw: Column) -> Column:
+    """Claims (sent, type, rule, focus, text, confidence) of a page, one a sentence and type, by the first pattern in order.
+
+    The patterns are literals of one expression, compiled once; no join compares sentences with rules.
+    """
+
+    def in_sentence(s: Column, i: Column) -> Column:
+        sure = lambda c: F.least(F.lit(0.95), F.lit(c) + F.when(F.length(s) > 120, 0.05).otherwise(0.0)) - F.when(F.length(s) < 30, 0.15).otherwise(0.0)
+        made = []
+        for kind in dict.fromkeys(r[1] for r in CLAIMS.rows):
+            best = F.lit(None).cast("struct<sent:int,type:string,rule:int,focus:string,text:string,confidence:double>")
+            for rule, _, pattern, confidence, focus in sorted((r for r in CLAIMS.rows if r[1] == kind), reverse=True):
+                claim = F.struct(i.alias("sent"), F.lit(kind).alias("type"), F.lit(rule).alias("rule"), F.lit(focus).alias("focus"), s.alias("text"), F.round(F.greatest(F.lit(0.05), sure(confidence)), 4).alias("confidence"))
+                best = F.when(s.rlike(pattern), claim).otherwise(best)
+            made.append(best)
+        return F.when(F.length(s) >= 10, F.array_compact(F.array(*made))).otherwise(F.array().cast("array<struct<sent:int,type:string,rule:int,focus:string,text:string,confidence:double>>"))
+
+    return F.flatten(F.transform(F.split(F.lower(raw), r"[.!?]+ ?"), in_sentence))
+
+
 def claim_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One claim per sentence and type, with confidence by length and focus (B7, G42, arithmetic of confidences)."""
-    s = chunks(spark, sf_dir).select("source", "doc_id", "page", F.posexplode(F.split(F.lower("raw"), r"[.!?]+ ?")).alias("sent", "s")).where(F.length("s") >= 10)
-    hit = s.join(F.broadcast(CLAIMS.frame(spark)), F.expr("s rlike pattern"))
-    first = hit.groupBy("source", "doc_id", "page", "sent", "type").agg(F.min(F.struct("rule", "confidence", "focus", "s")).alias("x"))
-    sure = F.least(F.lit(0.95), F.col("x.confidence") + F.when(F.length("x.s") > 120, 0.05).otherwise(0.0)) - F.when(F.length("x.s") < 30, 0.15).otherwise(0.0)
-    return first.select("source", "doc_id", "page", "sent", "type", "x.rule", "x.focus", F.col("x.s").alias("text"), F.round(F.greatest(F.lit(0.05), sure), 4).alias("confidence"))
+    return chunks(spark, sf_dir).select("source", "doc_id", "page", F.inline(page_claims(F.col("raw"))))
 
 
 _CLAIMS = rf"""{CLAIMS.sql()}, s AS (SELECT source, doc_id, page, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS sent FROM (SELECT source, doc_id, page, regexp_split_to_array(lower(raw), '[.!?]+ ?') AS l FROM pages_)),
@@ -78,17 +101,33 @@ B08 = f"WITH {_PAGES}, {_CLAIMS}, st AS (SELECT source, type, focus, count(*) AS
 
 
 def b11_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Status of each page: claims, in a topic's range, blank or bare; the review queue's reasons follow."""
-    pages = chunks(spark, sf_dir)
-    claims = claim_rows(spark, sf_dir).groupBy("doc_id", "page").agg(F.count("*").alias("claims"), F.min("confidence").alias("least"))
-    # Ranges of one document don't overlap: the last topic that began is the only one that can hold a page.
-    at = F.last("t", True).over(Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, 0))
-    heads = topics(pages).select("doc_id", F.col("start_page").alias("page"), F.struct("start_page", "end_page").alias("t"))
-    p = pages.join(heads, ["doc_id", "page"], "left").withColumn("t", at).join(claims, ["doc_id", "page"], "left")
-    inside = F.coalesce(F.col("page") <= F.col("t.end_page"), F.lit(False))
-    status = F.when(F.trim("raw") == "", "blank").when(F.col("claims") > 0, "claims").when(inside, "topic_only").otherwise("bare")
+    """Status of each page: claims, in a topic's range, blank or bare; the review queue's reasons follow.
+
+    A document's pages are read once and stay in its row. Ranges of its topics don't overlap, so the last heading at or
+    before a page is the only one whose range can hold it.
+    """
+    docs = spread(table(spark, sf_dir, "documents")).select("source", F.split(F.coalesce("text", F.lit("")), "\n").alias("pages"))
+
+    def described(pages: Column) -> Column:
+        heads = F.filter(F.transform(pages, lambda raw, i: F.when(is_heading(raw), i)), lambda i: i.isNotNull())
+
+        def of(hs: Column) -> Column:
+            def page(raw: Column, i: Column) -> Column:
+                began = F.array_max(F.filter(hs, lambda h: h <= i))
+                after = F.array_min(F.filter(hs, lambda h: h > i))
+                inside = F.coalesce(i <= F.coalesce(after - 1, began), F.lit(False)) & began.isNotNull()
+                claims = page_claims(raw)
+                told = let(claims, lambda c: F.struct(F.size(c).cast("long").alias("claims"), F.array_min(F.transform(c, lambda x: x["confidence"])).alias("least")))
+                return F.struct((F.trim(raw) == "").alias("blank"), inside.alias("inside"), told.alias("told"))
+
+            return F.transform(pages, page)
+
+        return let(heads, of)
+
+    p = docs.select("source", F.inline(let(F.col("pages"), described))).select("source", "blank", "inside", "told.*")
+    status = F.when(F.col("blank"), "blank").when(F.col("claims") > 0, "claims").when(F.col("inside"), "topic_only").otherwise("bare")
     reason = F.when((status == "topic_only"), "topic without claims").when(F.col("least") < 0.6, "low confidence")
-    return p.select("source", status.alias("status"), F.coalesce(reason, F.lit("-")).alias("reason"), F.coalesce("claims", F.lit(0)).alias("claims")).groupBy("source", "status", "reason").agg(F.count("*").alias("pages"), F.sum("claims").alias("claims"))
+    return p.select("source", status.alias("status"), F.coalesce(reason, F.lit("-")).alias("reason"), "claims").groupBy("source", "status", "reason").agg(F.count("*").alias("pages"), F.sum("claims").alias("claims"))
 
 
 B11 = f"WITH {_PAGES}, {_TOPICS}, {_CLAIMS}, c AS (SELECT doc_id, page, count(*) AS claims, min(confidence) AS least FROM claims GROUP BY ALL), p AS (SELECT g.source, trim(raw) AS raw, coalesce(c.claims, 0) AS claims, least, EXISTS (SELECT 1 FROM topics t WHERE t.doc_id = g.doc_id AND g.page BETWEEN t.start_page AND t.end_page) AS inside FROM pages_ g LEFT JOIN c USING (doc_id, page)), sp AS (SELECT *, CASE WHEN raw = '' THEN 'blank' WHEN claims > 0 THEN 'claims' WHEN inside THEN 'topic_only' ELSE 'bare' END AS status FROM p) SELECT source, status, CASE WHEN status = 'topic_only' THEN 'topic without claims' WHEN least < 0.6 THEN 'low confidence' ELSE '-' END AS reason, count(*) AS pages, sum(claims)::BIGINT AS claims FROM sp GROUP BY ALL"
