@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rulelens.functions import arabic as ar
-from rulelens.sources.rules import LEXICON, WORDS, Table
+from rulelens.sources.rules import LEXICON, Table
+from rulelens.sources.spelled import WORDS_SQL, words
 
 _STRICT = f"regexp_replace(translate(replace({{0}}, '{ar.TATWEEL}', ''), 'ٱآإأٰؤ', 'اااااا'), '[{ar.ALL_MARKS}]', '', 'g')"
 _NORM = f"translate(replace({{0}}, '{ar.TATWEEL}', ''), '{ar.WASLA}', 'ا')"
@@ -43,14 +44,14 @@ def tiered(words: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def j01_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiered(WORDS.frame(spark), LEXICON.frame(spark)).select("id", "tier", "best.entry", "best.class", "best.tag")
+    return tiered(words(spark, sf_dir), LEXICON.frame(spark)).select("id", "tier", "best.entry", "best.class", "best.tag")
 
 
 def _index(name: str, key: str) -> str:
     return f"{name} AS (SELECT {key} AS key, arg_min(struct_pack(entry := entry, class := class, tag := tag), entry) AS best, count(DISTINCT class) > 1 AS ambiguous FROM lexicon GROUP BY {key})"
 
 
-J01 = f"""WITH {WORDS.sql()}, {LEXICON.sql()}, {_index("e", "form")}, {_index("n", _NORM.format("form"))}, {_index("s", _STRICT.format("form"))},
+J01 = f"""WITH {WORDS_SQL}, {LEXICON.sql()}, {_index("e", "form")}, {_index("n", _NORM.format("form"))}, {_index("s", _STRICT.format("form"))},
 j AS (SELECT id, e.best AS b0, n.best AS b1, n.ambiguous AS a1, s.best AS b2 FROM words LEFT JOIN e ON word = e.key LEFT JOIN n ON {_NORM.format("word")} = n.key
   LEFT JOIN s ON {_STRICT.format("word")} = s.key AND NOT s.ambiguous AND s.best.class = 'VERB'),
 b AS (SELECT id, CASE WHEN b0 IS NOT NULL THEN 'exact' WHEN a1 THEN 'ambiguous' WHEN b1 IS NOT NULL THEN 'normalized' WHEN b2 IS NOT NULL THEN 'strict' ELSE 'none' END AS tier, CASE WHEN b0 IS NOT NULL THEN b0 WHEN a1 THEN NULL ELSE coalesce(b1, b2) END AS best FROM j)
@@ -59,14 +60,14 @@ SELECT id, tier, best.entry AS entry, best.class AS class, best.tag AS tag FROM
 
 def j04_strict_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact forms, else stripped ones with as many shaddas; best priority first."""
-    w, x = WORDS.frame(spark), LEXICON.frame(spark)
+    w, x = words(spark, sf_dir), LEXICON.frame(spark)
     exact = w.join(F.broadcast(x), F.col("word") == F.col("form")).withColumn("how", F.lit(0))
     plain = w.join(F.broadcast(x), (ar.strip_all(F.col("word")) == ar.strip_all(F.col("form"))) & (shaddas(F.col("word")) == shaddas(F.col("form")))).withColumn("how", F.lit(1))
     best = Window.partitionBy("id").orderBy("how", F.desc("priority"), "entry")
     return exact.unionByName(plain).withColumn("rank", F.row_number().over(best)).where("rank = 1").select("id", "how", "entry", "needs_context")
 
 
-J04 = f"""WITH {WORDS.sql()}, {LEXICON.sql()}, u AS (SELECT id, 0 AS how, l.* FROM words JOIN lexicon l ON word = form UNION ALL
+J04 = f"""WITH {WORDS_SQL}, {LEXICON.sql()}, u AS (SELECT id, 0 AS how, l.* FROM words JOIN lexicon l ON word = form UNION ALL
 SELECT id, 1, l.* FROM words JOIN lexicon l ON regexp_replace(word, '[{ar.ALL_MARKS}]', '', 'g') = regexp_replace(form, '[{ar.ALL_MARKS}]', '', 'g') AND {_SHADDAS.format("word")} = {_SHADDAS.format("form")})
 SELECT id, how, entry, needs_context FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY how, priority DESC, entry) = 1"""
 
@@ -123,10 +124,10 @@ def first_match(x: Column, rules: Table) -> Column:
 
 
 def f01_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return WORDS.frame(spark).select("id", first_match(F.col("word"), PREDICATES).alias("label"))
+    return words(spark, sf_dir).select("id", first_match(F.col("word"), PREDICATES).alias("label"))
 
 
-F01 = f"""WITH {WORDS.sql()} SELECT id, CASE WHEN (starts_with(word, 'ال') OR starts_with(word, 'ٱل')) AND NOT ends_with(word, 'ة') THEN 'article' WHEN ends_with(word, 'ة') OR ends_with(word, 'ةٌ') THEN 'feminine'
+F01 = f"""WITH {WORDS_SQL} SELECT id, CASE WHEN (starts_with(word, 'ال') OR starts_with(word, 'ٱل')) AND NOT ends_with(word, 'ة') THEN 'article' WHEN ends_with(word, 'ة') OR ends_with(word, 'ةٌ') THEN 'feminine'
 WHEN regexp_matches(word, '[ً-ٍ]') THEN 'tanwin' WHEN starts_with(word, 'سَ') AND substr(word, 3, 1) IN ('ي', 'ت', 'ن') THEN 'future' WHEN word <> '' AND length(word) <= 4 THEN 'short'
 WHEN ends_with(word, 'ونَ') OR ends_with(word, 'ينَ') THEN 'sound_plural' WHEN coalesce(word, '') = '' THEN 'empty' ELSE 'rest' END AS label FROM words"""
 
@@ -139,7 +140,7 @@ SUFFIX = rf"^(.*?)((?:ُونَ|ِينَ|َاتٌ|ُوا|تُمْ|هُمْ|هَا
 
 def g10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conjunction, preposition or future, article, stem and ending; parts rebuild the word (G10 to G31, native)."""
-    w = WORDS.frame(spark).where("word <> ''").withColumn("w", norm_key(F.trim("word")))
+    w = words(spark, sf_dir).where("word <> ''").withColumn("w", norm_key(F.trim("word")))
     body = F.regexp_extract("w", PREFIX, 4)
     long = F.length(ar.strip_all(body)) >= 2
     part = lambda k: F.when(long, F.regexp_extract("w", PREFIX, k)).otherwise("")
@@ -152,7 +153,7 @@ def g10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _P = PREFIX.replace("'", "''")
-G10 = f"""WITH {WORDS.sql()}, w AS (SELECT id, {_NORM.format("trim(word)")} AS w FROM words WHERE word <> ''),
+G10 = f"""WITH {WORDS_SQL}, w AS (SELECT id, {_NORM.format("trim(word)")} AS w FROM words WHERE word <> ''),
 p AS (SELECT *, regexp_extract(w, '{_P}', 4) AS body, length(regexp_replace(regexp_extract(w, '{_P}', 4), '[{ar.ALL_MARKS}]', '', 'g')) >= 2 AS long FROM w),
 r AS (SELECT id, w, CASE WHEN long THEN regexp_extract(w, '{_P}', 1) ELSE '' END AS conj, CASE WHEN long THEN regexp_extract(w, '{_P}', 2) ELSE '' END AS prep, CASE WHEN long THEN regexp_extract(w, '{_P}', 3) ELSE '' END AS det, CASE WHEN long THEN body ELSE w END AS rest FROM p),
 s AS (SELECT *, length(regexp_replace(regexp_extract(rest, '{SUFFIX}', 1), '[{ar.ALL_MARKS}]', '', 'g')) >= 2 AS enough FROM r),
@@ -166,14 +167,17 @@ PATTERNS = Table("patterns", "pattern regex letters", "string string int", (
 
 
 def m03_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Patterns that stems of distinct words fit, and the best one: three letters first, then the longest pattern."""
-    stems = g10_segments(spark, sf_dir).select("id", "stem")
-    distinct = stems.select("stem").distinct()
-    fits = distinct.join(F.broadcast(PATTERNS.frame(spark)), F.expr("stem rlike regex"))
-    root = F.concat(F.expr("regexp_extract(stem, regex, 1)"), F.expr("regexp_extract(stem, regex, 2)"), F.when(F.col("letters") == 3, F.expr("regexp_extract(stem, regex, 3)")).otherwise(""))
-    best = Window.partitionBy("stem").orderBy(F.desc("letters"), F.desc(F.length("regex")), "pattern")
-    ranked = fits.withColumns({"root": ar.root_fold(root), "rank": F.row_number().over(best), "n_fits": F.count("*").over(Window.partitionBy("stem"))}).where("rank = 1")
-    return stems.join(ranked, "stem", "left").select("id", "pattern", "root", F.coalesce("n_fits", F.lit(0)).alias("n_fits"), F.when(F.col("pattern").isNull(), "Zero").otherwise("Hypothesis").alias("proof"))
+    """Patterns that stems of distinct words fit, and the best one: three letters first, then the longest pattern.
+
+    The patterns are literals of one expression, tried in order of preference; no join compares words with patterns.
+    """
+    stem, best = F.col("stem"), F.lit(None).cast("struct<pattern:string,root:string>")
+    for pattern, regex, n in sorted(PATTERNS.rows, key=lambda r: (-r[2], -len(r[1]), r[0]), reverse=True):
+        root = ar.root_fold(F.concat(*[F.regexp_extract(stem, regex, k) for k in range(1, n + 1)]))
+        best = F.when(stem.rlike(regex), F.struct(F.lit(pattern).alias("pattern"), root.alias("root"))).otherwise(best)
+    fits = sum((stem.rlike(regex).cast("long") for _, regex, _ in PATTERNS.rows), F.lit(0).cast("long"))
+    aligned = g10_segments(spark, sf_dir).select("id", best.alias("b"), fits.alias("n_fits"))
+    return aligned.select("id", "b.pattern", "b.root", "n_fits", F.when(F.col("b").isNull(), "Zero").otherwise("Hypothesis").alias("proof"))
 
 
 def _m03_sql() -> str:
@@ -183,7 +187,7 @@ def _m03_sql() -> str:
 
 def m13_word_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ordered cascade over joined lookups: lexicon, nunation, article, verb shapes, plural endings, default noun."""
-    j = tiered(WORDS.frame(spark), LEXICON.frame(spark))
+    j = tiered(words(spark, sf_dir), LEXICON.frame(spark))
     w = F.coalesce("word", F.lit(""))
     cls = F.when(w == "", F.lit(None)).when(F.col("best").isNotNull(), F.col("best.class")).when(w.rlike("[ً-ٍ]"), "NOUN").when(w.rlike("^[وف]?َ?[اٱ]ل"), "NOUN").when(w.rlike(f"^سَ?[يتن]|^[يتن]َ.ْ|^فَ?كُ"), "VERB").when(w.rlike("تُمْ$|ُوا$"), "VERB").otherwise("NOUN")
     why = F.when(w == "", "empty").when(F.col("best").isNotNull(), F.concat(F.lit("lexicon_"), F.col("tier"))).when(w.rlike("[ً-ٍ]"), "tanwin").when(w.rlike("^[وف]?َ?[اٱ]ل"), "article").when(w.rlike(f"^سَ?[يتن]|^[يتن]َ.ْ|^فَ?كُ"), "verb_prefix").when(w.rlike("تُمْ$|ُوا$"), "verb_suffix").otherwise("default")
@@ -204,10 +208,10 @@ def f41_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = ar.strip_all(w)
     gender = F.when(plain.rlike("ة$"), "F").when(plain.rlike("ات$"), "F").otherwise("M")
     number = F.when(plain.rlike("ات$"), "PL").when(w.rlike("ُونَ?$"), "PL").when(w.rlike("َانِ?$"), "DU").when(w.rlike("ِينَ?$"), "PL_AMBIGUOUS").otherwise("SG")
-    return WORDS.frame(spark).select("id", F.regexp_extract(w, f"([{ar.MARKS}])[^{ar.MARKS}]*$", 1).alias("last_mark"), F.length(plain).alias("letters"), F.regexp_extract(w, f"^((?:[^{ar.ALL_MARKS}]{_MK}){{2}})", 1).alias("head"), gender.alias("gender"), number.alias("number"), F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("|", "id", w), 256)).alias("seal"))
+    return words(spark, sf_dir).select("id", F.regexp_extract(w, f"([{ar.MARKS}])[^{ar.MARKS}]*$", 1).alias("last_mark"), F.length(plain).alias("letters"), F.regexp_extract(w, f"^((?:[^{ar.ALL_MARKS}]{_MK}){{2}})", 1).alias("head"), gender.alias("gender"), number.alias("number"), F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("|", "id", w), 256)).alias("seal"))
 
 
-F41 = f"""WITH {WORDS.sql()}, x AS (SELECT id, coalesce(word, '') AS w, regexp_replace(coalesce(word, ''), '[{ar.ALL_MARKS}]', '', 'g') AS p FROM words)
+F41 = f"""WITH {WORDS_SQL}, x AS (SELECT id, coalesce(word, '') AS w, regexp_replace(coalesce(word, ''), '[{ar.ALL_MARKS}]', '', 'g') AS p FROM words)
 SELECT id, regexp_extract(w, '([{ar.MARKS}])[^{ar.MARKS}]*$', 1) AS last_mark, length(p)::INT AS letters, regexp_extract(w, '^((?:[^{ar.ALL_MARKS}]{_MK}){{2}})', 1) AS head, CASE WHEN regexp_matches(p, 'ة$|ات$') THEN 'F' ELSE 'M' END AS gender,
 CASE WHEN regexp_matches(p, 'ات$') THEN 'PL' WHEN regexp_matches(w, 'ُونَ?$') THEN 'PL' WHEN regexp_matches(w, 'َانِ?$') THEN 'DU' WHEN regexp_matches(w, 'ِينَ?$') THEN 'PL_AMBIGUOUS' ELSE 'SG' END AS number, 'sha256:' || sha256(id || '|' || w) AS seal FROM x"""
 
