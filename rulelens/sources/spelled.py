@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from rulelens.functions import arabic as ar
 from rulelens.operators.tokens import _SQL_TOKENS, document_tokens
+from rulelens.plans.scratch import save
 from rulelens.sources.rules import Table
 
 A, M = ar.ALL_MARKS, ar.MARKS
@@ -141,23 +142,29 @@ class Staged:
     stages: tuple[dict[str, str], ...]
     select: str
     lookups: tuple[tuple[Table, str, str, dict[str, str]], ...] = ()
+    #: Stages after which the columns so far are written: a long chain of expressions is planned in parts.
+    cuts: tuple[int, ...] = ()
 
     def frame(self, df: DataFrame) -> DataFrame:
         for table, key, column, named in self.lookups:
             small = table.frame(df.sparkSession).select(F.col(column).alias("_key"), *[F.col(c).alias(n) for n, c in named.items()])
             df = df.withColumn("_at", F.expr(for_spark(key))).join(F.broadcast(small), F.col("_at") == F.col("_key"), "left").drop("_at", "_key")
-        for stage in self.stages:
+        for k, stage in enumerate(self.stages):
             df = df.selectExpr("*", *[f"{for_spark(e)} AS {n}" for n, e in stage.items()])
+            if k + 1 in self.cuts:
+                df = save(df.drop(*[c for c in df.columns if c.startswith("_")]), "stages")
         return df.selectExpr(*_columns(self.select))
 
     def sql(self, ctes: str = WORDS_SQL, source: str = "words") -> str:
-        tables = {t.name: t.sql() for t, *_ in self.lookups}
-        out = source
+        tables, out = {t.name: t.sql() for t, *_ in self.lookups}, source
         for table, key, column, named in self.lookups:
             columns = ", ".join(f"l.{c} AS {n}" for n, c in named.items())
             out = f"(SELECT s.*, {columns} FROM {out} AS s LEFT JOIN {table.name} AS l ON {for_duck(key)} = l.{column})"
-        for stage in self.stages:
+        for k, stage in enumerate(self.stages):
             out = f"(SELECT *, {', '.join(f'{for_duck(e)} AS {n}' for n, e in stage.items())} FROM {out})"
+            if k + 1 in self.cuts:  # as the job does, so that no planner unfolds the whole chain
+                tables[f"cut{k}"] = f"cut{k} AS MATERIALIZED (SELECT * FROM {out})"
+                out = f"cut{k}"
         return f"WITH {', '.join([ctes, *tables.values()])} SELECT {self.select} FROM {out}"
 
     def query(self):
