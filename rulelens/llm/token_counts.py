@@ -33,7 +33,7 @@ from rulelens.plans.scratch import save
 
 CHUNK, MAX_TOKENS = 32_768, 2048
 #: Words of up to 64 characters, pairs of tokens and states that a worker keeps; beyond, it starts anew.
-KEPT_WORDS, LONGEST_KEPT, KEPT_PAIRS, KEPT_STATES = 400_000, 64, 1_000_000, 60_000
+KEPT_WORDS, LONGEST_KEPT, KEPT_PAIRS, KEPT_STATES = 600_000, 64, 1_000_000, 300_000
 #: Characters before a chunk from which its state is guessed; the longest special string.
 LOOKBACK, SPECIAL_LENGTH = 64, 17
 
