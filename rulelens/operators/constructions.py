@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from rulelens.functions import arabic as ar
 from rulelens.functions.arrays import at, indexed, labelled, let
-from rulelens.operators.graph import SENTENCES
+from rulelens.operators.graph import _EVENTS, events
 from rulelens.operators.tokens import _SQL_TOKENS, counted_once, document_tokens, found
+from rulelens.sources.analysed import TOKS_SQL, sentences
 from rulelens.sources.rules import Table
+from rulelens.sources.spelled import WORDS_SQL, words
 
 _A = ar.ALL_MARKS
 
@@ -17,7 +19,7 @@ _A = ar.ALL_MARKS
 def w01_case_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Case by the previous token's class, then by ending; the mark that shows it."""
     order = Window.partitionBy("sent").orderBy("pos")
-    t = SENTENCES.frame(spark).withColumns({"prev": F.lag("class").over(order), "plain": F.col("surface")})
+    t = sentences(spark, sf_dir).withColumns({"prev": F.lag("class").over(order), "plain": F.col("surface")})
     last = F.regexp_extract("surface", f"([{ar.MARKS}])[^{ar.MARKS}]*$", 1)
     named = F.col("class").isin("NOUN", "ADJ")
     case = F.when(~named, None).when(F.coalesce(F.col("prev") == "PREP", F.lit(False)), "GEN").when(F.col("surface").rlike("ُونَ?$"), "NOM").when(F.col("surface").rlike("ِينَ?$"), "OBL").when(last.isin("ُ", "ٌ"), "NOM").when(last.isin("َ", "ً"), "ACC").when(last.isin("ِ", "ٍ"), "GEN").otherwise("UNKNOWN")
@@ -25,34 +27,31 @@ def w01_case_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("sent", "pos", case.alias("gcase"), mark.alias("mark"), F.coalesce(case == F.col("gcase"), ~named & F.col("gcase").isNull()).alias("agrees"))
 
 
-W01 = f"""WITH {SENTENCES.sql()}, t AS (SELECT *, lag(class) OVER (PARTITION BY sent ORDER BY pos) AS prev, regexp_extract(surface, '([{ar.MARKS}])[^{ar.MARKS}]*$', 1) AS last, class IN ('NOUN', 'ADJ') AS named FROM toks),
+W01 = f"""WITH {TOKS_SQL}, t AS (SELECT *, lag(class) OVER (PARTITION BY sent ORDER BY pos) AS prev, regexp_extract(surface, '([{ar.MARKS}])[^{ar.MARKS}]*$', 1) AS last, class IN ('NOUN', 'ADJ') AS named FROM toks),
 c AS (SELECT *, CASE WHEN NOT named THEN NULL WHEN coalesce(prev = 'PREP', false) THEN 'GEN' WHEN regexp_matches(surface, 'ُونَ?$') THEN 'NOM' WHEN regexp_matches(surface, 'ِينَ?$') THEN 'OBL' WHEN last IN ('ُ', 'ٌ') THEN 'NOM' WHEN last IN ('َ', 'ً') THEN 'ACC' WHEN last IN ('ِ', 'ٍ') THEN 'GEN' ELSE 'UNKNOWN' END AS c FROM t)
 SELECT sent, pos, c AS gcase, CASE WHEN regexp_matches(surface, '[وي]نَ?$') THEN 'letter' WHEN last <> '' THEN 'vowel' ELSE 'none' END AS mark, coalesce(c = gcase, NOT named AND gcase IS NULL) AS agrees FROM c"""
 
-#: Verbs with object endings and nouns with possessive ones.
-CLITIC_WORDS = Table("clitic_words", "id word", "int string", tuple(enumerate(("كَتَبَهُ", "كِتَابُهُ", "ضَرَبَهُمْ", "بَيْتُهُمْ", "رَبُّكُمْ", "نَصَرَكُمْ", "مِنْهَا", "قَلْبِي", "هُ", None, "سَمِعَنَا"), 1)))
 #: Pronoun endings, longest first: person, gender and number.
 CLITICS = Table("clitics", "ending person gender number", "string int string string", (("هُمْ", 3, "M", "PL"), ("كُمْ", 2, "M", "PL"), ("هَا", 3, "F", "SG"), ("نَا", 1, "C", "PL"), ("هُ", 3, "M", "SG"), ("ي", 1, "C", "SG")))
 
 
 def f15_clitics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest pronoun ending that leaves two letters; object if the stem looks verbal, else possessive."""
-    w, c = CLITIC_WORDS.frame(spark), F.broadcast(CLITICS.frame(spark))
-    stem = F.expr("substring(word, 1, length(word) - length(ending))")
-    fits = w.join(c, F.expr("endswith(word, ending)")).withColumn("stem", stem).where(F.length(ar.strip_all(F.col("stem"))) >= 2)
-    best = fits.groupBy("id").agg(F.max(F.struct(F.length("ending").alias("n"), "ending", "stem", "person", "gender", "number")).alias("x"))
+    ending = lambda e, person, gender, number: F.struct(F.lit(len(e)).alias("n"), F.lit(e).alias("ending"), F.left("word", F.length("word") - len(e)).alias("stem"), F.lit(person).alias("person"), F.lit(gender).alias("gender"), F.lit(number).alias("number"))
+    fits = F.filter(F.array(*[ending(*row) for row in CLITICS.rows]), lambda x: F.endswith(F.col("word"), x["ending"]) & (F.length(ar.strip_all(x["stem"])) >= 2))
+    best = words(spark, sf_dir).withColumn("x", F.array_max(fits))
     verbal = F.col("x.stem").rlike(f"^[^{_A}]َ[^{_A}][َُِ]?[^{_A}]َ$")
-    return w.join(best, "id", "left").select("id", F.col("x.ending").alias("ending"), F.col("x.person").alias("person"), F.col("x.number").alias("number"), F.when(F.col("x").isNull(), "none").when(verbal, "object").otherwise("possessive").alias("kind"))
+    return best.select("id", F.col("x.ending").alias("ending"), F.col("x.person").alias("person"), F.col("x.number").alias("number"), F.when(F.col("x").isNull(), "none").when(verbal, "object").otherwise("possessive").alias("kind"))
 
 
-F15 = f"WITH {CLITIC_WORDS.sql()}, {CLITICS.sql()}, f AS (SELECT id, ending, person, number, left(word, length(word) - length(ending)) AS stem FROM clitic_words JOIN clitics ON ends_with(word, ending)), b AS (SELECT * FROM f WHERE length(regexp_replace(stem, '[{_A}]', '', 'g')) >= 2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY length(ending) DESC, ending DESC) = 1) SELECT w.id, ending, person, number, CASE WHEN b.id IS NULL THEN 'none' WHEN regexp_matches(stem, '^[^{_A}]َ[^{_A}][َُِ]?[^{_A}]َ$') THEN 'object' ELSE 'possessive' END AS kind FROM clitic_words w LEFT JOIN b ON b.id = w.id"
+F15 = f"WITH {WORDS_SQL}, {CLITICS.sql()}, f AS (SELECT id, ending, person, number, left(word, length(word) - length(ending)) AS stem FROM words JOIN clitics ON ends_with(word, ending)), b AS (SELECT * FROM f WHERE length(regexp_replace(stem, '[{_A}]', '', 'g')) >= 2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY length(ending) DESC, ending DESC) = 1) SELECT w.id, ending, person, number, CASE WHEN b.id IS NULL THEN 'none' WHEN regexp_matches(stem, '^[^{_A}]َ[^{_A}][َُِ]?[^{_A}]َ$') THEN 'object' ELSE 'possessive' END AS kind FROM words w LEFT JOIN b ON b.id = w.id"
 
 
 def m23_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring noun and adjective, verb and subject, pronoun and noun before it: what agrees, and the blockers."""
     order = Window.partitionBy("sent").orderBy("pos")
     prev = F.lag(F.struct("pos", "class", "gcase", "definite", "gender", "number")).over(order)
-    t = SENTENCES.frame(spark).withColumn("p", prev).where("p is not null")
+    t = sentences(spark, sf_dir).withColumn("p", prev).where("p is not null")
     pair = F.when((F.col("p.class") == "NOUN") & (F.col("class") == "ADJ"), "attribute").when((F.col("p.class") == "VERB") & (F.col("class") == "NOUN"), "subject").when((F.col("p.class") == "NOUN") & (F.col("class") == "PRON"), "referent")
     off = lambda c, name: F.when(F.col(c).isNotNull() & F.col(f"p.{c}").isNotNull() & (F.col(c) != F.col(f"p.{c}")), name)
     blockers = F.array_compact(F.array(off("gender", "gender"), off("number", "number"), F.when(pair == "attribute", off("definite", "definite")), F.when(pair == "attribute", off("gcase", "case"))))
@@ -60,7 +59,7 @@ def m23_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("sent", "pos", pair.alias("pair"), F.array_join(blockers, ",").alias("blockers"), kind.alias("proof")).where("pair is not null")
 
 
-M23 = f"""WITH {SENTENCES.sql()}, t AS (SELECT *, lag(class) OVER o AS pc, lag(gcase) OVER o AS pg, lag(definite) OVER o AS pd, lag(gender) OVER o AS px, lag(number) OVER o AS pn FROM toks WINDOW o AS (PARTITION BY sent ORDER BY pos)),
+M23 = f"""WITH {TOKS_SQL}, t AS (SELECT *, lag(class) OVER o AS pc, lag(gcase) OVER o AS pg, lag(definite) OVER o AS pd, lag(gender) OVER o AS px, lag(number) OVER o AS pn FROM toks WINDOW o AS (PARTITION BY sent ORDER BY pos)),
 p AS (SELECT *, CASE WHEN pc = 'NOUN' AND class = 'ADJ' THEN 'attribute' WHEN pc = 'VERB' AND class = 'NOUN' THEN 'subject' WHEN pc = 'NOUN' AND class = 'PRON' THEN 'referent' END AS pair FROM t),
 b AS (SELECT sent, pos, pair, concat_ws(',', CASE WHEN gender <> px THEN 'gender' END, CASE WHEN number <> pn THEN 'number' END, CASE WHEN pair = 'attribute' AND definite <> pd THEN 'definite' END, CASE WHEN pair = 'attribute' AND gcase <> pg THEN 'case' END) AS blockers FROM p WHERE pair IS NOT NULL)
 SELECT *, CASE WHEN blockers = '' THEN 'Certificate' WHEN NOT contains(blockers, ',') THEN 'Hypothesis' ELSE 'Zero' END AS proof FROM b"""
@@ -112,18 +111,17 @@ def d05_modals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 D05 = f"WITH {MODALS.sql()}, {_SQL_TOKENS}, w AS (SELECT *, concat_ws(' ', token, lead(token) OVER (PARTITION BY doc_id, sent_idx ORDER BY pos)) AS two FROM tokens), g AS (SELECT DISTINCT doc_id, lang, sent_idx, pos, unnest([token, two]) AS phrase FROM w), h AS (SELECT doc_id, g.lang, sent_idx, pos, g.phrase, force FROM g JOIN modals m ON m.phrase = g.phrase AND m.lang = g.lang QUALIFY row_number() OVER (PARTITION BY doc_id, sent_idx, pos ORDER BY length(g.phrase) DESC, g.phrase DESC) = 1) SELECT lang, phrase, force, count(*) AS n, count(DISTINCT doc_id) AS docs FROM h GROUP BY ALL"
 
-#: Verb frames by role counts.
-FRAMES = Table("frames", "lemma role_agent role_patient role_place", "string int int int", (("كتب", 12, 9, 2), ("ذهب", 20, 0, 15), ("قرأ", 7, 7, 1), ("رجع", 3, None, 4)))
-
 
 def a31_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two commonest roles of each verb from unpivoted counts, with shares."""
-    long = FRAMES.frame(spark).unpivot("lemma", ["role_agent", "role_patient", "role_place"], "role", "n").where("n > 0")
+    """The two commonest roles of each verb from unpivoted counts over all events, with shares."""
+    count = lambda c, name: F.count(c).alias(name)
+    frames = events(sentences(spark, sf_dir), spark).groupBy(F.col("event").alias("lemma")).agg(count("agent_of", "role_agent"), count("patient_of", "role_patient"), count("in_location", "role_place"))
+    long = frames.unpivot("lemma", ["role_agent", "role_patient", "role_place"], "role", "n").where("n > 0")
     best = Window.partitionBy("lemma").orderBy(F.desc("n"), "role")
     return long.withColumns({"rank": F.row_number().over(best), "share": F.round(F.col("n") / F.sum("n").over(Window.partitionBy("lemma")), 6)}).where("rank <= 2")
 
 
-A31 = f"WITH {FRAMES.sql()}, u AS (UNPIVOT frames ON role_agent, role_patient, role_place INTO NAME role VALUE n) SELECT lemma, role, n, row_number() OVER (PARTITION BY lemma ORDER BY n DESC, role)::INT AS rank, round(n / sum(n) OVER (PARTITION BY lemma), 6) AS share FROM u WHERE n > 0 QUALIFY rank <= 2"
+A31 = f"WITH {_EVENTS}, frames AS (SELECT event AS lemma, count(agent_of) AS role_agent, count(patient_of) AS role_patient, count(in_location) AS role_place FROM events GROUP BY event), u AS (UNPIVOT frames ON role_agent, role_patient, role_place INTO NAME role VALUE n) SELECT lemma, role, n, row_number() OVER (PARTITION BY lemma ORDER BY n DESC, role)::INT AS rank, round(n / sum(n) OVER (PARTITION BY lemma), 6) AS share FROM u WHERE n > 0 QUALIFY rank <= 2"
 
 #: Opinion cues: preferred before rejected before reported.
 OPINIONS = Table("opinions", "cue stance priority", "string string int", (("ought", "preferred", 1), ("are the", "preferred", 1), ("not", "rejected", 2), ("with", "reported", 3)))

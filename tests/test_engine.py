@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from rulelens.functions import arabic as ar
 from rulelens.operators import graph, lookup, tokens
 from rulelens.sources import files
+from rulelens.sources.analysed import sentences
 from rulelens.streaming import trackers
+from tests.sentences import SENTENCES
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,11 +62,29 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(str, spark.table("windowed").collect())) == sorted(map(str, trackers.windowed(df).collect()))
 
 
-def test_fold_does_not_depend_on_row_order(spark):
-    t = graph.sentences(spark)
-    a = graph.roles(t).select("sent", "pos", "role")
-    b = graph.roles(t.orderBy(F.rand(3)).repartition(5)).select("sent", "pos", "role")
-    assert sorted(a.collect()) == sorted(b.collect())
+def test_fold_equals_windows_in_any_row_order(spark):
+    t = SENTENCES.frame(spark)
+    a = sorted(graph.roles(t).select("sent", "pos", "role").collect())
+    assert a == sorted(graph.roles(t.orderBy(F.rand(3)).repartition(5)).select("sent", "pos", "role").collect())
+    assert a == sorted(graph.folded_roles(t).collect())
+    assert {r.role for r in a} >= {"verb", "agent", "patient", "topic", "comment", "attribute", "possessor", "prep_object"}
+
+
+def test_fold_equals_windows_on_documents(spark):
+    t = sentences(spark, SF)
+    a, b = graph.roles(t).select("sent", "pos", "role"), graph.folded_roles(t)
+    assert a.count() == t.count() and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_resolutions_of_a_sentence_and_the_one_before(spark):
+    noun, pron = ("NOUN", "M", "SG"), ("PRON", "M", "SG")
+    rows = [(1, 0, "a", *noun), (1, 1, "b", *noun), (2, 0, "x", *pron), (2, 1, "c", *noun), (2, 2, "y", *pron), (4, 0, "z", *pron), (5, 0, "d", "NOUN", "F", "SG"), (6, 3, "w", "PRON", "F", "SG")]
+    t = spark.createDataFrame(rows, "sent long, pos int, surface string, class string, gender string, number string")
+    got = {r.surface: (r.target, r.nsent, r.npos, r.score, r.candidates, r.kind) for r in graph.resolutions(t).collect()}
+    assert got == {
+        "x": ("b", 1, 1, 0.6, 2, "Hypothesis"), "y": ("c", 2, 1, 0.909091, 3, "Certificate"),
+        "z": (None, None, None, None, None, "Zero"), "w": ("d", 5, 0, 0.461538, 1, "Certificate"),
+    }
 
 
 def test_segments_rebuild_words(spark):
