@@ -1,4 +1,4 @@
-"""Evaluation: accuracy, confusion, hold-out, drift, boundaries and sweeps (A12 to A28 without A18 and A25, J12 to J14)."""
+"""Evaluation: accuracy, confusion, hold-out, drift, boundaries and sweeps (A12 to A28 without A25, J12 to J14)."""
 
 from __future__ import annotations
 
@@ -85,5 +85,25 @@ def f43_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 F43 = r"WITH k AS (SELECT doc_id, unnest([CASE WHEN contains(text, '!!') THEN 'shouting' END, CASE WHEN regexp_matches(text, '[#*$%&]{3}') THEN 'marked' END, CASE WHEN contains(text, ' | ') THEN 'table' END, CASE WHEN length(coalesce(text, '')) < 100 THEN 'short' END, CASE WHEN regexp_matches(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+') THEN 'address' END]) AS kind FROM documents) SELECT kind, count(*) AS n, min(doc_id) AS example FROM k WHERE kind IS NOT NULL GROUP BY kind"
 
-QUERIES = {"a15_confusion": a15_confusion, "a17_holdout": a17_holdout, "a21_drift": a21_drift, "a24_boundaries": a24_boundaries, "a13_sweep_rollup": a13_sweep, "f43_anomalies": f43_anomalies}
-ORACLE = {"a15_confusion": A15, "a17_holdout": A17, "a21_drift": A21, "a24_boundaries": A24, "a13_sweep_rollup": A13, "f43_anomalies": F43}
+#: Modes of the ablation: the whole evidence, and that without one kind of it.
+MODES = {"whole": "marks AND long", "no_marks": "long", "no_length": "marks"}
+
+
+def a18_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy of each mode on all labelled documents, and how many the whole mode alone or the mode alone gets right."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    seen = docs.select("doc_id", (~F.col("text").rlike(POOR)).alias("marks"), (F.length("text") >= 400).alias("long"))
+    p = spark.read.parquet(f"{sf_dir}/labels.parquet").join(seen, "doc_id").withColumns({m: (F.expr(said).cast("int") == F.col("quality")) for m, said in MODES.items()})
+    long = p.select("whole", F.explode(F.create_map(*[x for m in MODES for x in (F.lit(m), F.col(m))])).alias("mode", "right"))
+    n = lambda holds: F.count(F.when(holds, 1))
+    c = long.groupBy("mode").agg(F.count("right").alias("n"), n(F.col("right")).alias("correct"), n(F.col("whole") & ~F.col("right")).alias("lost"), n(~F.col("whole") & F.col("right")).alias("won"))
+    return c.withColumn("accuracy", F.round(F.col("correct") / F.col("n"), 6))
+
+
+A18 = f"""WITH s AS (SELECT doc_id, NOT regexp_matches(coalesce(text, ''), '{POOR}') AS marks, length(coalesce(text, '')) >= 400 AS long FROM documents),
+p AS (SELECT {", ".join(f"({said})::INT = quality AS {m}" for m, said in MODES.items())} FROM labels JOIN s USING (doc_id)),
+l AS ({" UNION ALL ".join(f'SELECT whole, \'{m}\' AS mode, p.{m} AS ok FROM p' for m in MODES)})
+SELECT mode, count(ok) AS n, count(*) FILTER (ok) AS correct, count(*) FILTER (whole AND NOT ok) AS lost, count(*) FILTER (NOT whole AND ok) AS won, round(count(*) FILTER (ok) / count(ok), 6) AS accuracy FROM l GROUP BY mode"""
+
+QUERIES = {"a18_ablation": a18_ablation, "a15_confusion": a15_confusion, "a17_holdout": a17_holdout, "a21_drift": a21_drift, "a24_boundaries": a24_boundaries, "a13_sweep_rollup": a13_sweep, "f43_anomalies": f43_anomalies}
+ORACLE = {"a18_ablation": A18, "a15_confusion": A15, "a17_holdout": A17, "a21_drift": A21, "a24_boundaries": A24, "a13_sweep_rollup": A13, "f43_anomalies": F43}
