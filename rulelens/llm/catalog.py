@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rulelens.llm import bpe, chat, collocations, mixing, periodic, quality, secret_ledger, set_join, site_quality, token_counts, url_rules, vector_search
+from rulelens.llm import bpe, chat, collocations, mixing, periodic, quality, secret_ledger, set_join, site_quality, token_counts, toxicity, url_rules, vector_search
 
 _ALL = {
     "op1_mixing": mixing,
@@ -16,6 +16,7 @@ _ALL = {
     "op9_chat_windows": chat,
     "op10_secret_ledger": secret_ledger,
     "op11_periodic_runs": periodic,
+    "op12_toxicity": toxicity,
     "op13_collocations": collocations,
 }
 
