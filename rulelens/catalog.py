@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rulelens.operators import answers, constructions, evaluation, graph, lookup, mining, morphology, normalizing, references, segmenter, tokens
+from rulelens.operators import alignment, answers, constructions, evaluation, graph, lookup, mining, morphology, normalizing, references, segmenter, tokens
 from rulelens.streaming import trackers
 
 FLAGSHIP = "claims_by_marker"
-MODULES = (normalizing, tokens, lookup, morphology, segmenter, graph, references, answers, constructions, mining, evaluation, trackers)
+MODULES = (normalizing, tokens, lookup, morphology, alignment, segmenter, graph, references, answers, constructions, mining, evaluation, trackers)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,6 +3,7 @@ strip them are secondary columns beside the word, never in its place."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -19,6 +20,11 @@ SUN = "تثدذرزسشصضطظلن"
 TATWEEL, WASLA, DAGGER = "ـ", "ٱ", "ٰ"
 
 
+def ordered(form: str) -> str:
+    """A rule table's form with shadda before the vowel, as words have it after normalisation."""
+    return re.sub("([ً-ِ])ّ", r"ّ\1", form)
+
+
 @F.pandas_udf(StringType())
 def nfc(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode composition, for which Spark has no function."""

@@ -131,75 +131,7 @@ F01 = f"""WITH {WORDS_SQL} SELECT id, CASE WHEN (starts_with(word, 'ال') OR st
 WHEN regexp_matches(word, '[ً-ٍ]') THEN 'tanwin' WHEN starts_with(word, 'سَ') AND substr(word, 3, 1) IN ('ي', 'ت', 'ن') THEN 'future' WHEN word <> '' AND length(word) <= 4 THEN 'short'
 WHEN ends_with(word, 'ونَ') OR ends_with(word, 'ينَ') THEN 'sound_plural' WHEN coalesce(word, '') = '' THEN 'empty' ELSE 'rest' END AS label FROM words"""
 
-# -- segmentation and patterns -----------------------------------------------------------------------------------------
-
 _MK = f"[{ar.ALL_MARKS}]*"
-PREFIX = rf"^((?:[وف]{_MK})?)((?:[بكل]ِ|لِ|سَ)?)((?:[اٱ]ل[{ar.ALL_MARKS}]*)?)(.*)$"
-SUFFIX = rf"^(.*?)((?:ُونَ|ِينَ|َاتٌ|ُوا|تُمْ|هُمْ|هَا|كُمْ|ةٌ|ة|ًا|ٌ|ٍ)?)$"
-
-
-def g10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conjunction, preposition or future, article, stem and ending; parts rebuild the word (G10 to G31, native)."""
-    w = words(spark, sf_dir).where("word <> ''").withColumn("w", norm_key(F.trim("word")))
-    body = F.regexp_extract("w", PREFIX, 4)
-    long = F.length(ar.strip_all(body)) >= 2
-    part = lambda k: F.when(long, F.regexp_extract("w", PREFIX, k)).otherwise("")
-    rest = F.when(long, body).otherwise(F.col("w"))
-    w = w.select("id", "w", part(1).alias("conj"), part(2).alias("prep"), part(3).alias("det"), rest.alias("rest"))
-    stem, ending = F.regexp_extract("rest", SUFFIX, 1), F.regexp_extract("rest", SUFFIX, 2)
-    enough = F.length(ar.strip_all(stem)) >= 2
-    w = w.select("*", F.when(enough, stem).otherwise(F.col("rest")).alias("stem"), F.when(enough, ending).otherwise("").alias("suffix"))
-    return w.select("id", "conj", "prep", "det", "stem", "suffix", (F.concat("conj", "prep", "det", "stem", "suffix") == F.col("w")).alias("rebuilds"))
-
-
-_P = PREFIX.replace("'", "''")
-G10 = f"""WITH {WORDS_SQL}, w AS (SELECT id, {_NORM.format("trim(word)")} AS w FROM words WHERE word <> ''),
-p AS (SELECT *, regexp_extract(w, '{_P}', 4) AS body, length(regexp_replace(regexp_extract(w, '{_P}', 4), '[{ar.ALL_MARKS}]', '', 'g')) >= 2 AS long FROM w),
-r AS (SELECT id, w, CASE WHEN long THEN regexp_extract(w, '{_P}', 1) ELSE '' END AS conj, CASE WHEN long THEN regexp_extract(w, '{_P}', 2) ELSE '' END AS prep, CASE WHEN long THEN regexp_extract(w, '{_P}', 3) ELSE '' END AS det, CASE WHEN long THEN body ELSE w END AS rest FROM p),
-s AS (SELECT *, length(regexp_replace(regexp_extract(rest, '{SUFFIX}', 1), '[{ar.ALL_MARKS}]', '', 'g')) >= 2 AS enough FROM r),
-t AS (SELECT *, CASE WHEN enough THEN regexp_extract(rest, '{SUFFIX}', 1) ELSE rest END AS stem, CASE WHEN enough THEN regexp_extract(rest, '{SUFFIX}', 2) ELSE '' END AS suffix FROM s)
-SELECT id, conj, prep, det, stem, suffix, conj || prep || det || stem || suffix = w AS rebuilds FROM t"""
-
-#: Patterns as regular expressions with the root letters captured; tried longest first, ties by name.
-PATTERNS = Table("patterns", "pattern regex letters", "string string int", (
-    ("faala", f"^(.)َ(.)[َُِ](.)َ$", 3), ("yafalu", f"^يَ(.)ْ(.)[َُِ](.){_MK}$", 3), ("fial", f"^(.)ِ(.)َا(.){_MK}$", 3), ("mafala", f"^مَ(.)ْ(.)َ(.)َة{_MK}$", 3), ("faal", f"^(.)َ(.)َ(.){_MK}$", 3), ("mufil", f"^مُ(.)ْ(.)ِ(.){_MK}$", 3), ("short", f"^(.){_MK}(.){_MK}$", 2),
-))
-
-
-def m03_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Patterns that stems of distinct words fit, and the best one: three letters first, then the longest pattern.
-
-    The patterns are literals of one expression, tried in order of preference; no join compares words with patterns.
-    """
-    stem, best = F.col("stem"), F.lit(None).cast("struct<pattern:string,root:string>")
-    for pattern, regex, n in sorted(PATTERNS.rows, key=lambda r: (-r[2], -len(r[1]), r[0]), reverse=True):
-        root = ar.root_fold(F.concat(*[F.regexp_extract(stem, regex, k) for k in range(1, n + 1)]))
-        best = F.when(stem.rlike(regex), F.struct(F.lit(pattern).alias("pattern"), root.alias("root"))).otherwise(best)
-    fits = sum((stem.rlike(regex).cast("long") for _, regex, _ in PATTERNS.rows), F.lit(0).cast("long"))
-    aligned = g10_segments(spark, sf_dir).select("id", best.alias("b"), fits.alias("n_fits"))
-    return aligned.select("id", "b.pattern", "b.root", "n_fits", F.when(F.col("b").isNull(), "Zero").otherwise("Hypothesis").alias("proof"))
-
-
-def _m03_sql() -> str:
-    union = " UNION ALL ".join(f"SELECT DISTINCT stem, '{p}' AS pattern, {n} AS letters, {len(r)} AS size, regexp_extract(stem, '{r}', 1) || regexp_extract(stem, '{r}', 2)" + (f" || regexp_extract(stem, '{r}', 3)" if n == 3 else "") + f" AS root FROM seg WHERE regexp_matches(stem, '{r}')" for p, r, n in PATTERNS.rows)
-    return f"WITH seg AS ({G10}), f AS ({union}), b AS (SELECT *, count(*) OVER (PARTITION BY stem) AS n_fits FROM f QUALIFY row_number() OVER (PARTITION BY stem ORDER BY letters DESC, size DESC, pattern) = 1) SELECT id, pattern, translate(root, 'أإآؤئء', 'اااويا') AS root, coalesce(n_fits, 0) AS n_fits, CASE WHEN pattern IS NULL THEN 'Zero' ELSE 'Hypothesis' END AS proof FROM seg LEFT JOIN b USING (stem)"
-
-
-def m13_word_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One ordered cascade over joined lookups: lexicon, nunation, article, verb shapes, plural endings, default noun."""
-    j = tiered(words(spark, sf_dir), LEXICON.frame(spark))
-    w = F.coalesce("word", F.lit(""))
-    cls = F.when(w == "", F.lit(None)).when(F.col("best").isNotNull(), F.col("best.class")).when(w.rlike("[ً-ٍ]"), "NOUN").when(w.rlike("^[وف]?َ?[اٱ]ل"), "NOUN").when(w.rlike(f"^سَ?[يتن]|^[يتن]َ.ْ|^فَ?كُ"), "VERB").when(w.rlike("تُمْ$|ُوا$"), "VERB").otherwise("NOUN")
-    why = F.when(w == "", "empty").when(F.col("best").isNotNull(), F.concat(F.lit("lexicon_"), F.col("tier"))).when(w.rlike("[ً-ٍ]"), "tanwin").when(w.rlike("^[وف]?َ?[اٱ]ل"), "article").when(w.rlike(f"^سَ?[يتن]|^[يتن]َ.ْ|^فَ?كُ"), "verb_prefix").when(w.rlike("تُمْ$|ُوا$"), "verb_suffix").otherwise("default")
-    proof = F.when(w == "", "Zero").when(F.col("tier") == "exact", "Certificate").otherwise("Hypothesis")
-    return j.select("id", cls.alias("class"), why.alias("source"), proof.alias("proof"))
-
-
-M13 = J01.replace("SELECT id, tier, best.entry AS entry, best.class AS class, best.tag AS tag FROM b", "") + """,
-x AS (SELECT words.id, coalesce(word, '') AS w, tier, best FROM words JOIN b ON words.id = b.id)
-SELECT id, CASE WHEN w = '' THEN NULL WHEN best IS NOT NULL THEN best.class WHEN regexp_matches(w, '[ً-ٍ]') THEN 'NOUN' WHEN regexp_matches(w, '^[وف]?َ?[اٱ]ل') THEN 'NOUN' WHEN regexp_matches(w, '^سَ?[يتن]|^[يتن]َ.ْ|^فَ?كُ') THEN 'VERB' WHEN regexp_matches(w, 'تُمْ$|ُوا$') THEN 'VERB' ELSE 'NOUN' END AS class,
-CASE WHEN w = '' THEN 'empty' WHEN best IS NOT NULL THEN 'lexicon_' || tier WHEN regexp_matches(w, '[ً-ٍ]') THEN 'tanwin' WHEN regexp_matches(w, '^[وف]?َ?[اٱ]ل') THEN 'article' WHEN regexp_matches(w, '^سَ?[يتن]|^[يتن]َ.ْ|^فَ?كُ') THEN 'verb_prefix' WHEN regexp_matches(w, 'تُمْ$|ُوا$') THEN 'verb_suffix' ELSE 'default' END AS source,
-CASE WHEN w = '' THEN 'Zero' WHEN tier = 'exact' THEN 'Certificate' ELSE 'Hypothesis' END AS proof FROM x"""
 
 
 def f41_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,5 +147,5 @@ F41 = f"""WITH {WORDS_SQL}, x AS (SELECT id, coalesce(word, '') AS w, regexp_rep
 SELECT id, regexp_extract(w, '([{ar.MARKS}])[^{ar.MARKS}]*$', 1) AS last_mark, length(p)::INT AS letters, regexp_extract(w, '^((?:[^{ar.ALL_MARKS}]{_MK}){{2}})', 1) AS head, CASE WHEN regexp_matches(p, 'ة$|ات$') THEN 'F' ELSE 'M' END AS gender,
 CASE WHEN regexp_matches(p, 'ات$') THEN 'PL' WHEN regexp_matches(w, 'ُونَ?$') THEN 'PL' WHEN regexp_matches(w, 'َانِ?$') THEN 'DU' WHEN regexp_matches(w, 'ِينَ?$') THEN 'PL_AMBIGUOUS' ELSE 'SG' END AS number, 'sha256:' || sha256(id || '|' || w) AS seal FROM x"""
 
-QUERIES = {"j01_tiered_lookup": j01_tiers, "j04_strict_resolve": j04_strict_resolve, "a01_registry": a01_registry, "f01_predicates": f01_predicates, "g10_segments": g10_segments, "m03_alignment": m03_alignment, "m13_word_class": m13_word_class, "f41_scalars": f41_scalars}
-ORACLE = {"j01_tiered_lookup": J01, "j04_strict_resolve": J04, "a01_registry": A01, "f01_predicates": F01, "g10_segments": G10, "m03_alignment": _m03_sql(), "m13_word_class": M13, "f41_scalars": F41}
+QUERIES = {"j01_tiered_lookup": j01_tiers, "j04_strict_resolve": j04_strict_resolve, "a01_registry": a01_registry, "f01_predicates": f01_predicates, "f41_scalars": f41_scalars}
+ORACLE = {"j01_tiered_lookup": J01, "j04_strict_resolve": J04, "a01_registry": A01, "f01_predicates": F01, "f41_scalars": F41}

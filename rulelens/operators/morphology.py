@@ -6,8 +6,16 @@ tables, broadcast with a known size.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from rulelens.functions import arabic as ar
-from rulelens.sources.rules import Table
+from rulelens.operators.alignment import ALIGNED_SQL, best_alignment
+from rulelens.operators.segmenter import CLOSED_WORDS, ESSENCE, LIVING, PRONOUN, SEGMENTS_SQL, SINGULAR, segments
+from rulelens.plans.joins import checked_join
+from rulelens.plans.scratch import save
+from rulelens.sources.readings import READINGS_SQL, read_words
+from rulelens.sources.rules import Rules, Table
 from rulelens.sources.spelled import CLOSED, Staged, cascade, letters, match, plain, shaddas, sub
 
 A, M = ar.ALL_MARKS, ar.MARKS
@@ -27,21 +35,11 @@ CLOSED_PLAIN = _table("closed_plain", "key category exact_only exact_form", "str
     ("لا", "NEG", False, None), ("لم", "JUS", True, "لَمْ"), ("إذا", "COND", False, None), ("أن", "SUB", True, "أَنْ"), ("إن", "INNA", True, "إِنَّ"), ("هذا", "DEM", False, None), ("ذلك", "DEM", False, None),
     ("هو", "PRON", False, None), ("هي", "PRON", False, None), ("هم", "PRON", True, "هُمْ"), ("أنا", "PRON", False, None), ("أنت", "PRON", True, "أَنْتَ"), ("الذي", "REL", False, None), ("ما", "INTG", True, "مَا"), ("يا", "VOC", False, None),
 ))
-#: Essence nouns: stripped form, its vocalised form, and whether all entries of the stripped form are concrete.
-ESSENCE = _table("essence", "key form unambiguous", "string string boolean", (("النا", "النَا", True), ("السه", "السهُ", True), ("درر", "دِرِر", False), ("سن", "سِن", True), ("كلب", "كَلُب", True), ("الرر", "الرر", True), ("بيت", "بَيت", True), ("شمس", "شَمس", True)))
-#: Singular terms and how a prefix joins them: as they are, with the alif back, or fused with the article.
-SINGULAR = _table("singular", "key term strategy", "string string string", tuple(
-    (p + shown, term, strategy)
-    for term, forms in (("ال", (("ال", "direct"),)), ("الرر", (("الرر", "direct"), ("لرر", "assimilated"))), ("ابن", (("ابن", "direct"), ("بن", "alif_wasl"))))
-    for shown, strategy in forms
-    for p in ("", "و", "ف", "ب", "ل")
-))
-#: Roots with a living verb, verbs listed in full, and defective verbs with the relations of their topic and comment.
-LIVING = _table("living", "root", "string", tuple((r,) for r in ("كتب", "درر", "سرر", "ررر", "سنت", "بست", "قرر", "مدد")))
-EXPLICIT = _table("explicit", "form", "string", tuple((f,) for f in ("كَانَ", "قَالَ", "سَرَتْ", "ررَتْ", "سَِتْ", "بَتْ", "دُتْ")))
-DEFECTIVE = _table("defective", "key topic comment", "string string string", (("كان", "kana_topic", "kana_comment"), ("سان", "kana_topic", "kana_comment"), ("ليس", "laysa_topic", "laysa_comment"), ("يان", "kana_topic", "kana_comment")))
-#: Vocalised lexica: uninflected verbs, interrogatives, foreign names, comparatives.
-LEXICA = _table("lexica", "form kind", "string string", (("لِسَ", "uninflected_verb"), ("مَا", "interrogative"), ("الَن", "foreign_name"), ("دِرِن", "foreign_name"), ("أَتْ", "comparative"), ("أَدَ", "comparative"), ("أَسِد", "comparative")))
+#: Verbs listed in full, and defective verbs with the relations of their topic and comment. Fixed values.
+EXPLICIT = _table("explicit_verbs", "form", "string", tuple((f,) for f in "كَانَ قَالَ كَتَبَ عَلِمَ جَلَسَ فَتَحَ نِعْمَ بِئْسَ لَيْسَ أَكَلَ".split()))
+DEFECTIVE = _table("defective_verbs", "key topic comment", "string string string", (("كان", "kana_topic", "kana_comment"), ("أصبح", "kana_topic", "kana_comment"), ("ظل", "kana_topic", "kana_comment"), ("ليس", "laysa_topic", "laysa_comment"), ("كاد", "kada_topic", "kada_comment")))
+#: Vocalised lexica: uninflected verbs, interrogatives, foreign names, comparatives. Fixed values.
+LEXICA = _table("lexica", "form kind", "string string", (("لَيْسَ", "uninflected_verb"), ("عَسَى", "uninflected_verb"), ("هَلْ", "interrogative"), ("كَيْفَ", "interrogative"), ("مَتَى", "interrogative"), ("إِبْرَاهِيمُ", "foreign_name"), ("يُوسُفُ", "foreign_name"), ("أَكْبَرُ", "comparative"), ("أَكْرَمَ", "comparative"), ("خَيْرٌ", "comparative")))
 #: Labels of codes.
 LABELS = _table("labels", "code label", "string string", (("PREP", "حرف جر"), ("CONJ", "حرف عطف"), ("NEG", "نفي"), ("DEM", "اسم إشارة"), ("REL", "اسم موصول"), ("COND", "شرط"), ("KANA", "فعل ناقص"), ("INNA", "حرف ناسخ"), ("VOC", "نداء"), ("INTG", "استفهام")))
 #: Operators by their stripped form: id, group priority.
@@ -66,7 +64,7 @@ F05 = Staged(
     lookups=(
         _CLOSED_FULL, (CLOSED_PLAIN, plain("word"), "key", {"p_category": "category", "p_exact": "exact_only", "p_form": "exact_form"}), (ESSENCE, plain("word"), "key", {"e_form": "form", "e_sure": "unambiguous"}),
         (SINGULAR, plain("word"), "key", {"s_term": "term", "s_strategy": "strategy"}), (EXPLICIT, "word", "form", {"x_form": "form"}), (EXPLICIT, _PEELED, "form", {"x_peeled": "form"}),
-        (DEFECTIVE, plain("word"), "key", {"d_topic": "topic"}), (DEFECTIVE, plain(_PEELED), "key", {"d_peeled": "topic"}), (LEXICA, "word", "form", {"lexicon": "kind"}), (LIVING, f"left({plain('word')}, 3)", "root", {"living_root": "root"}),
+        (DEFECTIVE, plain("word"), "key", {"d_topic": "topic"}), (DEFECTIVE, plain(_PEELED), "key", {"d_peeled": "topic"}), (LEXICA, "word", "form", {"lexicon": "kind"}), (LIVING, f"left({plain('word')}, 3)", "living", {"living_root": "living"}),
     ),
     stages=(
         {"bare": plain("word")},
@@ -177,37 +175,66 @@ F03 = Staged(
     select="id, shown, atoms, reading",
 )
 
-#: The word-class cascade with its source and kernel, aspect by tag, the closed kind by precedence.
+#: The word-class cascade with its source and kernel, aspect by tag, the closed kind by precedence. Reads
+#: the words with their segments and aligned patterns.
+_VERBAL_TAGS = "(LAM_AMR|FUT|IMPERF_PREF|IMP_PREF|SUBJ)"
 M13 = Staged(
     lookups=(
-        _CLOSED_FULL, (LEXICA, "word", "form", {"lexicon": "kind"}), (SINGULAR, plain("word"), "key", {"s_term": "term"}), (EXPLICIT, _PEELED, "form", {"x_form": "form"}), (ESSENCE, plain("word"), "key", {"e_form": "form", "e_sure": "unambiguous"}),
+        (CLOSED_WORDS, "word", "form", {"c_class": "class", "c_tag": "tag"}), (CLOSED_WORDS, "regexp_replace(word, '^[وف]َ', '')", "form", {"c1_class": "class", "c1_tag": "tag"}), (LEXICA, "word", "form", {"lexicon": "kind"}),
+        (SINGULAR, plain("word"), "key", {"s_term": "term"}), (EXPLICIT, _PEELED, "form", {"x_form": "form"}), (ESSENCE, plain("word"), "key", {"e_form": "form", "e_sure": "unambiguous"}),
         (CLOSED_PLAIN, plain("word"), "key", {"p_category": "category", "p_exact": "exact_only"}), (DEFECTIVE, plain(_PEELED), "key", {"d_topic": "topic"}),
     ),
     stages=(
-        {"bare": plain("word")},
+        {"bare": plain("word"), "after_and": f"c1_class IS NOT NULL AND {match('word', '^[وف]َ')}"},
         {
             "source": cascade(
-                ("c_class IS NOT NULL", "'registry'"), ("lexicon = 'comparative'", "'comparative'"), ("lexicon = 'uninflected_verb'", "'uninflected'"), ("lexicon = 'interrogative'", "'interrogative'"), ("lexicon = 'foreign_name'", "'foreign_name'"),
-                ("p_category IS NOT NULL AND NOT p_exact", "'function_word'"), ("s_term IS NOT NULL", "'singular'"), (match("word", "[ً-ٍ]"), "'tanwin'"), ("x_form IS NOT NULL", "'explicit_verb'"), ("left(bare, 2) = 'ال' OR right(bare, 1) = 'ة'", "'non_verb'"),
-                ("d_topic IS NOT NULL OR " + match("word", "^سَ[يتن]|^[يتن][َُ].*(ُونَ|وا|ُ)$"), "'verb_form'"), ("word = e_form OR e_sure", "'essence'"), (match("word", f"^مُ?{L}َ?{L}[َِّ]{L}"), "'pattern'"), (match("word", "^[يتن][َُ]|(تُمْ|وا|َتْ)$") + " AND length(bare) >= 4", "'surface_verb'"), otherwise="'default'",
+                ("c_class IS NOT NULL OR after_and", "'registry'"), ("lexicon = 'comparative'", "'comparative'"), ("lexicon = 'uninflected_verb'", "'uninflected'"), ("lexicon = 'interrogative'", "'interrogative'"), ("lexicon = 'foreign_name'", "'foreign_name'"),
+                ("p_category IS NOT NULL AND NOT p_exact", "'function_word'"), (match("word", f"^([وف]َ)?([بلك][َِ]|مِنْ|عَنْ|عَلَيْ|إِلَيْ|فِي|مَعَ)(?:{PRONOUN})$"), "'preposition_and_pronoun'"), ("s_term IS NOT NULL", "'singular'"), (match("word", "[ً-ٍ]ا?$"), "'tanwin'"),
+                ("x_form IS NOT NULL", "'explicit_verb'"), (match("tags", "(^|[+])(DET|TAA)"), "'non_verb'"), (f"d_topic IS NOT NULL OR {match('tags', f'(^|[+]){_VERBAL_TAGS}')}", "'verb_form'"), (match("tags", "PREP"), "'non_verb'"), ("word = e_form OR e_sure", "'essence'"),
+                (match("tags", "(^|[+])NUM"), "'sound_plural'"), ("kind IN ('PV', 'IV', 'CV')", "'pattern'"), ("kind = 'PV|N' AND " + match("stem", "([َْ]|َ?[اى]|ُو)$"), "'pattern'"), ("kind IS NOT NULL", "'pattern'"), (match("word", "^[يتن][َُ]|(تُمْ|وا|َتْ)$") + " AND length(bare) >= 4", "'surface_verb'"), otherwise="'default'",
             ),
         },
+        {
+            "participle": match("pattern", "^(مُ|فَاعِل)") + " AND source IN ('non_verb', 'sound_plural', 'pattern', 'default')",
+            "verbal": "source IN ('uninflected', 'explicit_verb', 'verb_form', 'surface_verb') OR source = 'pattern' AND (kind IN ('PV', 'IV', 'CV') OR kind = 'PV|N' AND " + match("stem", "([َْ]|َ?[اى]|ُو)$") + ")",
+        },
         {
             "class": cascade(
-                ("source = 'registry'", "c_class"), ("source IN ('uninflected', 'explicit_verb', 'verb_form', 'surface_verb')", "'VERB'"), ("source = 'function_word'", "CASE WHEN p_category IN ('PRON', 'DEM', 'REL') THEN p_category ELSE 'PARTICLE' END"),
-                ("source = 'pattern'", "'ADJ'"), otherwise="'NOUN'",
+                ("source = 'registry'", "coalesce(c_class, c1_class)"), ("verbal", "'VERB'"), ("source = 'function_word'", "CASE WHEN p_category IN ('PRON', 'DEM', 'REL') THEN p_category ELSE 'PARTICLE' END"), ("source = 'interrogative'", "'PARTICLE'"), ("source = 'preposition_and_pronoun'", "'PREP'"),
+                ("participle AND number_suffix <> 'اتٌ'", "'ADJ'"), otherwise="'NOUN'",
             ),
-            "proof": cascade(("source IN ('registry', 'explicit_verb', 'singular')", "'Certificate'"), ("source = 'default'", "'Zero'"), otherwise="'Hypothesis'"),
+            "proof": cascade(("source IN ('registry', 'explicit_verb', 'singular', 'preposition_and_pronoun')", "'Certificate'"), ("source = 'default'", "'Zero'"), otherwise="'Hypothesis'"),
         },
         {
-            "overridden": cascade(("class = 'VERB' AND word = 'لِسَ'", "'PARTICLE'"), ("class = 'NOUN' AND word = 'اِ'", "'PARTICLE'"), ("class = 'ADJ' AND length(bare) < 3", "'NOUN'"), otherwise="class"),
-            "aspect": cascade(("class <> 'VERB'", "'-'"), (match("word", "^سَ?[يتن]"), "'IV'"), (match("word", f"^ا{L}ْ"), "'CV'"), otherwise="'PV'"),
-            "closed_kind": cascade(*[(f"coalesce(c_tag, p_category) = '{t}'", f"'{k}'") for t, k in (("PREP", "preposition"), ("JUS", "jussive"), ("SUB", "subjunctive"), ("KANA", "verb_label"), ("COND", "conditional"), ("NEG", "negation"), ("INTG", "interrogative"), ("VOC", "vocative"), ("REL", "relative"), ("DEM", "demonstrative"))], ("coalesce(c_tag, p_category) IS NOT NULL", "'built_noun'"), otherwise="'-'"),
+            "overridden": cascade(("class = 'ADJ' AND length(bare) < 3", "'NOUN'"), ("class = 'VERB' AND lexicon = 'uninflected_verb'", "'VERB'"), ("class = 'NOUN' AND s_term IS NOT NULL", "'NOUN'"), otherwise="class"),
+            "aspect": cascade(("class <> 'VERB'", "'-'"), (match("tags", "IMPERF_PREF|LAM_AMR|FUT"), "'IV'"), (match("tags", "IMP_PREF") + " OR kind = 'CV'", "'CV'"), ("kind = 'IV'", "'IV'"), otherwise="'PV'"),
+            "closed_kind": cascade(*[(f"coalesce(c_tag, CASE WHEN after_and THEN c1_tag END, p_category) = '{t}'", f"'{k}'") for t, k in (("PREP", "preposition"), ("JUS", "jussive"), ("SUB", "subjunctive"), ("KANA", "verb_label"), ("COND", "conditional"), ("NEG", "negation"), ("INTG", "interrogative"), ("VOC", "vocative"), ("REL", "relative"), ("DEM", "demonstrative"))], ("coalesce(c_tag, CASE WHEN after_and THEN c1_tag END, p_category) IS NOT NULL", "'built_noun'"), otherwise="'-'"),
         },
     ),
-    select="id, source, class, overridden, aspect, closed_kind, proof, class || '/' || source || '/' || proof AS kernel",
+    select="word, source, class, overridden, aspect, closed_kind, proof, class || '/' || source || '/' || proof AS kernel",
 )
 
+
+def classes(table: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """Each distinct ``word`` with its class, the rule that gave it, its aspect and how sure that is."""
+    parts = segments(table, rules).select("word", "stem", "tags", F.col("number").alias("number_suffix"))
+    aligned = best_alignment(table, rules).select("word", "pattern", "kind")
+    return save(M13.frame(checked_join(parts, aligned, ["word"]), rules), "classes")
+
+
+def m13_class_cascade(spark: SparkSession, sf_dir: str, rules: Rules | None = None) -> DataFrame:
+    w = read_words(spark, sf_dir).select("id", "word")
+    return checked_join(w, classes(w, rules), ["word"], "inner").drop("word")
+
+
+def m13_word_class(spark: SparkSession, sf_dir: str, rules: Rules | None = None) -> DataFrame:
+    """The class of each word, what gave it and how sure it is."""
+    return m13_class_cascade(spark, sf_dir, rules).select("id", "class", "source", "proof")
+
+
+_CLASSES = M13.sql(f"{ALIGNED_SQL}, described AS (SELECT g.word, g.stem, g.tags, g.number AS number_suffix, b.pattern, b.kind FROM ({SEGMENTS_SQL}) g LEFT JOIN best b ON b.word = g.word)", "described")
+M13_SQL = f"SELECT w.id, r.* EXCLUDE (word) FROM ({_CLASSES}) r JOIN (WITH {READINGS_SQL} SELECT * FROM read_words) w ON w.word = r.word"
+
 #: Gender and number by tiers with confidence, and the singular that a plural suggests.
 M20 = Staged(
     lookups=(_CLOSED_FULL,),
@@ -259,8 +286,8 @@ G33 = Staged(
 )
 
 _ALL = {
-    "f05_gates": F05, "f12_overrides": F12, "f17_mood_person": F17, "f19_surface_verbs": F19, "f16_verb_verdict": F16, "f03_pattern_atoms": F03, "m13_class_cascade": M13, "m20_gender_number": M20,
+    "f05_gates": F05, "f12_overrides": F12, "f17_mood_person": F17, "f19_surface_verbs": F19, "f16_verb_verdict": F16, "f03_pattern_atoms": F03, "m20_gender_number": M20,
     "x01_word_functions": X01, "g33_prefix_forms": G33,
 }
-QUERIES = {name: staged.query() for name, staged in _ALL.items()}
-ORACLE = {name: staged.sql() for name, staged in _ALL.items()}
+QUERIES = {name: staged.query() for name, staged in _ALL.items()} | {"m13_class_cascade": m13_class_cascade, "m13_word_class": m13_word_class}
+ORACLE = {name: staged.sql() for name, staged in _ALL.items()} | {"m13_class_cascade": M13_SQL, "m13_word_class": f"SELECT id, class, source, proof FROM ({M13_SQL})"}

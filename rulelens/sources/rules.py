@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def literal(x: object) -> str:
@@ -26,10 +27,13 @@ class Table:
     types: str
     rows: tuple[tuple, ...]
 
+    @property
+    def schema(self) -> str:
+        return ", ".join(f"{c} {t}" for c, t in zip(self.columns.split(), self.types.split(), strict=True))
+
     def frame(self, spark: SparkSession) -> DataFrame:
-        schema = ", ".join(f"{c} {t}" for c, t in zip(self.columns.split(), self.types.split(), strict=True))
         values = ", ".join("(" + ", ".join(map(_spark_literal, r)) + ")" for r in self.rows)
-        casts = ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in (x.split(" ") for x in schema.split(", ")))
+        casts = ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in (x.split(" ") for x in self.schema.split(", ")))
         return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({', '.join(self.columns.split())})")
 
     def sql(self) -> str:
@@ -40,6 +44,47 @@ class Table:
         return f"{self.name} AS (SELECT {casts} FROM (VALUES {values}) AS t({', '.join(self.columns.split())}))"
 
 
+#: Rows up to which a rule table that was bound to a file is sent to all tasks.
+MOST_ROWS = 500_000
+
+
+class Rules:
+    """Which rule tables are read from files or DataFrames in place of their defaults.
+
+    ``Rules(patterns="/rules/patterns.csv")`` binds a table's name to a CSV file with a header, or to a DataFrame. The
+    columns that the table has must be there, by its names or by those that ``columns`` gives; others are ignored.
+    Operators that look words up take it as ``rules``; without it the literal tables stand.
+    """
+
+    def __init__(self, columns: dict[str, dict[str, str]] | None = None, **bound: str | DataFrame):
+        self.bound, self.columns = bound, columns or {}
+
+    def frame(self, spark: SparkSession, table: Table) -> DataFrame:
+        """The table's rows, from where it is bound; values are trimmed, rows without any value go."""
+        if table.name not in self.bound:
+            return table.frame(spark)
+        source = self.bound[table.name]
+        rows = spark.read.csv(source, header=True, encoding="UTF-8") if isinstance(source, str) else source
+        renamed = self.columns.get(table.name, {})
+        wanted = [(renamed.get(c, c), c, t) for c, t in zip(table.columns.split(), table.types.split(), strict=True)]
+        missing = [x for x, _, _ in wanted if x not in rows.columns]
+        if missing:
+            raise ValueError(f"rule table {table.name} lacks the columns {', '.join(missing)}")
+        value = lambda x, t: F.nullif(F.trim(F.col(f"`{x}`").cast("string")), F.lit("")).cast(t)
+        return rows.select(*[value(x, t).alias(c) for x, c, t in wanted]).dropna("all")
+
+    def lookup(self, spark: SparkSession, table: Table, key: str) -> tuple[DataFrame, bool]:
+        """The table with one row a key, and whether it is small enough to be sent to all tasks; a key that comes twice is an error."""
+        rows = self.frame(spark, table)
+        if table.name not in self.bound:
+            return rows, True
+        rows = rows.where(F.col(key).isNotNull()).cache()
+        twice = rows.groupBy(key).count().where("count > 1").limit(3).collect()
+        if twice:
+            raise ValueError(f"rule table {table.name} has several rows for {', '.join(str(r[0]) for r in twice)}")
+        return rows, rows.limit(MOST_ROWS + 1).count() <= MOST_ROWS
+
+
 def _spark_literal(x: object) -> str:
     return literal(x).replace("\\", "\\\\") if isinstance(x, str) else literal(x)
 

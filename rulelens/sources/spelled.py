@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulelens.functions import arabic as ar
-from rulelens.operators.tokens import _SQL_TOKENS, document_tokens
 from rulelens.plans.scratch import save
-from rulelens.sources.rules import Table
+from rulelens.sources.readings import READINGS_SQL, WRITTEN_SQL, read_words, vocabulary, written
+from rulelens.sources.rules import Rules, Table
 
 A, M = ar.ALL_MARKS, ar.MARKS
 
@@ -107,14 +107,22 @@ def spelled(token: Column) -> Column:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vocabulary: each distinct token (id) with its spelling (word). A document gives each of its tokens once."""
-    tokens = document_tokens(spark, sf_dir).select(F.explode(F.array_distinct(F.flatten("sents"))).alias("token")).distinct()
+    """The vocabulary: each distinct token (id) with its spelling (word), and behind ``~`` with its reading."""
+    tokens = vocabulary(spark, sf_dir)
     known = tokens.join(F.broadcast(SPELLINGS.frame(spark)), "token", "left")
-    return known.select(F.col("token").alias("id"), F.coalesce("spelled", F.expr(for_spark(spelling("token")))).alias("word"))
+    spelled_words = known.select(F.col("token").alias("id"), F.coalesce("spelled", F.expr(for_spark(spelling("token")))).alias("word"))
+    return spelled_words.unionByName(read_words(spark, sf_dir).select("id", "word"))
 
 
-WORDS_SQL = f"""{_SQL_TOKENS}, {SPELLINGS.sql()},
-words AS (SELECT t.token AS id, coalesce(spelled, {for_duck(spelling("t.token"))}) AS word FROM (SELECT DISTINCT token FROM tokens) t LEFT JOIN spellings s ON s.token = t.token)"""
+def written_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``words``, the read ones as scribes may have written them."""
+    w = words(spark, sf_dir)
+    return w.where("id not like '~%'").unionByName(written(w.where("id like '~%'")))
+
+
+_SPELLED = f"""{SPELLINGS.sql()}, spelled AS (SELECT t.token AS id, coalesce(spelled, {for_duck(spelling("t.token"))}) AS word FROM (SELECT DISTINCT token FROM tokens) t LEFT JOIN spellings s ON s.token = t.token)"""
+WORDS_SQL = f"""{READINGS_SQL}, {_SPELLED}, words AS MATERIALIZED (SELECT * FROM spelled UNION ALL SELECT * FROM read_words)"""
+WRITTEN_WORDS_SQL = f"""{WRITTEN_SQL}, {_SPELLED}, words AS MATERIALIZED (SELECT * FROM spelled UNION ALL SELECT * FROM written)"""
 
 
 # -- queries in stages ------------------------------------------------------------------------------------------------
@@ -145,10 +153,11 @@ class Staged:
     #: Stages after which the columns so far are written: a long chain of expressions is planned in parts.
     cuts: tuple[int, ...] = ()
 
-    def frame(self, df: DataFrame) -> DataFrame:
+    def frame(self, df: DataFrame, rules: Rules | None = None) -> DataFrame:
         for table, key, column, named in self.lookups:
-            small = table.frame(df.sparkSession).select(F.col(column).alias("_key"), *[F.col(c).alias(n) for n, c in named.items()])
-            df = df.withColumn("_at", F.expr(for_spark(key))).join(F.broadcast(small), F.col("_at") == F.col("_key"), "left").drop("_at", "_key")
+            rows, few = (rules or Rules()).lookup(df.sparkSession, table, column)
+            small = rows.select(F.col(column).alias("_key"), *[F.col(c).alias(n) for n, c in named.items()])
+            df = df.withColumn("_at", F.expr(for_spark(key))).join(F.broadcast(small) if few else small, F.col("_at") == F.col("_key"), "left").drop("_at", "_key")
         for k, stage in enumerate(self.stages):
             df = df.selectExpr("*", *[f"{for_spark(e)} AS {n}" for n, e in stage.items()])
             if k + 1 in self.cuts:
