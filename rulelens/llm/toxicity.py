@@ -9,7 +9,6 @@ where no block can hold a nearer example. Nothing that could be among the neares
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections import Counter
@@ -133,48 +132,59 @@ def weigh(terms: list[int], counts: list[int], idf: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Inverted index of unit vectors with the largest weight of each term in each block of examples."""
+    """Inverted index of unit vectors with the largest weight of each term in each block of examples.
+
+    An entry is a term's postings in one block: the block, the largest weight, and where its postings lie.
+    """
 
     def __init__(self, rows: list[tuple[int, list[int], np.ndarray]], block: int = BLOCK):
         """``rows``: (number, terms, weights); alike ones should lie together."""
-        self.numbers = np.array([r[0] for r in rows], np.int64)
-        self.block, self.blocks = block, -(-len(rows) // block)
-        held: dict[int, dict[int, tuple[list[int], list[float]]]] = {}
-        for k, (_, its_terms, weights) in enumerate(rows):
-            for t, w in zip(its_terms, weights.tolist(), strict=True):
-                at, values = held.setdefault(t, {}).setdefault(k // block, ([], []))
-                at.append(k % block)
-                values.append(w)
-        self.postings = {t: {b: (np.array(at, np.int64), np.array(v)) for b, (at, v) in blocks.items()} for t, blocks in held.items()}
-        self.heads = {t: (np.array(list(blocks), np.int64), np.array([v.max() for _, v in blocks.values()])) for t, blocks in self.postings.items()}
+        self.numbers, self.block, self.blocks = np.array([r[0] for r in rows], np.int64), block, -(-len(rows) // block)
+        sizes = [len(r[1]) for r in rows]
+        of = np.fromiter((t for r in rows for t in r[1]), np.int64, sum(sizes))
+        at = np.repeat(np.arange(len(rows)), sizes)
+        weights = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0)
+        order = np.lexsort((at, of))
+        of, self.at, self.weights = of[order], at[order], weights[order]
+        key = of * max(1, self.blocks) + self.at // block
+        self.starts = np.flatnonzero(np.diff(key, prepend=-1))
+        self.lengths = np.diff(self.starts, append=len(key))
+        self.of_block = self.at[self.starts] // block
+        self.most = np.maximum.reduceat(self.weights, self.starts) if len(key) else np.zeros(0)
+        firsts = np.flatnonzero(np.diff(of[self.starts], prepend=-1))
+        ends = np.append(firsts, len(self.starts))[1:]
+        self.entries = {int(t): (int(a), int(b)) for t, a, b in zip(of[self.starts][firsts], firsts, ends, strict=True)}
 
     def nearest(self, its_terms: list[int], weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The ``k`` nearest (cosine, number) above 0, nearest first, ties to smaller numbers; never ``without``."""
-        query = [(t, w) for t, w in zip(its_terms, weights.tolist(), strict=True) if t in self.heads]
-        bounds = np.zeros(self.blocks)
-        for t, w in query:
-            at, most = self.heads[t]
-            bounds[at] += w * most
-        best: list[tuple[float, int]] = []  # a heap, the worst first
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or (len(best) == k and bounds[b] < best[0][0] - 1e-9):
-                break
-            cosines = np.zeros(self.block)
-            for t, w in query:
-                if b in self.postings[t]:
-                    at, values = self.postings[t][b]
-                    cosines[at] += w * values
-            least = best[0][0] if len(best) == k else 0.0
-            for at in np.flatnonzero((cosines > 0) & (cosines >= least)).tolist():
-                number = int(self.numbers[b * self.block + at])
-                if number == without:
-                    continue
-                entry = (float(cosines[at]), -number)
-                if len(best) < k:
-                    heapq.heappush(best, entry)
-                elif entry > best[0]:
-                    heapq.heapreplace(best, entry)
-        return [(c, -n) for c, n in sorted(best, reverse=True)]
+        """The ``k`` nearest (cosine, number) above 0, nearest first, ties to smaller numbers; never ``without``.
+
+        Blocks are taken from the highest bound down, in growing batches, until the rest can't hold a nearer one.
+        """
+        query = [(*self.entries[t], w) for t, w in zip(its_terms, weights.tolist(), strict=True) if t in self.entries]
+        if not query:
+            return []
+        entries = np.concatenate([np.arange(a, b) for a, b, _ in query])
+        weight = np.repeat([w for _, _, w in query], [b - a for a, b, _ in query])
+        blocks = self.of_block[entries]
+        bounds = np.bincount(blocks, weight * self.most[entries], self.blocks)
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        rank = np.empty(self.blocks, np.int64)
+        rank[order] = np.arange(len(order))
+        cosines, numbers, done, batch, least = np.zeros(0), np.zeros(0, np.int64), 0, 4, 0.0
+        while done < len(order) and bounds[order[done]] >= least - 1e-9:
+            chosen = (rank[blocks] >= done) & (rank[blocks] < done + batch)
+            lengths, starts = self.lengths[entries[chosen]], self.starts[entries[chosen]]
+            postings = np.arange(lengths.sum()) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
+            at, inverse = np.unique(self.at[postings], return_inverse=True)
+            found = np.bincount(inverse, np.repeat(weight[chosen], lengths) * self.weights[postings])
+            numbers, cosines = np.concatenate([numbers, self.numbers[at]]), np.concatenate([cosines, found])
+            kept = np.lexsort((numbers, -cosines))
+            kept = kept[numbers[kept] != without][:k]
+            numbers, cosines = numbers[kept], cosines[kept]
+            least = cosines[-1] if len(cosines) == k else 0.0
+            done, batch = done + batch, batch * 4
+        return [(float(c), int(n)) for c, n in zip(cosines, numbers, strict=True) if c > 0]
 
 
 def _shards(rows: list[tuple[int, list[int], np.ndarray]], most: int) -> list[list[tuple[int, list[int], np.ndarray]]]:
@@ -263,12 +273,13 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, k: int =
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sample = save(examples(docs, labels.select("doc_id", "toxic"), fit_rows), "toxicity-examples")
-    vocabulary = telling_terms(spread(sample))
+    tasks = 4 * docs.sparkSession.sparkContext.defaultParallelism
+    vocabulary = telling_terms(sample.repartition(tasks))
     table = save(vectors(docs, vocabulary), "toxicity-vectors")
     n = table.count()
     held = dict(table.select(F.explode("terms").alias("t")).groupBy("t").count().collect())  # a row for each telling term
     idf = np.log((n + 1) / (np.array([held.get(t, 0) for t in range(len(vocabulary))]) + 1)) + 1
-    few = vectors(sample.withColumn("h", F.xxhash64("doc_id")), vocabulary).orderBy("h", "doc_id", "terms", "counts", "toxic").collect()  # fit_rows bounds it
+    few = vectors(sample.repartition(tasks).withColumn("h", F.xxhash64("doc_id")), vocabulary).orderBy("h", "doc_id", "terms", "counts", "toxic").collect()  # fit_rows bounds it
     # Examples that share their weightiest terms lie together, so that blocks hold like ones.
     weighed = [(r, weigh(r.terms, r.counts, idf)) for r in few]
     weighed.sort(key=lambda x: [x[0].terms[i] for i in np.argsort(-x[1], kind="stable")[:4]])
@@ -279,9 +290,10 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, k: int =
     slope, intercept = 1.0, -30.0
     if sum(toxic):
         own = docs.sparkSession.createDataFrame([(k, r.terms, r.counts, toxic[k]) for k, (r, _) in enumerate(weighed)], "own long, terms array<int>, counts array<int>, toxic int")
-        told = vote(neighbours(spread(own), rows, toxic, idf, k, "own", shard)).select("vote", "toxic").collect()
+        told = vote(neighbours(own.repartition(tasks), rows, toxic, idf, k, "own", shard)).select("vote", "toxic").collect()
         slope, intercept = calibrate(np.array([r.vote for r in told]), np.array([r.toxic for r in told]))
-    scored = vote(neighbours(table, rows, toxic, idf, k, shard=shard))
+    # Vectors are small and a search is not: a task searches for some ten thousand.
+    scored = vote(neighbours(table.repartition(max(tasks, n // 10_000)), rows, toxic, idf, k, shard=shard))
     log_odds = slope * F.log(F.col("vote") / (1 - F.col("vote"))) + intercept
     value = 1 / (1 + F.exp(-log_odds)) if sum(toxic) else F.lit(0.0)
     return scored.select("doc_id", _held_out("doc_id").alias("held_out"), value.alias("score"), (value >= 0.5).cast("int").alias("predicted"), F.size("terms").alias("n_terms"), F.col("near").alias("evidence"))
