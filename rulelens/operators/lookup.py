@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rulelens.functions import arabic as ar
+from rulelens.operators.morphology import M13_SQL, classes
+from rulelens.plans.joins import checked_join
+from rulelens.plans.scratch import save
+from rulelens.sources.readings import READINGS_SQL, read_words
 from rulelens.sources.rules import LEXICON, Table
-from rulelens.sources.spelled import WORDS_SQL, words
+from rulelens.sources.spelled import WORDS_SQL, WRITTEN_WORDS_SQL, words, written_words
 
 _STRICT = f"regexp_replace(translate(replace({{0}}, '{ar.TATWEEL}', ''), 'ٱآإأٰؤ', 'اااااا'), '[{ar.ALL_MARKS}]', '', 'g')"
 _NORM = f"translate(replace({{0}}, '{ar.TATWEEL}', ''), '{ar.WASLA}', 'ا')"
@@ -44,14 +48,14 @@ def tiered(words: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def j01_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiered(words(spark, sf_dir), LEXICON.frame(spark)).select("id", "tier", "best.entry", "best.class", "best.tag")
+    return tiered(written_words(spark, sf_dir), LEXICON.frame(spark)).select("id", "tier", "best.entry", "best.class", "best.tag")
 
 
 def _index(name: str, key: str) -> str:
     return f"{name} AS (SELECT {key} AS key, arg_min(struct_pack(entry := entry, class := class, tag := tag), entry) AS best, count(DISTINCT class) > 1 AS ambiguous FROM lexicon GROUP BY {key})"
 
 
-J01 = f"""WITH {WORDS_SQL}, {LEXICON.sql()}, {_index("e", "form")}, {_index("n", _NORM.format("form"))}, {_index("s", _STRICT.format("form"))},
+J01 = f"""WITH {WRITTEN_WORDS_SQL}, {LEXICON.sql()}, {_index("e", "form")}, {_index("n", _NORM.format("form"))}, {_index("s", _STRICT.format("form"))},
 j AS (SELECT id, e.best AS b0, n.best AS b1, n.ambiguous AS a1, s.best AS b2 FROM words LEFT JOIN e ON word = e.key LEFT JOIN n ON {_NORM.format("word")} = n.key
   LEFT JOIN s ON {_STRICT.format("word")} = s.key AND NOT s.ambiguous AND s.best.class = 'VERB'),
 b AS (SELECT id, CASE WHEN b0 IS NOT NULL THEN 'exact' WHEN a1 THEN 'ambiguous' WHEN b1 IS NOT NULL THEN 'normalized' WHEN b2 IS NOT NULL THEN 'strict' ELSE 'none' END AS tier, CASE WHEN b0 IS NOT NULL THEN b0 WHEN a1 THEN NULL ELSE coalesce(b1, b2) END AS best FROM j)
@@ -60,14 +64,14 @@ SELECT id, tier, best.entry AS entry, best.class AS class, best.tag AS tag FROM
 
 def j04_strict_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact forms, else stripped ones with as many shaddas; best priority first."""
-    w, x = words(spark, sf_dir), LEXICON.frame(spark)
+    w, x = written_words(spark, sf_dir), LEXICON.frame(spark)
     exact = w.join(F.broadcast(x), F.col("word") == F.col("form")).withColumn("how", F.lit(0))
     plain = w.join(F.broadcast(x), (ar.strip_all(F.col("word")) == ar.strip_all(F.col("form"))) & (shaddas(F.col("word")) == shaddas(F.col("form")))).withColumn("how", F.lit(1))
     best = Window.partitionBy("id").orderBy("how", F.desc("priority"), "entry")
     return exact.unionByName(plain).withColumn("rank", F.row_number().over(best)).where("rank = 1").select("id", "how", "entry", "needs_context")
 
 
-J04 = f"""WITH {WORDS_SQL}, {LEXICON.sql()}, u AS (SELECT id, 0 AS how, l.* FROM words JOIN lexicon l ON word = form UNION ALL
+J04 = f"""WITH {WRITTEN_WORDS_SQL}, {LEXICON.sql()}, u AS (SELECT id, 0 AS how, l.* FROM words JOIN lexicon l ON word = form UNION ALL
 SELECT id, 1, l.* FROM words JOIN lexicon l ON regexp_replace(word, '[{ar.ALL_MARKS}]', '', 'g') = regexp_replace(form, '[{ar.ALL_MARKS}]', '', 'g') AND {_SHADDAS.format("word")} = {_SHADDAS.format("form")})
 SELECT id, how, entry, needs_context FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY how, priority DESC, entry) = 1"""
 
@@ -76,13 +80,27 @@ CLASS_ORDER = ("NOUN", "VERB", "PARTICLE")
 
 
 def a01_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate classes of each stripped key with the certainty they allow (A1, A2, and the certainty rule)."""
-    k = LEXICON.frame(spark).groupBy(ar.strip_all(F.col("form")).alias("key")).agg(F.array_join(F.sort_array(F.collect_set("class")), "|").alias("classes"), F.count_distinct("class").alias("n"), F.max("priority").alias("priority"), F.max("needs_context").alias("context"), F.count("*").alias("sources"))
-    kind = F.when(F.col("n") == 0, "Zero").when((F.col("n") == 1) & ~F.col("context") & (F.col("priority") >= 8), "Certificate").otherwise("Hypothesis")
+    """Candidate classes of each stripped key with the certainty they allow (A1, A2, and the certainty rule).
+
+    Candidates are the classes that the cascade gives the documents' words, with a priority by how sure it is, and the
+    lexicon's entries of the same keys.
+    """
+    w = read_words(spark, sf_dir).select("word")
+    counted = w.groupBy("word").agg(F.count("*").alias("times"))
+    by_proof = F.when(F.col("proof") == "Certificate", 9).when(F.col("proof") == "Hypothesis", 7).otherwise(3)
+    told = checked_join(counted, classes(counted), ["word"], "inner").select(ar.strip_all(F.col("word")).alias("key"), "class", by_proof.alias("priority"), F.lit(False).alias("needs_context"))
+    told = save(told, "registry")
+    listed = LEXICON.frame(spark).select(ar.strip_all(F.col("form")).alias("key"), "class", "priority", "needs_context").join(told.select("key").distinct(), "key", "left_semi")
+    k = told.unionByName(listed).groupBy("key").agg(F.array_join(F.sort_array(F.collect_set("class")), "|").alias("classes"), F.count_distinct("class").alias("n"), F.max("priority").alias("priority"), F.max("needs_context").alias("context"), F.count("*").alias("sources"))
+    kind = F.when((F.col("n") == 1) & ~F.col("context") & (F.col("priority") >= 8), "Certificate").otherwise("Hypothesis")
     return k.withColumn("proof", kind)
 
 
-A01 = f"WITH {LEXICON.sql()}, k AS (SELECT regexp_replace(form, '[{ar.ALL_MARKS}]', '', 'g') AS key, string_agg(DISTINCT class, '|' ORDER BY class) AS classes, count(DISTINCT class) AS n, max(priority) AS priority, bool_or(needs_context) AS context, count(*) AS sources FROM lexicon GROUP BY 1) SELECT *, CASE WHEN n = 1 AND NOT context AND priority >= 8 THEN 'Certificate' ELSE 'Hypothesis' END AS proof FROM k"
+A01 = f"""WITH {LEXICON.sql()}, told AS (SELECT DISTINCT word, class, proof FROM (SELECT w.word, c.class, c.proof FROM (WITH {READINGS_SQL} SELECT id, word FROM read_words) w JOIN ({M13_SQL}) c USING (id))),
+candidates AS (SELECT regexp_replace(word, '[{ar.ALL_MARKS}]', '', 'g') AS key, class, CASE proof WHEN 'Certificate' THEN 9 WHEN 'Hypothesis' THEN 7 ELSE 3 END AS priority, false AS needs_context FROM told),
+both_of AS (SELECT * FROM candidates UNION ALL SELECT regexp_replace(form, '[{ar.ALL_MARKS}]', '', 'g'), class, priority, needs_context FROM lexicon WHERE regexp_replace(form, '[{ar.ALL_MARKS}]', '', 'g') IN (SELECT key FROM candidates)),
+k AS (SELECT key, string_agg(DISTINCT class, '|' ORDER BY class) AS classes, count(DISTINCT class) AS n, max(priority) AS priority, bool_or(needs_context) AS context, count(*) AS sources FROM both_of GROUP BY 1)
+SELECT *, CASE WHEN n = 1 AND NOT context AND priority >= 8 THEN 'Certificate' ELSE 'Hypothesis' END AS proof FROM k"""
 
 # -- predicates compiled from tables ---------------------------------------------------------------------------------
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rulelens.functions import arabic as ar
 from rulelens.plans.reading import spread, table
 from rulelens.sources.rules import Table
-from rulelens.sources.spelled import WORDS_SQL, words
+from rulelens.sources.spelled import WRITTEN_WORDS_SQL, written_words
 
 _M, _A, _R = ar.MARKS, ar.ALL_MARKS, ar.RECITATION
 _MADDA = f"translate(regexp_replace({{0}}, '(^|\\s)([{_A}{ar.TATWEEL}]*)آ', '\\1\\2أَا', 'g'), 'آ', 'ا')"
@@ -22,14 +22,14 @@ _SQUEEZE = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
 
 def n_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.col("word")
-    return words(spark, sf_dir).select(
+    return written_words(spark, sf_dir).select(
         "id", ar.nfc(w).alias("n01"), ar.squeeze(w).alias("n02"), ar.drop_tatweel(w).alias("n03"), ar.wasla_to_alif(w).alias("n04"), ar.dagger_to_alif(w).alias("n05"),
         ar.open_madda(w).alias("n06"), ar.light_fold(w).alias("n12"), ar.strong_fold(w).alias("n13"), ar.strip_marks(w).alias("n14"), ar.strip_all(w).alias("n15"),
         ar.strict_key(w).alias("n18"), ar.root_fold(w).alias("n22"), ar.ascii_digits(w).alias("n26"), ar.strip_all(ar.pause_to_space(w)).alias("n20"),
     )
 
 
-N_FOLDS = f"""WITH {WORDS_SQL}
+N_FOLDS = f"""WITH {WRITTEN_WORDS_SQL}
 SELECT id, nfc_normalize(word) AS n01, {_SQUEEZE.format("word")} AS n02, replace(word, '{ar.TATWEEL}', '') AS n03, translate(word, '{ar.WASLA}', 'ا') AS n04,
   translate(word, '{ar.DAGGER}', 'ا') AS n05, {_MADDA.format("word")} AS n06, translate(word, 'ٱآ', 'اا') AS n12, translate(word, 'ٱآإأٰؤ', 'اااااا') AS n13,
   regexp_replace(word, '[{_M}]', '', 'g') AS n14, regexp_replace(word, '[{_A}]', '', 'g') AS n15,
@@ -40,10 +40,10 @@ FROM words"""
 
 
 def n10_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ar.normalize(words(spark, sf_dir), "word").select("id", "normalized", F.array_join("applied", ",").alias("applied"))
+    return ar.normalize(written_words(spark, sf_dir), "word").select("id", "normalized", F.array_join("applied", ",").alias("applied"))
 
 
-N10 = f"""WITH {WORDS_SQL},
+N10 = f"""WITH {WRITTEN_WORDS_SQL},
 s1 AS (SELECT id, word AS s0, nfc_normalize(word) AS s1 FROM words),
 s2 AS (SELECT *, {_SQUEEZE.format("s1")} AS s2 FROM s1), s3 AS (SELECT *, replace(s2, '{ar.TATWEEL}', '') AS s3 FROM s2),
 s4 AS (SELECT *, translate(s3, '{ar.WASLA}', 'ا') AS s4 FROM s3), s5 AS (SELECT *, {_MADDA.format("s4")} AS s5 FROM s4),
@@ -55,10 +55,10 @@ SELECT id, s6 AS normalized, concat_ws(',', CASE WHEN s1 <> s0 THEN 'nfc' END, C
 def n11_root_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The profile for root work: options on, and nunation cut."""
     w = F.col("word")
-    return words(spark, sf_dir).select("id", ar.open_wasl(w).alias("n07"), ar.sun_lam(w).alias("n08"), ar.strip_tanwin(w).alias("n21"))
+    return written_words(spark, sf_dir).select("id", ar.open_wasl(w).alias("n07"), ar.sun_lam(w).alias("n08"), ar.strip_tanwin(w).alias("n21"))
 
 
-N11 = f"""WITH {WORDS_SQL}
+N11 = f"""WITH {WRITTEN_WORDS_SQL}
 SELECT id, CASE WHEN regexp_matches(word, '^ا[^{_A}\\s][{_A}]*[^{_A}\\s][{_A}]*ُ') THEN 'أُ' || substr(word, 2)
                 WHEN regexp_matches(word, '^ا[^{_A}\\s][{_A}]*[^{_A}\\s]') THEN 'إِ' || substr(word, 2) ELSE word END AS n07,
   regexp_replace(word, '^(ال)([{ar.SUN}])([{_M}]*?)ّ', '\\1\\2\\3') AS n08,

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from rulelens.operators.tokens import _SQL_TOKENS, document_tokens
 from rulelens.plans.joins import checked_join
 from rulelens.plans.scratch import save
-from rulelens.sources.spelled import CLOSED, Staged, cascade, match, plain, sub, words
+from rulelens.sources.readings import vocabulary
+from rulelens.sources.spelled import CLOSED, SPELLED_SQL, Staged, cascade, match, plain, spelled_words, sub
 
 #: Sentences that a document's numbers have room for.
 SENTENCES_OF_A_DOCUMENT = 1 << 24
@@ -55,7 +56,7 @@ LEXICON = Staged(
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sent, pos, surface, lemma, class, gcase, definite, gender, number, tense) of every token, written once."""
-    lexicon = save(LEXICON.frame(words(spark, sf_dir)), "analysed-words")
+    lexicon = save(LEXICON.frame(spelled_words(vocabulary(spark, sf_dir))), "analysed-words")
     within = document_tokens(spark, sf_dir).select("doc_id", F.posexplode("sents").alias("s", "toks"))
     sent = (F.col("doc_id") * SENTENCES_OF_A_DOCUMENT + F.col("s")).cast("long").alias("sent")
     tokens = within.select(sent, F.posexplode("toks").alias("pos", "id"))
@@ -63,5 +64,5 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Common table expressions for the oracle; the last is ``toks``.
-TOKS_SQL = f"""{_SQL_TOKENS}, analysed AS MATERIALIZED ({LEXICON.sql()}),
+TOKS_SQL = f"""{_SQL_TOKENS}, analysed AS MATERIALIZED ({LEXICON.sql(f"{_SQL_TOKENS}, {SPELLED_SQL}", "spelled")}),
 toks AS MATERIALIZED (SELECT doc_id * {SENTENCES_OF_A_DOCUMENT} + sent_idx AS sent, pos::INT AS pos, surface, lemma, class, gcase, definite, gender, number, tense FROM tokens JOIN analysed ON token = id)"""

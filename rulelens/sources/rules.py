@@ -123,5 +123,6 @@ LEXICON = Table(
         (5, "كَتَبَ", "VERB", "PV", "كتب", 9, False), (6, "كُتُبٌ", "NOUN", "N", "كتب", 9, False), (7, "لَا", "PARTICLE", "NEG", None, 9, False), (8, "لَمْ", "PARTICLE", "JUS", None, 9, False), (9, "لَنْ", "PARTICLE", "SUB", None, 9, False),
         (10, "إِلَى", "PARTICLE", "PREP", None, 9, False), (11, "عَلَى", "PARTICLE", "PREP", None, 9, False), (12, "أَكَلَ", "VERB", "PV", "أكل", 9, False), (13, "هَذَا", "NOUN", "DEM", None, 9, False), (14, "ذَلِكَ", "NOUN", "DEM", None, 9, False),
         (15, "عَلِمَ", "VERB", "PV", "علم", 9, False), (16, "عِلْمٌ", "NOUN", "N", "علم", 9, False), (17, "آمَنَ", "VERB", "PV", "أمن", 9, False), (18, "مَدْرَسَةٌ", "NOUN", "N", "درس", 7, False), (19, "قَمَرٌ", "NOUN", "N", "قمر", 9, False),
+        (20, "ٱكْتُبْ", "VERB", "CV", "كتب", 9, False), (21, "اكْتُبْ", "NOUN", "N", "كتب", 3, True), (22, "دَخَلَ", "VERB", "PV", "دخل", 9, False), (23, "رَسُولٌ", "NOUN", "N", "رسل", 9, False), (24, "إِذَا", "PARTICLE", "COND", None, 9, True), (25, "هُوَ", "PRON", "3MS", None, 9, False),
     ),
 )

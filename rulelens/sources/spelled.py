@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from rulelens.functions import arabic as ar
 from rulelens.plans.scratch import save
-from rulelens.sources.readings import READINGS_SQL, WRITTEN_SQL, read_words, vocabulary, written
+from rulelens.sources.readings import READINGS_SQL, WRITTEN_SQL, readings, vocabulary, written
 from rulelens.sources.rules import Rules, Table
 
 A, M = ar.ALL_MARKS, ar.MARKS
@@ -106,23 +106,27 @@ def spelled(token: Column) -> Column:
     return x
 
 
+def spelled_words(tokens: DataFrame) -> DataFrame:
+    """(id, word): each distinct token with its spelling."""
+    known = tokens.join(F.broadcast(SPELLINGS.frame(tokens.sparkSession)), "token", "left")
+    return known.select(F.col("token").alias("id"), F.coalesce("spelled", F.expr(for_spark(spelling("token")))).alias("word"))
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vocabulary: each distinct token (id) with its spelling (word), and behind ``~`` with its reading."""
-    tokens = vocabulary(spark, sf_dir)
-    known = tokens.join(F.broadcast(SPELLINGS.frame(spark)), "token", "left")
-    spelled_words = known.select(F.col("token").alias("id"), F.coalesce("spelled", F.expr(for_spark(spelling("token")))).alias("word"))
-    return spelled_words.unionByName(read_words(spark, sf_dir).select("id", "word"))
+    """The vocabulary: each distinct token (id) with its spelling (word), and behind ``~`` with its reading. Tokens are found once."""
+    tokens = save(vocabulary(spark, sf_dir), "vocabulary")
+    return spelled_words(tokens).unionByName(readings(tokens).select("id", "word"))
 
 
 def written_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``words``, the read ones as scribes may have written them."""
-    w = words(spark, sf_dir)
-    return w.where("id not like '~%'").unionByName(written(w.where("id like '~%'")))
+    tokens = save(vocabulary(spark, sf_dir), "vocabulary")
+    return spelled_words(tokens).unionByName(written(save(readings(tokens).select("id", "word"), "readings")))
 
 
-_SPELLED = f"""{SPELLINGS.sql()}, spelled AS (SELECT t.token AS id, coalesce(spelled, {for_duck(spelling("t.token"))}) AS word FROM (SELECT DISTINCT token FROM tokens) t LEFT JOIN spellings s ON s.token = t.token)"""
-WORDS_SQL = f"""{READINGS_SQL}, {_SPELLED}, words AS MATERIALIZED (SELECT * FROM spelled UNION ALL SELECT * FROM read_words)"""
-WRITTEN_WORDS_SQL = f"""{WRITTEN_SQL}, {_SPELLED}, words AS MATERIALIZED (SELECT * FROM spelled UNION ALL SELECT * FROM written)"""
+SPELLED_SQL = f"""{SPELLINGS.sql()}, spelled AS (SELECT t.token AS id, coalesce(spelled, {for_duck(spelling("t.token"))}) AS word FROM (SELECT DISTINCT token FROM tokens) t LEFT JOIN spellings s ON s.token = t.token)"""
+WORDS_SQL = f"""{READINGS_SQL}, {SPELLED_SQL}, words AS MATERIALIZED (SELECT * FROM spelled UNION ALL SELECT * FROM read_words)"""
+WRITTEN_WORDS_SQL = f"""{WRITTEN_SQL}, {SPELLED_SQL}, words AS MATERIALIZED (SELECT * FROM spelled UNION ALL SELECT * FROM written)"""
 
 
 # -- queries in stages ------------------------------------------------------------------------------------------------
