@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulelens.llm.text import n_words
+from rulelens.llm.text import column, n_words
 from rulelens.plans.joins import checked_join
 from rulelens.plans.scratch import save
 
@@ -122,8 +122,8 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     Rows are filtered by their hash and their source's threshold where they are read; no text is shuffled.
     """
     plan = thresholds(_sized(docs, id_col, text_col, source_col), cycle, cap, share).select("_source", "rounds", "threshold")
-    aside = F.struct(*[docs[c] for c in docs.columns]).alias("_doc")  # names of the input can't clash
-    keyed = docs.select(aside, hash60(docs[id_col], docs[text_col]).alias("key"), _named(docs[source_col]).alias("_source"))
+    aside = F.struct(*[column(c).alias(c) for c in docs.columns]).alias("_doc")  # names of the input can't clash
+    keyed = docs.select(aside, hash60(column(id_col), column(text_col)).alias("key"), _named(column(source_col)).alias("_source"))
     columns = [F.col("_doc").getField(c).alias(c) for c in docs.columns]
     dealt = checked_join(keyed, plan, ["_source"], "inner").withColumn("_n", _copies()).where("_n > 0")
     return dealt.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_n"))).select(*columns)

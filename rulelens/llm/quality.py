@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulelens.llm.text import SPACE, let, lower_ascii, words
+from rulelens.llm.text import SPACE, column, let, lower_ascii, words
 from rulelens.plans.joins import checked_join
 from rulelens.plans.scratch import save
 
@@ -94,7 +94,7 @@ def judge(
     judged alike and stay repeated; an empty table gives no rows. With ``keep_text`` the input's columns follow
     under ``_doc``.
     """
-    kept = [F.col(id_col).alias("doc_id")] + ([F.struct(*[docs[c] for c in docs.columns]).alias("_doc")] if keep_text else [])
+    kept = [F.col(id_col).alias("doc_id")] + ([F.struct(*[column(c).alias(c) for c in docs.columns]).alias("_doc")] if keep_text else [])
     digests = save(digest(docs, text_col, host_col, kept), "quality-digest")
     digests = digests.withColumns({"n_words": F.col("_n.n_words"), "n_repeat_words": F.col("_n.n_repeat_words")})
     frequent = save(frequent_lines(digests, min_docs, min_share), "quality-lines")

@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulelens.llm.text import let
+from rulelens.llm.text import column, let
 from rulelens.plans.joins import BROADCAST_ROWS, checked_join
 from rulelens.plans.scratch import place, save
 
@@ -169,8 +169,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
     """
     found = scan(docs, id_col, text_col, **options).where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("spans"))
     found = save(found, "secret-masked")
-    text = F.coalesce(F.col(f"doc.`{text_col}`"), F.lit(""))
-    named = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"))
+    text = F.coalesce(F.col("doc").getField(text_col), F.lit(""))
+    named = docs.select(F.struct(*[column(c).alias(c) for c in docs.columns]).alias("doc"))
     named = checked_join(named.withColumn("blob", F.unhex(F.sha2(text, 256))), found, ["blob"], limit=FOUND_ROWS)
 
     def step(acc: Column, x: Column) -> Column:

@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rulelens.llm.text import column
 from rulelens.plans.components import components
 from rulelens.plans.joins import BROADCAST_ROWS, checked_join
 from rulelens.plans.scratch import save
@@ -568,8 +569,8 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     joined = save(told.select("doc_id", (F.col("n_shingles") > 0).alias("filled"), (F.col("component_id") == F.col("doc_id")).alias("stays")), "join-decided")
     each = joined.groupBy("doc_id", "filled").agg(F.count("*").alias("rows"), F.max("stays").alias("stays"))
     odd = save(each.where(~F.col("stays") | (F.col("rows") > 1)), "join-dropped")
-    words = F.coalesce(docs[text_col], F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), words.alias("filled"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    words = F.coalesce(column(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), words.alias("filled"), F.struct(*[column(c).alias(c) for c in docs.columns]).alias("row"))
     listed = odd.select("doc_id", "filled")
     alone = rows.join(F.broadcast(listed) if listed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else listed, ["doc_id", "filled"], "left_anti")
     repeated = rows.join(odd.where("stays").select("doc_id", "filled"), ["doc_id", "filled"], "left_semi").withColumn("text", F.coalesce(F.col("row").getField(text_col), F.lit("")))

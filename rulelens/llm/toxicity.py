@@ -30,6 +30,8 @@ LEAST_TOXIC, LEAST_Z = 3, 4.0
 NEIGHBOURS, PRIOR_WEIGHT = 15, 0.5
 #: Examples of a block, and weights that one shard of the index holds at most (some 100 MB).
 BLOCK, SHARD = 64, 4_000_000
+#: Postings up to which all blocks are scored at once.
+FEW_POSTINGS = 4_096
 #: Lengths of the word beginnings that are terms beside the words.
 BEGINNINGS = (3, 4, 5, 6, 7)
 #: Words with one beginning in a text that make that beginning a frequent one.
@@ -171,14 +173,17 @@ class BlockMaxIndex:
         order = order[bounds[order] > 0]
         rank = np.empty(self.blocks, np.int64)
         rank[order] = np.arange(len(order))
-        cosines, numbers, done, batch, least = np.zeros(0), np.zeros(0, np.int64), 0, 4, 0.0
+        few = int(self.lengths[entries].sum()) <= FEW_POSTINGS
+        cosines, numbers, done, batch, least = np.zeros(0), np.zeros(0, np.int64), 0, len(order) if few else 4, 0.0
         while done < len(order) and bounds[order[done]] >= least - 1e-9:
             chosen = (rank[blocks] >= done) & (rank[blocks] < done + batch)
             lengths, starts = self.lengths[entries[chosen]], self.starts[entries[chosen]]
             postings = np.arange(lengths.sum()) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
-            at, inverse = np.unique(self.at[postings], return_inverse=True)
-            found = np.bincount(inverse, np.repeat(weight[chosen], lengths) * self.weights[postings])
-            numbers, cosines = np.concatenate([numbers, self.numbers[at]]), np.concatenate([cosines, found])
+            found = np.bincount(self.at[postings], np.repeat(weight[chosen], lengths) * self.weights[postings])
+            at = np.flatnonzero(found)
+            if len(at) > 4 * k + 4:  # only the best of many are put in order
+                at = at[found[at] >= np.partition(found[at], -k - 1)[-k - 1]]
+            numbers, cosines = np.concatenate([numbers, self.numbers[at]]), np.concatenate([cosines, found[at]])
             kept = np.lexsort((numbers, -cosines))
             kept = kept[numbers[kept] != without][:k]
             numbers, cosines = numbers[kept], cosines[kept]
@@ -227,7 +232,7 @@ def neighbours(
                             if len(seen) >= REMEMBERED // 10:
                                 seen.clear()
                             seen[key] = index.nearest(its, weigh(its, counts, weights_of), k, mine) if its else []
-                        both = sorted([*((x["cosine"], x["number"]) for x in near), *seen[key]], key=lambda x: (-x[0], x[1]))[:k]
+                        both = seen[key] if not near else sorted([*((x["cosine"], x["number"]) for x in near), *seen[key]], key=lambda x: (-x[0], x[1]))[:k]
                         told.append([{"cosine": c, "number": n, "toxic": labels[n]} for c, n in both])
                     columns = [some.column(c) for c in names if c != "near"]
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(told, shape)], names)

@@ -62,3 +62,17 @@ def test_stages(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_of_any_name(spark, tmp_path):
+    """Every stage takes further columns whatever they are called, and all but the last hand them on."""
+    odd = ["a.b", "_doc", "row", "key", "doc", "x`y", "_n", "text.text", "spans"]
+    rows = [(*r, *(f"{c}{r[0]}" for c in odd)) for r in table()]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *odd])
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs, before = stage(spark, docs, str(tmp_path)), docs
+        got = docs.collect()
+        assert got
+        if k + 1 < len(corpus_pipeline.STAGES):
+            assert docs.columns == before.columns
+            assert all(r[5 + j] == f"{c}{r[0]}" for r in got for j, c in enumerate(odd))
