@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rulelens.operators import alignment, answers, clauses, constructions, evaluation, graph, lookup, mining, morphology, normalizing, references, segmenter, tokens
+from rulelens.sources import typed_json
 from rulelens.streaming import trackers
 
 FLAGSHIP = "claims_by_marker"
-MODULES = (normalizing, tokens, lookup, morphology, alignment, segmenter, clauses, graph, references, answers, constructions, mining, evaluation, trackers)
+MODULES = (normalizing, tokens, lookup, morphology, alignment, segmenter, clauses, graph, references, answers, constructions, mining, evaluation, trackers, typed_json)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
