@@ -213,10 +213,10 @@ fitting AS (
     AND NOT (len(pl) > 0 AND core[1] = 'ل' AND cs[1] = 'n' AND cv[1] = '-')
 ),
 strings AS (SELECT *, array_to_string(list_transform(range(1, n + 1), lambda i: cf[i] || cs[i] || cv[i]), '') AS code FROM fitting),
+near AS MATERIALIZED (SELECT s.*, p.* EXCLUDE (n) FROM strings s JOIN pats p ON p.n = s.n AND array_to_string(s.cf, '') LIKE replace(p.pkey, '.', '_')),
 met AS (
-  SELECT c.*, p.pattern, p.kind, p.own, p.expansion, p.weak, p.pkey, p.doubled FROM strings c JOIN pats p ON p.n = c.n AND (CASE WHEN c.suffix = '' THEN regexp_matches(c.code, replace(p.whole, '[^اىة]', '.')) ELSE regexp_matches(c.code, replace(p.before_suffix, '[^اىة]', '.')) END)
-    AND list_bool_and(list_transform(range(1, c.n + 1), lambda i: substr(p.pkey, i, 1) <> '.' OR c.core[i] NOT IN ('ا', 'ى', 'ة')))
-  WHERE p.kind IN ('N', 'PV|N') OR NOT regexp_matches(prefix, '[بك]|ال') AND NOT regexp_matches(suffix, '^(ة|ات)')
+  SELECT * FROM near WHERE regexp_matches(code, replace(CASE WHEN suffix = '' THEN whole ELSE before_suffix END, '[^اىة]', '.')) AND list_bool_and(list_transform(range(1, n + 1), lambda i: substr(pkey, i, 1) <> '.' OR core[i] NOT IN ('ا', 'ى', 'ة')))
+    AND (kind IN ('N', 'PV|N') OR NOT regexp_matches(prefix, '[بك]|ال') AND NOT regexp_matches(suffix, '^(ة|ات)'))
 ),
 rooted AS (
   SELECT word, pattern, kind, expansion, prefix, suffix, length(prefix) + length(suffix) AS clitics, n, own,

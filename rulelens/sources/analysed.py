@@ -1,68 +1,84 @@
-"""Analysed tokens of the documents: each token with lemma, class, case, definiteness, gender, number and tense.
+"""Analysed tokens of the documents: each token's reading with lemma, class, case, definiteness, gender, number and tense.
 
-What a word says of itself is worked out once a word of the vocabulary; tokens take it by a checked join. A sentence's
-number holds its document (``sent >> 24``) and its place there, so neighbouring sentences have neighbouring numbers.
-A document without an id has sentences without a number; rows that share an id share their sentences' numbers.
+What a word says of itself is worked out once a distinct word, from its segments and the class cascade; tokens take it by
+a checked join. A sentence's number holds its document (``sent >> 24``) and its place there, so neighbouring sentences
+have neighbouring numbers. Documents without an id are numbered apart; rows that share an id share their sentences' numbers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rulelens.operators.morphology import M13_SQL, classes
+from rulelens.operators.segmenter import CLOSED_WORDS, G11, segments
 from rulelens.operators.tokens import _SQL_TOKENS, document_tokens
 from rulelens.plans.joins import checked_join
 from rulelens.plans.scratch import save
-from rulelens.sources.readings import vocabulary
-from rulelens.sources.spelled import CLOSED, SPELLED_SQL, Staged, cascade, match, plain, spelled_words, sub
+from rulelens.sources.readings import READINGS_SQL, readings
+from rulelens.sources.rules import Rules, Table
+from rulelens.sources.spelled import Staged, cascade, match, plain, sub
 
 #: Sentences that a document's numbers have room for.
 SENTENCES_OF_A_DOCUMENT = 1 << 24
 
+#: Times by their form. Fixed values.
+TIMES = Table("times", "form tense", "string string", (("غَدًا", "future"), ("الْآنَ", "present"), ("الْيَوْمَ", "present"), ("أَمْسِ", "past")))
+
 _NOMINAL = "class IN ('NOUN', 'ADJ')"
-_PRESENT = "^(يَ|تَ|نَ)"
+#: The part that shows the case: the feminine ending where there is one, else the stem with its own plural ending.
+_SHOWN = "CASE WHEN " + match("tags", "TAA") + " THEN regexp_extract(suffixes, '([ةت][ًٌٍَُِ]?)', 1) WHEN " + match("tags", "NUM") + " THEN replace(suffixes, '+', '') ELSE stem END"
 
-#: What a word says of itself, by its spelling.
+#: What a word says of itself, by its parts.
 LEXICON = Staged(
-    lookups=((CLOSED, "word", "form", {"c_class": "class", "c_tag": "tag"}),),
+    lookups=((TIMES, "word", "form", {"time": "tense"}), (CLOSED_WORDS, "regexp_replace(word, '^[وف]َ', '')", "form", {"c_tag": "tag"})),
     stages=(
+        {"shown": _SHOWN, "closed": "source IN ('registry', 'function_word', 'preposition_and_pronoun')"},
         {
-            "stripped": plain("word"),
-            "class": cascade(
-                ("c_class IS NOT NULL", "c_class"),
-                (f"{match('word', _PRESENT)} OR {match('word', '^سَيَ')} OR {match('word', '(َتْ|تُمْ|ُوا)$')}", "'VERB'"),
-                (f"{match('word', '^(ال)?مُ')} OR {match('word', '(ِينَ|ًا)$')}", "'ADJ'"),
-                otherwise="'NOUN'",
-            ),
-        },
-        {
-            "lemma": cascade(("c_class IS NOT NULL OR length(stripped) < 5", "stripped"), otherwise=sub(sub("stripped", "^(ال|سي|است)"), "(ون|ين|ات|ان|ة)$")),
-            "gcase": cascade(
-                (f"NOT ({_NOMINAL})", "NULL"), (match("word", "(ُ|ٌ|ُونَ|َانِ)$"), "'NOM'"), (match("word", "(ِ|ٍ|ِينَ)$"), "'GEN'"), (match("word", "(َ|ً|ًا)$"), "'ACC'"),
-            ),
-            "definite": cascade((_NOMINAL, match("word", "^(وَ|بِ|لِ|كَ|فَ)?ال"))),
-            "gender": cascade(
-                ("c_tag = '3FS'", "'F'"), ("class = 'PRON'", "'M'"), (f"({_NOMINAL} OR class = 'VERB') AND {match('word', '(َةٌ|َاتٌ|َتْ)$')}", "'F'"), (f"{_NOMINAL} OR class = 'VERB'", "'M'"),
-            ),
+            "lemma": cascade(("closed", plain("regexp_replace(word, '^[وف]َ', '')")), otherwise=sub(plain("stem"), "ّ")),
+            "gcase": cascade((f"NOT ({_NOMINAL})", "NULL"), (match("shown", "(ُ|ٌ|ونَ|انِ)$"), "'NOM'"), (match("shown", "(ِ|ٍ|ينَ)$"), "'GEN'"), (match("shown", "(َ|ً|ًا|اً)$"), "'ACC'")),
+            "definite": cascade((_NOMINAL, match("tags", "DET|PRON"))),
+            "gender": cascade(("c_tag = '3FS'", "'F'"), ("class = 'PRON'", "'M'"), (f"{_NOMINAL} AND ({match('tags', 'TAA')} OR {match('suffixes', 'ات')}) OR class = 'VERB' AND {match('suffixes', '(^|[+])تْ')}", "'F'"), (f"{_NOMINAL} OR class = 'VERB'", "'M'")),
             "number": cascade(
-                ("c_tag = '3MP'", "'PL'"), ("class = 'PRON'", "'SG'"), (f"NOT ({_NOMINAL} OR class = 'VERB')", "NULL"), (match("word", "(ُونَ|ِينَ|َاتٌ|ُوا|تُمْ)$"), "'PL'"), (match("word", "َانِ$"), "'DU'"), otherwise="'SG'",
+                ("c_tag IN ('3MP', '2MP', '1CP')", "'PL'"), ("class = 'PRON'", "'SG'"), (f"NOT ({_NOMINAL} OR class = 'VERB')", "NULL"), (f"{match('suffixes', '(^|[+])(ان)')}", "'DU'"),
+                (f"{match('tags', 'NUM')} OR class = 'VERB' AND {match('suffixes', '(^|[+])(وا|تُمْ|تُمُو|نَا)')}", "'PL'"), otherwise="'SG'",
             ),
-            "tense": cascade(("class = 'TIME'", "c_tag"), ("class <> 'VERB'", "NULL"), (match("word", "^سَيَ"), "'future'"), (match("word", _PRESENT), "'present'"), otherwise="'past'"),
+            "tense": cascade(("class = 'TIME'", "time"), ("class <> 'VERB'", "NULL"), (match("tags", "FUT"), "'future'"), ("aspect IN ('IV', 'CV')", "'present'"), otherwise="'past'"),
         },
     ),
-    select="id, word AS surface, lemma, class, gcase, definite, gender, number, tense",
+    select="word, lemma, class, gcase, definite, gender, number, tense",
 )
 
 
-def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lexicon(words: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """(word, lemma, class, gcase, definite, gender, number, tense) of each distinct ``word``."""
+    parts = segments(words, rules).select("word", "stem", "suffixes", "tags")
+    told = classes(words, rules).select("word", "class", "source", "aspect")
+    return save(LEXICON.frame(checked_join(parts, told, ["word"], "inner"), rules), "analysed-words")
+
+
+def sentences(spark: SparkSession, sf_dir: str, rules: Rules | None = None) -> DataFrame:
     """(sent, pos, surface, lemma, class, gcase, definite, gender, number, tense) of every token, written once."""
-    lexicon = save(LEXICON.frame(spelled_words(vocabulary(spark, sf_dir))), "analysed-words")
-    within = document_tokens(spark, sf_dir).select("doc_id", F.posexplode("sents").alias("s", "toks"))
-    sent = (F.col("doc_id") * SENTENCES_OF_A_DOCUMENT + F.col("s")).cast("long").alias("sent")
-    tokens = within.select(sent, F.posexplode("toks").alias("pos", "id"))
-    return save(checked_join(tokens, lexicon, ["id"], "inner").drop("id"), "analysed-tokens")
+    docs = document_tokens(spark, sf_dir).select(F.monotonically_increasing_id().alias("row"), "doc_id", "sents")
+    within = docs.select(_numbered(F.col("row"), F.col("doc_id")).alias("doc"), F.posexplode("sents").alias("s", "toks"))
+    sent = (F.col("doc") * SENTENCES_OF_A_DOCUMENT + F.col("s")).cast("long").alias("sent")
+    tokens = save(within.select(sent, F.posexplode("toks").alias("pos", "token")), "analysed-places")
+    known = save(readings(tokens.select("token").distinct()).select(F.expr("substr(id, 2)").alias("token"), "word"), "analysed-readings")
+    told = checked_join(known, lexicon(known, rules), ["word"], "inner").withColumnRenamed("word", "surface")
+    return save(checked_join(tokens, save(told, "analysed-lexicon"), ["token"], "inner").drop("token"), "analysed-tokens")
+
+
+#: Ids from here on are numbers of rows without one.
+NO_ID = 1 << 38
+
+
+def _numbered(row: Column, doc_id: Column) -> Column:
+    """A document's number: its id; rows without one are numbered apart, beyond all ids."""
+    partition, place = F.shiftright(row, 33), row.bitwiseAND(F.lit((1 << 33) - 1))
+    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID) + partition * (1 << 20) + place)
 
 
 #: Common table expressions for the oracle; the last is ``toks``.
-TOKS_SQL = f"""{_SQL_TOKENS}, analysed AS MATERIALIZED ({LEXICON.sql(f"{_SQL_TOKENS}, {SPELLED_SQL}", "spelled")}),
+_DESCRIBED = f"described AS (SELECT DISTINCT r.word, g.stem, g.suffixes, g.tags, c.class, c.source, c.aspect FROM (WITH {READINGS_SQL} SELECT id, word FROM read_words) r JOIN ({G11}) g USING (id) JOIN ({M13_SQL}) c USING (id))"
+TOKS_SQL = f"""{_SQL_TOKENS}, analysed AS MATERIALIZED (SELECT substr(r.id, 2) AS id, a.* RENAME (word AS surface) FROM (WITH {READINGS_SQL} SELECT id, word FROM read_words) r JOIN ({LEXICON.sql(_DESCRIBED, "described")}) a USING (word)),
 toks AS MATERIALIZED (SELECT doc_id * {SENTENCES_OF_A_DOCUMENT} + sent_idx AS sent, pos::INT AS pos, surface, lemma, class, gcase, definite, gender, number, tense FROM tokens JOIN analysed ON token = id)"""
