@@ -129,7 +129,7 @@ def _segmenting() -> tuple[dict[str, str], ...]:
         {"stem": f"q{len(SUFFIXES) - 1}", "prefixes": joined([p[0] for p in PREFIXES]), "suffixes": joined(inner), "tags": f"concat_ws('+', {tags})"},
         {
             "rebuilt": "replace(prefixes, '+', '') || stem || replace(suffixes, '+', '')", "absorbed": "det <> '' AND " + match("stem", f"^[{ar.SUN}]ّ"), "split": "CASE WHEN splits THEN a_parts ELSE '-' END",
-            "proof": cascade(("atomic OR stays", "'Certificate'"), ("prefixes || suffixes <> ''", "'Hypothesis'"), otherwise="'Zero'"),
+            "proof": cascade((f"{letters('word')} < 3 AND c_class IS NULL AND NOT done2", "'Zero'"), ("atomic OR prefixes || suffixes = ''", "'Certificate'"), otherwise="'Hypothesis'"),
         },
     ]
     return tuple(out)
