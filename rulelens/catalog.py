@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rulelens.operators import alignment, answers, clauses, constructions, context, coverage, evaluation, frames, gates, graph, lookup, mining, morphology, normalizing, references, segmenter, tokens
+from rulelens.operators import alignment, answers, clauses, constructions, context, coverage, evaluation, frames, gates, graph, lookup, mining, morphology, normalizing, references, scalars, segmenter, sweep, tokens
 from rulelens.sources import typed_json
 from rulelens.streaming import trackers
 
 FLAGSHIP = "claims_by_marker"
-MODULES = (normalizing, tokens, lookup, morphology, alignment, segmenter, clauses, frames, context, gates, graph, references, gates, answers, constructions, mining, coverage, evaluation, trackers, typed_json)
+MODULES = (normalizing, tokens, lookup, morphology, alignment, segmenter, clauses, frames, context, gates, graph, references, gates, answers, constructions, mining, coverage, evaluation, sweep, scalars, trackers, typed_json)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
