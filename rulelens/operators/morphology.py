@@ -100,32 +100,6 @@ F12 = Staged(
     select="id, override, broken_plural, pronoun",
 )
 
-#: The prefix stack, mood and aspect, person, number and gender from affixes.
-_PV = (("تُمْ", "2", "PL", "M"), ("تُنَّ", "2", "PL", "F"), ("وا", "3", "PL", "M"), ("نَا", "1", "PL", "C"), ("َتْ", "3", "SG", "F"), ("تَ", "2", "SG", "M"), ("تُ", "1", "SG", "C"))
-_IV = (("ُونَ", "PL", "M"), ("َانِ", "DU", "M"), ("نَ", "PL", "F"), ("ِينَ", "SG", "F"))
-_RIGHT = lambda x: f"right(word, {len(x)}) = '{x}'"
-F17 = Staged(
-    lookups=(),
-    stages=(
-        {"conj": f"regexp_extract(word, '^([وف]?{MK})', 1)"},
-        {"rest1": "substr(word, length(conj) + 1)"},
-        {"lam": "regexp_extract(rest1, '^(لِ|لْ)?', 1)"},
-        {"rest2": "substr(rest1, length(lam) + 1)"},
-        {"future": "regexp_extract(rest2, '^(سَ)?', 1)"},
-        {"stem": "substr(rest2, length(future) + 1)"},
-        {
-            "aspect": cascade(("future <> ''", "'IV'"), (match("stem", "^[يتن][َُ]"), "'IV'"), (match("stem", f"^ا{L}ْ"), "'CV'"), (" OR ".join(_RIGHT(x[0]) for x in _PV), "'PV'"), (match("word", f"^{L}َ{L}[َُِ]{L}َ"), "'PV'"), otherwise="'none'"),
-            "mood": cascade(("future <> ''", "'indicative'"), ("lam = 'لْ'", "'jussive'"), ("lam = 'لِ'", "'subjunctive'"), (match("stem", "^[يتن]") + " AND " + match("word", "(ُونَ|َانِ|ُ)$"), "'indicative'"), (match("stem", "^[يتن]") + " AND " + match("word", "ْ$"), "'jussive'"), (match("stem", "^[يتن]") + " AND " + match("word", "(وا|َ)$"), "'subjunctive'"), otherwise="'none'"),
-        },
-        {
-            "person": cascade(*[("aspect = 'PV' AND " + _RIGHT(e), f"'{p}'") for e, p, _, _ in _PV], ("aspect = 'PV'", "'3'"), ("aspect = 'CV'", "'2'"), ("aspect = 'IV' AND left(stem, 1) = 'ي'", "'3'"), ("aspect = 'IV' AND left(stem, 1) = 'ن'", "'1'"), ("aspect = 'IV'", "'2'"), otherwise="'-'"),
-            "number": cascade(*[("aspect = 'PV' AND " + _RIGHT(e), f"'{n}'") for e, _, n, _ in _PV], *[("aspect IN ('IV', 'CV') AND " + _RIGHT(e), f"'{n}'") for e, n, _ in _IV], ("aspect = 'IV' AND left(stem, 1) = 'ن'", "'PL'"), ("aspect <> 'none'", "'SG'"), otherwise="'-'"),
-            "gender": cascade(*[("aspect = 'PV' AND " + _RIGHT(e), f"'{g}'") for e, _, _, g in _PV], *[("aspect IN ('IV', 'CV') AND " + _RIGHT(e), f"'{g}'") for e, _, g in _IV], ("aspect = 'none'", "'-'"), otherwise="'M'"),
-        },
-    ),
-    select="id, conj, lam, future, stem, aspect, mood, person, number, gender",
-)
-
 #: The surface heuristic for verbs, with the reason.
 _SURFACE = cascade(
     (match("word", "[ً-ٍ]"), "'tanwin'"), ("left(bare, 2) = 'ال'", "'article'"), (match("bare", "(ون|ين|ات)$") + " AND NOT " + match("word", "^[يتن][َُ]"), "'plural_ending'"),
@@ -134,25 +108,6 @@ _SURFACE = cascade(
 )
 F19 = Staged(lookups=(), stages=({"bare": plain("word")}, {"reason": _SURFACE}), select="id, reason, left(reason, 4) = 'verb' AS is_verb")
 
-#: The verb-form verdict, an ordered cascade over the gates before it; what a decision allows.
-F16 = Staged(
-    lookups=(_CLOSED_FULL, (DEFECTIVE, plain(_PEELED), "key", {"d_topic": "topic"}), (EXPLICIT, _PEELED, "form", {"x_form": "form"}), (LEXICA, "word", "form", {"lexicon": "kind"})),
-    stages=(
-        {"bare": plain("word"), **_first_suffix(PRONOUN_ENDS, 2, "pronoun")},
-        {"core": "CASE WHEN pronoun = '' THEN word ELSE left(word, length(word) - length(pronoun)) END"},
-        {"verbal_core": match("core", f"^[يتن][َُ]|^سَ|^{L}َ{L}[َُِ]{L}َ?$|َتْ$")},
-        {
-            "verdict": cascade(
-                ("c_class IS NOT NULL AND c_class <> 'VERB'", "'closed'"), (match("word", "[ً-ٍ]"), "'tanwin'"), ("pronoun <> '' AND NOT verbal_core", "'possessive'"), ("d_topic IS NOT NULL", "'kana'"),
-                ("lexicon IN ('foreign_name', 'comparative') OR left(bare, 2) = 'ال' OR right(bare, 1) = 'ة'", "'non_verb'"), (match("word", f"^تَ?{L}ْ?{MK}{L}ِي{MK}{L}{MK}$"), "'tafdeel'"),
-                ("x_form IS NOT NULL", "'explicit'"), (match("word", "^[وف]?َ?(لْ|لِ|سَ)?[يتن][َُ]"), "'mood'"), ("verbal_core", "'strong'"), (match("word", "(تُمْ|وا)$"), "'suffix'"), otherwise="'none'",
-            ),
-        },
-        {"proof": cascade(("verdict IN ('kana', 'explicit')", "'Certificate'"), ("verdict IN ('mood', 'strong', 'suffix')", "'Hypothesis'"), otherwise="'Zero'")},
-    ),
-    select="id, pronoun, verdict, proof, proof <> 'Zero' AS allows_event, verdict IN ('kana', 'explicit', 'mood') AS allows_relation",
-)
-
 #: Atoms on the verbal pattern that a word shows, compiled; the first phase that holds decides.
 F03 = Staged(
     lookups=(),
@@ -235,22 +190,93 @@ def m13_word_class(spark: SparkSession, sf_dir: str, rules: Rules | None = None)
 _CLASSES = M13.sql(f"{ALIGNED_SQL}, described AS (SELECT g.word, g.stem, g.tags, g.number AS number_suffix, b.pattern, b.kind FROM ({SEGMENTS_SQL}) g LEFT JOIN best b ON b.word = g.word)", "described")
 M13_SQL = f"SELECT w.id, r.* EXCLUDE (word) FROM ({_CLASSES}) r JOIN (WITH {READINGS_SQL} SELECT * FROM read_words) w ON w.word = r.word"
 
+# -- words with their parts, pattern and class ------------------------------------------------------------------------
+
+
+def described(table: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """Each distinct ``word`` with its segments, its aligned pattern and its class."""
+    parts = segments(table, rules).drop("proof", "split", "absorbed", "rebuilds")
+    aligned = best_alignment(table, rules).select("word", "pattern", "kind")
+    told = classes(table, rules).select("word", "class", "source", "aspect")
+    return save(checked_join(checked_join(parts, aligned, ["word"]), told, ["word"], "inner"), "described")
+
+
+DESCRIBED_SQL = f"""{ALIGNED_SQL}, described AS MATERIALIZED (SELECT g.* EXCLUDE (proof, split, absorbed, rebuilds), b.pattern, b.kind, c.class, c.source, c.aspect FROM ({SEGMENTS_SQL}) g LEFT JOIN best b ON b.word = g.word JOIN ({_CLASSES}) c ON c.word = g.word)"""
+
+#: The subject's ending of a verb, whichever rule peeled it; an object's pronoun is none.
+_ENDING = "coalesce(nullif(subject, ''), nullif(subject2, ''), nullif(past_ta, ''), nullif(number, ''), nullif(pronoun2, ''), CASE WHEN pronoun = 'نَا' AND imperfect = '' THEN pronoun END, '')"
+_BY_ENDING = (("تُمُو", "2", "PL", "M"), ("تُمْ", "2", "PL", "M"), ("تُمَا", "2", "DU", "C"), ("تُنَّ", "2", "PL", "F"), ("وا", "3", "PL", "M"), ("نَا", "1", "PL", "C"), ("تْ", "3", "SG", "F"), ("تَ", "2", "SG", "M"), ("تُ", "1", "SG", "C"), ("تِ", "2", "SG", "F"))
+
+#: The prefix stack, mood and aspect, person, number and gender from affixes.
+F17 = Staged(
+    stages=(
+        {"ending": _ENDING, "verb": "class = 'VERB'"},
+        {"lead": "coalesce(nullif(left(imperfect, 1), ''), CASE WHEN lam_amr <> '' THEN left(stem, 1) END, CASE WHEN aspect = 'IV' THEN left(stem, 1) END, '')", "shape": "CASE WHEN NOT verb THEN 'none' ELSE aspect END"},
+        {
+            "mood": cascade(
+                ("shape <> 'IV'", "'none'"), ("future <> ''", "'indicative'"), (match("word", "ْ$"), "'jussive'"), ("lam_amr = 'لْ'", "'jussive'"), (match("ending", "^(ونَ|انِ|ينَ)"), "'indicative'"), ("ending = 'وا'", "'subjunctive'"),
+                (match("stem", "ُ$"), "'indicative'"), (match("stem", "ْ$"), "'jussive'"), (match("stem", "َ$"), "'subjunctive'"), otherwise="'none'",
+            ),
+            "person": cascade(("shape = 'none'", "'-'"), ("shape = 'CV'", "'2'"), ("shape = 'IV' AND lead = 'ي'", "'3'"), ("shape = 'IV' AND lead IN ('ن', 'أ')", "'1'"), ("shape = 'IV'", "'2'"), *[(f"ending = '{e}'", f"'{p}'") for e, p, _, _ in _BY_ENDING], otherwise="'3'"),
+            "number_of": cascade(
+                ("shape = 'none'", "'-'"), ("shape = 'IV' AND lead = 'ن'", "'PL'"), ("shape IN ('IV', 'CV') AND " + match("ending", "^(ونَ?|وا)$"), "'PL'"), ("shape IN ('IV', 'CV') AND " + match("ending", "^ان"), "'DU'"), ("shape IN ('IV', 'CV')", "'SG'"), *[(f"ending = '{e}'", f"'{n}'") for e, _, n, _ in _BY_ENDING], otherwise="'SG'",
+            ),
+            "gender": cascade(("shape = 'none'", "'-'"), ("shape = 'IV' AND lead IN ('ن', 'أ')", "'C'"), ("shape IN ('IV', 'CV') AND " + match("ending", "^ين"), "'F'"), ("shape IN ('IV', 'CV')", "'M'"), *[(f"ending = '{e}'", f"'{g}'") for e, _, _, g in _BY_ENDING], otherwise="'M'"),
+        },
+    ),
+    select="word, conj, lam_amr AS lam, future, stem, shape AS aspect, mood, person, number_of AS number, gender",
+)
+
+#: The verb-form verdict, an ordered cascade over the gates before it; what a decision allows.
+F16 = Staged(
+    lookups=((DEFECTIVE, plain(_PEELED), "key", {"d_topic": "topic"}), (EXPLICIT, _PEELED, "form", {"x_form": "form"}), (LEXICA, "word", "form", {"lexicon": "kind"})),
+    stages=(
+        {
+            "verdict": cascade(
+                ("source IN ('registry', 'function_word', 'preposition_and_pronoun', 'interrogative') AND class <> 'VERB'", "'closed'"), (match("word", "[ً-ٍ]ا?$"), "'tanwin'"), ("d_topic IS NOT NULL", "'kana'"), ("x_form IS NOT NULL", "'explicit'"), ("class <> 'VERB' AND pronoun <> ''", "'possessive'"),
+                (f"lexicon IN ('foreign_name', 'comparative') OR {match('tags', '(^|[+])(DET|TAA)')}", "'non_verb'"), ("pattern = 'تَفْعِيل'", "'tafdeel'"), (match("tags", "IMPERF_PREF|LAM_AMR|FUT|IMP_PREF"), "'mood'"), (match("tags", "(^|[+])SUBJ") + " OR past_ta <> ''", "'suffix'"), ("class = 'VERB'", "'strong'"), otherwise="'none'",
+            ),
+        },
+        {"proof": cascade(("verdict IN ('kana', 'explicit')", "'Certificate'"), ("verdict IN ('mood', 'strong', 'suffix')", "'Hypothesis'"), otherwise="'Zero'")},
+    ),
+    select="word, pronoun, verdict, proof, proof <> 'Zero' AS allows_event, verdict IN ('kana', 'explicit', 'mood') AS allows_relation",
+)
+
+#: Patterns of broken plurals. Fixed values.
+_PLURALS = ("فُعُول", "أَفْعَال", "مَفَاعِل", "مَفَاعِيل", "فَوَاعِل", "فَعَائِل", "أَفَاعِل", "فُعَلَاء", "أَفْعِلَاء", "فُعُل", "فُعَّال", "أَفْعُل")
 #: Gender and number by tiers with confidence, and the singular that a plural suggests.
 M20 = Staged(
-    lookups=(_CLOSED_FULL,),
+    lookups=((CLOSED_WORDS, "regexp_replace(word, '^[وف]َ', '')", "form", {"c_tag": "tag"}),),
     stages=(
-        {"bare": plain("word")},
+        {"bare": plain("stem"), "ends": "replace(suffixes, '+', '')", "nominal": "class IN ('NOUN', 'ADJ')", "plural_pattern": f"coalesce(pattern IN ({', '.join(f"{chr(39)}{p}{chr(39)}" for p in _PLURALS)}), false) AND class IN ('NOUN', 'ADJ')"},
         {
-            "gender": cascade(("c_tag IN ('3FS')", "'F'"), ("c_class = 'PRON'", "'M'"), (match("word", "َتْ$"), "'F'"), ("right(bare, 1) = 'ة'", "'F'"), ("right(bare, 2) = 'ات'", "'F'"), (match("bare", "(اء|ى)$"), "'F'"), otherwise="'M'"),
-            "gender_sure": cascade(("c_class = 'PRON'", "1.0"), (match("word", "َتْ$"), "0.9"), ("right(bare, 1) = 'ة'", "0.9"), ("right(bare, 2) = 'ات'", "0.85"), (match("bare", "(اء|ى)$"), "0.6"), otherwise="0.3"),
-            "number": cascade(("c_tag = '3MP'", "'PL'"), ("right(bare, 2) = 'ات'", "'PL'"), (match("word", "ُونَ$|وا$"), "'PL'"), (match("word", "َانِ$"), "'DU'"), (match("word", "ِينَ$"), "'PL_OR_DU'"), (match("word", f"^{L}{MK}{L}ُ{MK}و{L}{MK}$"), "'PL'"), otherwise="'SG'"),
-            "number_sure": cascade(("c_tag = '3MP'", "1.0"), ("right(bare, 2) = 'ات'", "0.9"), (match("word", "ُونَ$|وا$"), "0.9"), (match("word", "َانِ$"), "0.85"), (match("word", "ِينَ$"), "0.6"), (match("word", f"^{L}{MK}{L}ُ{MK}و{L}{MK}$"), "0.55"), otherwise="0.5"),
-            "singular": cascade(("right(bare, 2) = 'ات'", "left(bare, length(bare) - 2) || 'ة'"), (match("bare", "(ون|ين|ان)$") + " AND length(bare) > 4", "left(bare, length(bare) - 2)"), otherwise="bare"),
+            "gender": cascade(("c_tag = '3FS'", "'F'"), ("class = 'PRON'", "'M'"), ("taa <> ''", "'F'"), ("class = 'VERB' AND past_ta = 'تْ'", "'F'"), (f"nominal AND {match('number', 'ات')}", "'F'"), ("nominal AND " + match("bare", "(اء|ى)$"), "'F'"), otherwise="'M'"),
+            "gender_sure": cascade(("class = 'PRON'", "1.0"), ("taa <> '' OR class = 'VERB' AND past_ta = 'تْ'", "0.9"), (f"nominal AND {match('number', 'ات')}", "0.85"), ("nominal AND " + match("bare", "(اء|ى)$"), "0.6"), otherwise="0.3"),
+            "number_of": cascade(("c_tag IN ('3MP', '2MP', '1CP')", "'PL'"), (f"nominal AND {match('number', 'ات')}", "'PL'"), (match("ends", "^(ونَ?|وا)"), "'PL'"), (match("number", "^انِ") + " OR nominal AND " + match("stem", "َانِ$"), "'DU'"), (match("number", "^ين"), "'PL_OR_DU'"), ("plural_pattern", "'PL'"), otherwise="'SG'"),
+            "number_sure": cascade(("c_tag IN ('3MP', '2MP', '1CP')", "1.0"), (f"nominal AND {match('number', 'ات')}", "0.9"), (match("ends", "^(ونَ?|وا)"), "0.9"), (match("number", "^انِ") + " OR nominal AND " + match("stem", "َانِ$"), "0.85"), (match("number", "^ين"), "0.6"), ("plural_pattern", "0.55"), otherwise="0.5"),
+            "singular": cascade((f"nominal AND {match('number', 'ات')}", "bare || 'ة'"), ("nominal AND taa <> ''", "bare || 'ة'"), ("nominal AND " + match("stem", "َانِ$"), "left(bare, length(bare) - 2)"), otherwise="bare"),
         },
     ),
-    select="id, gender, CAST(gender_sure AS DOUBLE) AS gender_sure, number, CAST(number_sure AS DOUBLE) AS number_sure, singular",
+    select="word, gender, CAST(gender_sure AS DOUBLE) AS gender_sure, number_of AS number, CAST(number_sure AS DOUBLE) AS number_sure, singular",
 )
 
+
+def _by_word(staged: Staged):
+    """A query that works its columns out once a distinct word and gives them to every id."""
+
+    def run(spark: SparkSession, sf_dir: str, rules: Rules | None = None) -> DataFrame:
+        w = read_words(spark, sf_dir).select("id", "word")
+        return checked_join(w, save(staged.frame(described(w, rules), rules), "by-word"), ["word"], "inner").drop("word")
+
+    return run
+
+
+def _by_word_sql(staged: Staged) -> str:
+    return f"SELECT w.id, r.* EXCLUDE (word) FROM ({staged.sql(DESCRIBED_SQL, 'described')}) r JOIN (WITH {READINGS_SQL} SELECT * FROM read_words) w ON w.word = r.word"
+
+
+_BY_WORD = {"f17_mood_person": F17, "f16_verb_verdict": F16, "m20_gender_number": M20}
+
 #: G8, G9, X: letters and marks, the parts of words, scalar functions on vocalised words.
 X01 = Staged(
     lookups=(_CLOSED_FULL, (LABELS, "coalesce(c_tag, '-')", "code", {"label": "label"})),
@@ -286,8 +312,8 @@ G33 = Staged(
 )
 
 _ALL = {
-    "f05_gates": F05, "f12_overrides": F12, "f17_mood_person": F17, "f19_surface_verbs": F19, "f16_verb_verdict": F16, "f03_pattern_atoms": F03, "m20_gender_number": M20,
+    "f05_gates": F05, "f12_overrides": F12, "f19_surface_verbs": F19, "f03_pattern_atoms": F03, 
     "x01_word_functions": X01, "g33_prefix_forms": G33,
 }
-QUERIES = {name: staged.query() for name, staged in _ALL.items()} | {"m13_class_cascade": m13_class_cascade, "m13_word_class": m13_word_class}
-ORACLE = {name: staged.sql() for name, staged in _ALL.items()} | {"m13_class_cascade": M13_SQL, "m13_word_class": f"SELECT id, class, source, proof FROM ({M13_SQL})"}
+QUERIES = {name: staged.query() for name, staged in _ALL.items()} | {name: _by_word(staged) for name, staged in _BY_WORD.items()} | {"m13_class_cascade": m13_class_cascade, "m13_word_class": m13_word_class}
+ORACLE = {name: staged.sql() for name, staged in _ALL.items()} | {name: _by_word_sql(staged) for name, staged in _BY_WORD.items()} | {"m13_class_cascade": M13_SQL, "m13_word_class": f"SELECT id, class, source, proof FROM ({M13_SQL})"}

@@ -39,7 +39,7 @@ CLOSED_WORDS = Table("closed_words", "form class tag", "string string string", t
         ("PARTICLE", "COND", "إِذَا إِنْ لَوْ"), ("PARTICLE", "INNA", "إِنَّ أَنَّ لَكِنَّ لَعَلَّ"), ("PARTICLE", "INTG", "هَلْ"), ("PARTICLE", "MA", "مَا"), ("PARTICLE", "FUT", "سَوْفَ"), ("PARTICLE", "CERT", "قَدْ"),
         ("PRON", "3MS", "هُوَ"), ("PRON", "3FS", "هِيَ"), ("PRON", "3MP", "هُمْ"), ("PRON", "1CS", "أَنَا"), ("PRON", "1CP", "نَحْنُ"), ("PRON", "2MS", "أَنْتَ"), ("PRON", "2MP", "أَنْتُمْ"),
         ("DEM", "DEM", "هَذَا هَذِهِ ذَلِكَ تِلْكَ هَؤُلَاءِ أُولَئِكَ"), ("REL", "REL", "الَّذِي الَّتِي الَّذِينَ مَنْ"), ("VERB", "KANA", "كَانَ"), ("VERB", "PV", "قَالَ"),
-        ("VERB", "CV", "قُلْ"), ("PARTICLE", "VOC", "يَا"), ("PARTICLE", "INTG", "أَيْنَ مَتَى أَيُّ كَيْفَ"), ("PARTICLE", "LOC", "حَيْثُ"), ("TIME", "TIME", "غَدًا أَمْسِ الْيَوْمَ الْآنَ"),
+        ("VERB", "CV", "قُلْ"), ("VERB", "TRANS", "صَارَ"), ("PARTICLE", "VOC", "يَا"), ("PARTICLE", "INTG", "أَيْنَ مَتَى أَيُّ كَيْفَ"), ("PARTICLE", "LOC", "حَيْثُ"), ("TIME", "TIME", "غَدًا أَمْسِ الْيَوْمَ الْآنَ"),
     )
     for form in forms.split()
 ))

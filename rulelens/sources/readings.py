@@ -24,7 +24,7 @@ _STEMS = (
     ("N", "NOUN", "كِتَاب:كتب رَجُل:رجل قَلَم:قلم عِلْم:علم رَسُول:رسل كَرِيم:كرم عَالِم:علم كَاتِب:كتب مَكْتُوب:كتب مُعَلِّم:علم شَمْس:شمس قَمَر:قمر جَبَل:جبل حَدِيث:حدث صَبْر:صبر طَالِب:طلب دَرْس:درس نَصْر:نصر مَسْجِد:سجد بَحْر:بحر رَحِيم:رحم جِهَاد:جهد قُلُوب:قلب دُرُوس:درس"),
     ("T", "NOUN", "مَدْرَس:درس مَكْتَب:كتب شَجَر:شجر رَحْم:رحم جَنّ:جنن سَاع:سوع"),
     ("F", "PARTICLE", "مِنْ: فِي: إِلَى: عَلَى: ثُمَّ: لَا: لَمْ: لَنْ: إِذَا: أَنْ: إِنَّ: مَا: مَنْ:"),
-    ("F", "PRON", "هُوَ: هِيَ: هُمْ: أَنَا: أَنْتَ:"), ("F", "DEM", "هَذَا: ذَلِكَ:"), ("F", "REL", "الَّذِي: الَّذِينَ:"), ("F", "VERB", "قَالَ:قول كَانَ:كون قُلْ:قول قَالُوا:قول"),
+    ("F", "PRON", "هُوَ: هِيَ: هُمْ: أَنَا: أَنْتَ:"), ("F", "DEM", "هَذَا: ذَلِكَ:"), ("F", "REL", "الَّذِي: الَّذِينَ:"), ("F", "VERB", "قَالَ: كَانَ: قُلْ: صَارَ:"),
     ("F", "PARTICLE", "يَا: أَيْنَ: مَتَى: حَيْثُ: أَيُّ:"), ("F", "TIME", "غَدًا: أَمْسِ: الْيَوْمَ:"),
 )
 STEMS = Table("stems", "nr kind class stem root", "int string string string string", tuple((nr, *r) for nr, r in enumerate(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulelens.functions import arabic as ar
-from rulelens.operators import graph, lookup, tokens
+from rulelens.operators import graph, lookup, segmenter, tokens
 from rulelens.sources import files
 from rulelens.sources.analysed import sentences
 from rulelens.streaming import trackers
@@ -88,7 +88,7 @@ def test_resolutions_of_a_sentence_and_the_one_before(spark):
 
 
 def test_segments_rebuild_words(spark):
-    assert lookup.g10_segments(spark, SF).where("not rebuilds").count() == 0
+    assert segmenter.g10_segments(spark, SF).where("not rebuilds").count() == 0
 
 
 def test_predicates(spark):

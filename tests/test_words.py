@@ -139,3 +139,48 @@ def test_rule_tables_are_checked(spark):
     with pytest.raises(ValueError, match="several rows for b"):
         bound([("b", 1), ("b", 2)], ["key", "value"]).lookup(spark, table, "key")
     assert Rules().lookup(spark, table, "key")[1] is True
+
+
+#: word: verdict, aspect, mood, person, number, gender of the verb; gender and number of the word.
+VERBS = {
+    "كَتَبَ": ("explicit", "PV", "none", "3", "SG", "M"), "كَتَبَتْ": ("suffix", "PV", "none", "3", "SG", "F"), "كَتَبْتُ": ("suffix", "PV", "none", "1", "SG", "C"), "كَتَبْتُمْ": ("suffix", "PV", "none", "2", "PL", "M"), "كَتَبْنَا": ("strong", "PV", "none", "1", "PL", "C"),
+    "كَتَبُوا": ("suffix", "PV", "none", "3", "PL", "M"), "كَتَبَهُمْ": ("strong", "PV", "none", "3", "SG", "M"), "اسْتَغْفَرَ": ("strong", "PV", "none", "3", "SG", "M"), "يَكْتُبُ": ("mood", "IV", "indicative", "3", "SG", "M"), "يَكْتُبُونَ": ("mood", "IV", "indicative", "3", "PL", "M"),
+    "تَكْتُبُونَ": ("mood", "IV", "indicative", "2", "PL", "M"), "نَعْلَمُ": ("mood", "IV", "indicative", "1", "PL", "C"), "فَسَيَعْلَمُ": ("mood", "IV", "indicative", "3", "SG", "M"), "وَلْيَكْتُبْ": ("mood", "IV", "jussive", "3", "SG", "M"), "لِيَكْتُبَ": ("mood", "IV", "subjunctive", "3", "SG", "M"), "لِيَكْتُبْ": ("mood", "IV", "jussive", "3", "SG", "M"),
+    "اكْتُبْ": ("mood", "CV", "none", "2", "SG", "M"), "اكْتُبُوا": ("mood", "CV", "none", "2", "PL", "M"), "كَانَ": ("kana", "PV", "none", "3", "SG", "M"), "وَكَانَ": ("kana", "PV", "none", "3", "SG", "M"),
+}
+OTHERS = {"كِتَابٌ": "tanwin", "الْكِتَابُ": "non_verb", "كِتَابُهُمْ": "possessive", "مِنْ": "closed", "هُوَ": "closed", "الَّذِي": "closed", "يَوْمَ": "none", "مَسَاجِدُ": "none", "يُوسُفُ": "non_verb", "أَكْبَرُ": "non_verb"}
+NUMBERS = {"مَدْرَسَةٌ": ("F", 0.9, "SG", "مدرسة"), "مُسْلِمَاتٌ": ("F", 0.85, "PL", "مسلمة"), "قُلُوبٌ": ("M", 0.3, "PL", "قلوب"), "مُعَلِّمُونَ": ("M", 0.3, "PL", "معلم"), "رَجُلَانِ": ("M", 0.3, "DU", "رجل"), "هِيَ": ("F", 1.0, "SG", "هي"), "هُمْ": ("M", 1.0, "PL", "هم"), "الْمُؤْمِنِينَ": ("M", 0.3, "PL_OR_DU", "مؤمن")}
+
+
+@pytest.fixture(scope="module")
+def parts(spark):
+    from rulelens.functions.arabic import ordered
+
+    return morphology.described(spark.createDataFrame([(ordered(w),) for w in {**VERBS, **OTHERS, **NUMBERS}], "word string"))
+
+
+def by_word(staged, parts):
+    return {r.word: r for r in staged.frame(parts).collect()}
+
+
+def test_verdicts(parts):
+    from rulelens.functions.arabic import ordered
+
+    got = by_word(morphology.F16, parts)
+    assert {w: got[ordered(w)].verdict for w in VERBS | OTHERS} == {w: v[0] for w, v in VERBS.items()} | OTHERS
+    assert [got[w].proof for w in ("كَانَ", "كَتَبُوا", "كِتَابٌ")] == ["Certificate", "Hypothesis", "Zero"] and got["كَتَبُوا"].allows_event and not got["كَتَبُوا"].allows_relation
+
+
+def test_mood_person_number_and_gender(parts):
+    from rulelens.functions.arabic import ordered
+
+    got = by_word(morphology.F17, parts)
+    assert {w: (got[ordered(w)].aspect, got[ordered(w)].mood, got[ordered(w)].person, got[ordered(w)].number, got[ordered(w)].gender) for w in VERBS} == {w: v[1:] for w, v in VERBS.items()}
+    assert {got[ordered(w)].aspect for w in OTHERS} == {"none"} and (got[ordered("فَسَيَعْلَمُ")].conj, got[ordered("فَسَيَعْلَمُ")].future) == ("فَ", "سَ")
+
+
+def test_gender_and_number_of_words(parts):
+    from rulelens.functions.arabic import ordered
+
+    got = by_word(morphology.M20, parts)
+    assert {w: (got[ordered(w)].gender, got[ordered(w)].gender_sure, got[ordered(w)].number, got[ordered(w)].singular) for w in NUMBERS} == NUMBERS
