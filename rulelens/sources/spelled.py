@@ -80,7 +80,7 @@ CLOSED = Table("closed_forms", "form class tag", "string string string", tuple((
 STARTS = (("the?", "ال"), ("re", "وَ"), ("be", "بِ"), ("in", "لِ"), ("an", "يَ"), ("er", "سَيَ"), ("en", "تَ"), ("is", "نَ"), ("on", "أَ"), ("ha", "مُ"), ("st", "اسْتَ"), ("ou", "فَ"), ("ci", "كَ"))
 ENDS = (("ing", "ُونَ"), ("tion", "َةٌ"), ("ed", "َتْ"), ("ly", "ًا"), ("er", "ِينَ"), ("es", "َاتٌ"), ("st", "ُوا"), ("nd", "هُمْ"), ("ea", "هَا"), ("nt", "تُمْ"), ("le", "َانِ"), ("en", "ٌ"), ("at", "ُ"), ("he", "ِ"), ("re", "ٍ"), ("sh", "هُ"), ("ti", "كُمْ"), ("or", "نَا"))
 LATIN = "bcdfghjklmnpqrstvwxyzaeiouáéíóúñçßäöüèêàôîûâëï"
-ARABIC = "بكدفغهجكلمنبقرستفوخيزَِِ" + "ُُ" + "اةيوونشصعحئىءاؤيوآطظ"
+ARABIC = "بكدفغهجكلمنبقرستفوخيزَُُِِاةيوونشصعحئىءاؤيوآطظ"
 assert len(LATIN) == len(ARABIC)
 
 
