@@ -1,4 +1,4 @@
-"""Case and mood, clitics, agreement, constructions, modals and opinions (W1 to W3, F14 to F18, F24 to F29, G33, J7 to J10, J28, M20 to M25, D5, D6, A31, B6, L)."""
+"""Case marks, clitics, agreement, constructions, modals and opinions (W1 to W3 in part, F14, F15, F24, F28, J10, J28, L7 to L9, L11, M23 to M25, D5, A31, B6)."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ _A = ar.ALL_MARKS
 
 
 def w01_case_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Case by the previous token's class, then by ending; the mark that shows it."""
+    """Case by the previous token's class, then by ending; the mark that shows it (W1 to W3 in part)."""
     order = Window.partitionBy("sent").orderBy("pos")
     t = sentences(spark, sf_dir).withColumns({"prev": F.lag("class").over(order), "plain": F.col("surface")})
     last = F.regexp_extract("surface", f"([{ar.MARKS}])[^{ar.MARKS}]*$", 1)

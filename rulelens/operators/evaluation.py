@@ -1,10 +1,16 @@
-"""Evaluation: accuracy, confusion, hold-out, drift, boundaries and sweeps (A12 to A28 without A25, J12 to J14)."""
+"""Evaluation: accuracy, confusion, hold-out, drift, boundaries and roll-ups."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rulelens.operators.graph import _EDGES, relations
+from rulelens.operators.morphology import M13_SQL, classes
+from rulelens.plans.joins import checked_join
+from rulelens.sources.analysed import sentences
+from rulelens.sources.readings import READINGS_SQL, read_words
+
 #: A plain prediction to measure: marked words make a text poor, insults make it toxic.
 POOR, INSULTS = r"[#*$%&|]{2,}|!!", r"(?i)\b(idiot|stupid|moron|loser|pathetic|worthless|trash|scum|clown|disgusting)\b"
 
@@ -20,7 +26,7 @@ _P = f"p AS (SELECT l.*, lang, source, (NOT regexp_matches(coalesce(text, ''), '
 
 
 def a15_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confusion counts with shares of their gold class, one row per metric and pair."""
+    """Confusion counts with shares of their gold class, one row per metric and pair."""
     p = predictions(spark, sf_dir)
     long = p.select(F.explode(F.array(F.struct(F.lit("quality").alias("metric"), F.col("quality").alias("gold"), F.col("p_quality").alias("said")), F.struct(F.lit("toxic").alias("metric"), F.col("toxic").alias("gold"), F.col("p_toxic").alias("said")))).alias("x")).select("x.*")
     c = long.groupBy("metric", "gold", "said").agg(F.count("*").alias("n"))
@@ -32,7 +38,7 @@ A15 = f"WITH {_P}, l AS (SELECT 'quality' AS metric, quality AS gold, p_quality
 
 
 def a17_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accuracy on a deterministic fifth held out, by language and whether its source was seen."""
+    """Accuracy on the three sixteenths of documents held out by digest, by language and whether their source was seen."""
     p = predictions(spark, sf_dir).withColumn("held", F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1).isin("0", "1", "2"))
     sources = p.where("not held and source is not null").select("source").distinct().withColumn("seen", F.lit(True))
     h = p.where("held").join(sources, "source", "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
@@ -67,7 +73,7 @@ A24 = r"WITH c AS (SELECT lang, sum(len(regexp_extract_all(coalesce(text, ''), '
 
 
 def a13_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by length bucket and language with all totals in one pass (A12, A13, A27: rollup)."""
+    """Documents by length bucket and language with all totals in one pass (A13, A27 as a roll-up of documents)."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("bucket", F.when(F.col("n_chars") < 500, "short").when(F.col("n_chars") < 4000, "middle").otherwise("long"))
     r = d.rollup("lang", "bucket").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.grouping_id().alias("level"))
     return r.select("lang", "bucket", "n", "chars", F.col("level").cast("int").alias("level"))
@@ -77,7 +83,7 @@ A13 = "SELECT lang, bucket, count(*) AS n, sum(n_chars)::BIGINT AS chars, groupi
 
 
 def f43_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anomalies by kind with one example each."""
+    """Anomalies by kind with one example each (of documents; the gates and sweeps tell those of words)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     kinds = F.array_compact(F.array(F.when(F.col("t").rlike("!!"), "shouting"), F.when(F.col("t").rlike(r"[#*$%&]{3}"), "marked"), F.when(F.col("t").contains(" | "), "table"), F.when(F.length("t") < 100, "short"), F.when(F.col("t").rlike(r"[A-Za-z0-9._]+@[A-Za-z0-9.]+"), "address")))
     return docs.select("doc_id", F.explode(kinds).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"), F.min("doc_id").alias("example"))
@@ -105,5 +111,38 @@ p AS (SELECT {", ".join(f"({said})::INT = quality AS {m}" for m, said in MODES.i
 l AS ({" UNION ALL ".join(f'SELECT whole, \'{m}\' AS mode, p.{m} AS ok FROM p' for m in MODES)})
 SELECT mode, count(ok) AS n, count(*) FILTER (ok) AS correct, count(*) FILTER (whole AND NOT ok) AS lost, count(*) FILTER (NOT whole AND ok) AS won, round(count(*) FILTER (ok) / count(ok), 6) AS accuracy FROM l GROUP BY mode"""
 
-QUERIES = {"a18_ablation": a18_ablation, "a15_confusion": a15_confusion, "a17_holdout": a17_holdout, "a21_drift": a21_drift, "a24_boundaries": a24_boundaries, "a13_sweep_rollup": a13_sweep, "f43_anomalies": f43_anomalies}
-ORACLE = {"a18_ablation": A18, "a15_confusion": A15, "a17_holdout": A17, "a21_drift": A21, "a24_boundaries": A24, "a13_sweep_rollup": A13, "f43_anomalies": F43}
+
+
+def a15_word_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cascade's classes against those that words were built with: confusion by what decided, held-out words apart.
+
+    Shares are of a true class within its part. A fifth of the words is held out by digest: nothing is fitted, so the parts
+    should agree.
+    """
+    told = read_words(spark, sf_dir).select("id", "word", F.col("class").alias("truth"))
+    held = (F.conv(F.substring(F.md5("word"), 1, 4), 16, 10).cast("int") % 5 == 0).alias("held_out")
+    j = checked_join(told, classes(told).select("word", F.col("class").alias("said"), "source"), ["word"], "inner")
+    c = j.groupBy(held, "truth", "said", "source").agg(F.count("*").alias("n"))
+    whole = F.sum("n").over(Window.partitionBy("held_out", "truth"))
+    return c.withColumn("share", F.round(F.col("n") / whole, 6))
+
+
+A15_WORDS = f"""WITH told AS (SELECT * FROM (WITH {READINGS_SQL} SELECT id, word, class AS truth FROM readings)), c AS (SELECT ('0x' || substr(md5(word), 1, 4))::INT % 5 = 0 AS held_out, truth, m.class AS said, m.source, count(*) AS n FROM told JOIN ({M13_SQL}) m USING (id) GROUP BY ALL)
+SELECT *, round(n / sum(n) OVER (PARTITION BY held_out, truth), 6) AS share FROM c"""
+
+
+def a26_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations by name: how many of each proof, their mean distance, and what share of all tokens they leave from."""
+    toks = sentences(spark, sf_dir)
+    tokens = toks.count()
+    e = relations(toks, spark).groupBy("name").agg(
+        F.count("*").alias("n"), *[F.sum((F.col("proof") == p).cast("long")).alias(p.lower()) for p in ("Certificate", "Hypothesis", "Zero")], F.round(F.avg("distance"), 6).alias("mean_distance"), F.count_distinct("sent", "source").alias("covered")
+    )
+    return e.select("name", "n", "certificate", "hypothesis", "zero", "mean_distance", F.round(F.col("covered") / F.lit(tokens), 6).alias("share"))
+
+
+A26 = f"""WITH {_EDGES}, t AS (SELECT count(*) AS tokens FROM toks) SELECT name, count(*) AS n, count(*) FILTER (proof = 'Certificate') AS certificate, count(*) FILTER (proof = 'Hypothesis') AS hypothesis, count(*) FILTER (proof = 'Zero') AS zero, round(avg(distance), 6) AS mean_distance,
+  round(count(DISTINCT (sent, source)) / any_value(tokens), 6) AS share FROM edges, t GROUP BY name"""
+
+QUERIES = {"a18_ablation": a18_ablation, "a15_confusion": a15_confusion, "a17_holdout": a17_holdout, "a21_drift": a21_drift, "a24_boundaries": a24_boundaries, "a13_sweep_rollup": a13_sweep, "f43_anomalies": f43_anomalies, "a15_word_classes": a15_word_classes, "a26_relations": a26_relations}
+ORACLE = {"a18_ablation": A18, "a15_confusion": A15, "a17_holdout": A17, "a21_drift": A21, "a24_boundaries": A24, "a13_sweep_rollup": A13, "f43_anomalies": F43, "a15_word_classes": A15_WORDS, "a26_relations": A26}

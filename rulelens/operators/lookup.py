@@ -1,4 +1,4 @@
-"""Tiered lookups, registries, predicates and word classes (J, A1 to A3, F, M, L)."""
+"""Tiered lookups, registries and predicates (J1 to J4, A1 to A3, F1, F2, X)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Mining of long documents into topics, claims and cards, with coverage and review (S16, B, A4 to A11, J19 to J22, W23)."""
+"""Mining of long documents into topics, claims and cards, with coverage and review."""
 
 from __future__ import annotations
 

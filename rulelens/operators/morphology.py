@@ -1,4 +1,4 @@
-"""Gates, verdicts and features of words over the vocabulary (F3 to F23, M12 to M22, M38, G8, G9, G32 to G35, G44, X, N17, N23, N27, N28, J6, J7).
+"""Gates, verdicts and features of words over the vocabulary (F3 to F23, M13 to M22, M38, G9, G32 to G35, G44, X1 to X8 in part, N17, N23, N27, N28).
 
 Each query states its rules once, as ordered conditions that both engines read; lookups are left joins of small rule
 tables, broadcast with a known size.

@@ -1,4 +1,4 @@
-"""References beyond third-person agreement, passes after the relation walk, and conditions.
+"""References beyond third-person agreement, passes after the relation walk, and conditions.
 
 All windows are within a sentence, but for addressees, which are carried along a document by rows of vocatives and
 pronouns only. Sentences without a number (documents without an id) have no references and no relations here.

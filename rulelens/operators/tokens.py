@@ -1,4 +1,4 @@
-"""Generators: tokens, sentences, paragraphs, clauses, markers and claims over documents (G, J5, A14, D, W).
+"""Generators: tokens, sentences, paragraphs, clauses, markers and claims over documents.
 
 A document's tokens stay in its row as an array of sentences, each an array of words. What stands before or after a
 token, scopes, runs and clauses are expressions on these arrays, so the only rows shuffled are those of the final sums.
