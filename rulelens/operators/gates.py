@@ -119,7 +119,7 @@ STRICT_FORMS = ("SHART_IN", "JAZM_LA_NAHIYA")
 
 
 def word_claims(words: DataFrame, rules: Rules | None = None) -> DataFrame:
-    """(word, operator, topic, meaning, form) of each distinct ``word``: what it may mean by its first or last letter, or as a whole.
+    """(word, operator, topic, meaning, form, way) of each distinct ``word``: what it may mean by its first or last letter, or as a whole.
 
     A whole word is looked up as it is first and without marks only where no form is it exactly.
     """
@@ -132,7 +132,8 @@ def word_claims(words: DataFrame, rules: Rules | None = None) -> DataFrame:
     exact = w.join(F.broadcast(whole), w["word"] == whole["form"])
     stripped = w.join(F.broadcast(whole.select("form").distinct()), w["word"] == F.col("form"), "left_anti").join(F.broadcast(whole), w["plain"] == whole["operator"])
     keep = ["word", "operator", "topic", "meaning", "form"]
-    return by_letter.select(*keep).unionByName(exact.select(*keep)).unionByName(stripped.select(*keep))
+    told = lambda df, way: df.select(*keep, F.lit(way).alias("way"))
+    return told(by_letter, "prefix").unionByName(told(exact, "exact")).unionByName(told(stripped, "stripped"))
 
 
 def certified_claims(claims: DataFrame, parts: DataFrame) -> DataFrame:
@@ -151,7 +152,7 @@ def certified_claims(claims: DataFrame, parts: DataFrame) -> DataFrame:
         .when(F.col("_needed").isNotNull(), F.when(~has_prefix, F.concat(F.lit("topic_"), topic, F.lit("_needs_prefix_"), F.col("_needed")))).when((topic == "PRONOUN") & (F.length("operator") == 1), F.when(~has_suffix, F.concat(F.lit("pronoun_"), letter, F.lit("_is_no_suffix"))))
         .when(topic.isin(*STRICT_FORMS), F.when(~strict, F.concat(F.lit("strict_form_"), topic)))
     )
-    return j.withColumn("reason", reason).select("word", "operator", "topic", "meaning", F.col("reason").isNull().alias("certified"), F.coalesce("reason", F.lit("")).alias("reason"))
+    return j.withColumn("reason", reason).select("word", "operator", "topic", "meaning", "way", F.col("reason").isNull().alias("certified"), F.coalesce("reason", F.lit("")).alias("reason"))
 
 
 def f32_certified_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
