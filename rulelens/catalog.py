@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rulelens.operators import alignment, answers, clauses, clitics, constructions, context, coverage, evaluation, frames, gates, graph, knowledge, lookup, mining, morphology, normalizing, references, scalars, segmenter, sweep, textgraph, tokens
+from rulelens.operators import alignment, answers, clauses, clitics, constructions, context, coverage, discourse, evaluation, frames, gates, graph, knowledge, lookup, mining, morphology, normalizing, references, scalars, segmenter, sweep, textgraph, tokens
 from rulelens.sources import typed_json
 from rulelens.streaming import trackers
 
 FLAGSHIP = "claims_by_marker"
-MODULES = (normalizing, tokens, lookup, morphology, alignment, segmenter, clauses, frames, clitics, context, gates, graph, references, gates, knowledge, textgraph, answers, constructions, mining, coverage, evaluation, sweep, scalars, trackers, typed_json)
+MODULES = (normalizing, tokens, lookup, morphology, alignment, segmenter, clauses, frames, clitics, context, discourse, gates, graph, references, gates, knowledge, textgraph, answers, constructions, mining, coverage, evaluation, sweep, scalars, trackers, typed_json)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -97,10 +97,11 @@ def entries(lines: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
 
 
 def _cases(pairs: list[tuple[Column, Column]], otherwise: Column) -> Column:
-    out = F
-    for condition, value in pairs:
-        out = out.when(condition, value)
-    return out.otherwise(otherwise)
+    """The value of the first condition that holds."""
+    out = otherwise
+    for condition, value in reversed(pairs):
+        out = F.when(condition, value).otherwise(out)
+    return out
 
 
 def inventory(lines: DataFrame) -> DataFrame:
