@@ -145,6 +145,17 @@ def test_phrases_match_brute_force(spark, monkeypatch, limit):
     assert collocations.collocations(docs.where("false"), listed_limit=limit).collect() == []
 
 
+@pytest.mark.parametrize("rows, most", [(1, 1), (3, 7), (2, 10**6)])
+def test_pivots_cut_anywhere(spark, monkeypatch, rows, most):
+    monkeypatch.setattr(collocations, "MINED_ROWS", rows)
+    monkeypatch.setattr(collocations, "HELD_ROWS", most)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    rows = some_texts(120)
+    got = collocations.collocations(spark.createDataFrame(rows, "lang string, text string"), least=4).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got)) == brute_phrases(rows, 4) and len(got) > 3
+
+
 def test_partial_pivots_add_up():
     codes = np.array([1, 2, 1, 2, 3, 1, 0, 2, 1] * 50, np.int64)
     one = collocations._fragments(codes, np.array([], np.int64), np.array([], np.int64))
