@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from rulelens.functions import arabic as ar
 from rulelens.operators.morphology import M13_SQL, classes
-from rulelens.plans.joins import checked_join
+from rulelens.plans.joins import checked_join, large_join
 from rulelens.plans.scratch import save
 from rulelens.sources.readings import READINGS_SQL
 from rulelens.sources.rules import Rules, Table
@@ -142,7 +142,7 @@ def resolve(spark: SparkSession, surface: str, before: tuple[str, ...] = (), beh
 def enriched(tokens: DataFrame, decisions: DataFrame, keys: list[str]) -> DataFrame:
     """``tokens`` (with class and proof) with the decisions: a certain one replaces the class, any other stands beside it."""
     d = decisions.select(*keys, "pos", F.col("class").alias("_c"), "function", F.col("proof").alias("_p"))
-    j = tokens.join(d, [*keys, "pos"], "left")
+    j = large_join(tokens, d, [*keys, "pos"], "left")
     sure = F.coalesce(F.col("_p") == "Certificate", F.lit(False))
     return j.withColumns({"resolved_class": F.when(sure, F.col("_c")).otherwise(F.col("class")), "resolved_proof": F.when(sure, "Certificate").otherwise(F.col("proof")), "context_proof": F.col("_p")}).drop("_c", "_p")
 
@@ -158,7 +158,7 @@ def m26_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = save(read_sentences(spark, sf_dir).where(F.col("surface") != PAUSE), "context-tokens")
     told = classes(tokens.select(F.col("surface").alias("word"))).select(F.col("word").alias("surface"), "class", "proof")
     known = checked_join(tokens, save(told, "context-classes"), ["surface"], "inner")
-    e = enriched(known, decide(tokens, keys), keys).join(features(tokens, keys).where("prohibits").select(*keys, "pos", F.lit("prohibition").alias("mood")), [*keys, "pos"], "left")
+    e = large_join(enriched(known, decide(tokens, keys), keys), features(tokens, keys).where("prohibits").select(*keys, "pos", F.lit("prohibition").alias("mood")), [*keys, "pos"], "left")
     return e.groupBy("class", "resolved_class", "resolved_proof", "function", "context_proof", "mood").agg(F.count("*").alias("n"))
 
 

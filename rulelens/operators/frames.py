@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rulelens.functions import arabic as ar
+from rulelens.plans.joins import large_join
 from rulelens.sources.rules import Rules, Table
 from rulelens.sources.sequences import PAUSE, SEQUENCES_SQL, read_sentences
 
@@ -137,7 +138,7 @@ def pauses_before(pieces: DataFrame, tokens: DataFrame, keys: list[str]) -> Data
     p = pieces.withColumn("_pause", F.col("surface").rlike("^[ۖۗۘۙۚۛۜ۝۞،؛.؟!]+$"))
     p = p.withColumn("nth", F.sum((~F.col("_pause")).cast("long")).over(upto) - 1).withColumnRenamed("pos", "at")
     t = tokens.withColumn("nth", (F.row_number().over(by) - 1).cast("long")).select(*keys, "nth", F.col("pos").alias("token_pos"), F.col("surface").alias("token"))
-    side = p.join(t, [*keys, "nth"], "left").withColumn("_same", ~F.col("_pause") & F.coalesce(F.col("surface") == F.col("token"), F.lit(False)))
+    side = large_join(p, t, [*keys, "nth"], "left").withColumn("_same", ~F.col("_pause") & F.coalesce(F.col("surface") == F.col("token"), F.lit(False)))
     order = Window.partitionBy(*keys).orderBy("at")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     last = lambda c: F.coalesce(F.max(F.when(c, F.col("at"))).over(earlier), F.lit(-1))

@@ -17,7 +17,7 @@ from rulelens.operators.graph import _EDGES, relations
 from rulelens.operators.morphology import M13_SQL, classes
 from rulelens.operators.references import D08, passes
 from rulelens.operators.segmenter import G11, segments
-from rulelens.plans.joins import checked_join
+from rulelens.plans.joins import checked_join, large_join
 from rulelens.plans.scratch import save
 from rulelens.sources.analysed import sentences
 from rulelens.sources.readings import READINGS_SQL, read_words
@@ -71,7 +71,7 @@ def _with_decisions(rows: DataFrame, toks: DataFrame, told: DataFrame, places: d
     known = checked_join(toks.select("sent", "pos", F.col("surface").alias("word")), told, ["word"], "inner")
     known = save(known.select("sent", "pos", F.struct("class", "proof", "segmentation", "needs_context", "ambiguous").alias("d")), "gate-decisions")
     for place, name in places.items():
-        rows = rows.join(known.select("sent", F.col("pos").alias(place), F.col("d").alias(name)), ["sent", place], "left")
+        rows = large_join(rows, known.select("sent", F.col("pos").alias(place), F.col("d").alias(name)), ["sent", place], "left")
     return rows
 
 
@@ -184,8 +184,8 @@ def replace_edges(edges: DataFrame, added: DataFrame, keys: list[str], precedenc
     spark = edges.sparkSession
     order = spark.createDataFrame(list(precedence), "winner string, name string")
     losers = added.select(*keys, F.col("name").alias("winner")).join(F.broadcast(order), "winner").select(*keys, "name").distinct()
-    kept = edges.join(losers, [*keys, "name"], "left_anti")
-    new = added.join(kept.select(*keys, "name", "target").distinct(), [*keys, "name", "target"], "left_anti")
+    kept = large_join(edges, losers, [*keys, "name"], "left_anti")
+    new = large_join(added, kept.select(*keys, "name", "target").distinct(), [*keys, "name", "target"], "left_anti")
     return kept.unionByName(new.select(*edges.columns))
 
 
@@ -230,7 +230,7 @@ def w27_implicit_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     toks = sentences(spark, sf_dir)
     named = relations(toks, spark).where("name = 'agent_of' and proof <> 'Zero'").select("sent", F.col("target").alias("pos")).distinct()
-    verbs = toks.where("class = 'VERB'").select("sent", "pos", F.col("surface").alias("word")).join(named, ["sent", "pos"], "left_anti")
+    verbs = large_join(toks.where("class = 'VERB'").select("sent", "pos", F.col("surface").alias("word")), named, ["sent", "pos"], "left_anti")
     told = save(implicit_agents(toks.select(F.col("surface").alias("word"))), "implicit-agents")
     j = checked_join(verbs, told, ["word"])
     return j.select("sent", "pos", "pronoun", "person", "number", "gender", F.when(F.col("pronoun").isNull(), "Zero").otherwise("Hypothesis").alias("proof"))

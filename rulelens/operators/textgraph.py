@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rulelens.operators.clauses import G40, clauses
 from rulelens.operators.graph import _GRAPH, graph
+from rulelens.plans.joins import large_join
 from rulelens.plans.scratch import save
 from rulelens.sources.analysed import sentences
 from rulelens.sources.sequences import SEQUENCES_SQL, read_sentences
@@ -50,8 +51,8 @@ class TextGraph:
         reached = save(seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("step")).distinct(), "graph-reached")
         front = reached
         for step in range(1, steps + 1):
-            found = front.select("seed", "node").join(links, "node").select("seed", F.col("other").alias("node")).distinct()
-            front = save(found.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("step", F.lit(step)), "graph-front")
+            found = large_join(front.select("seed", "node"), links, ["node"]).select("seed", F.col("other").alias("node")).distinct()
+            front = save(large_join(found, reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("step", F.lit(step)), "graph-front")
             if front.isEmpty():
                 break
             reached = reached.unionByName(front)
@@ -66,9 +67,9 @@ def assembled(tokens: DataFrame, spans: DataFrame, keys: list[str]) -> tuple[Dat
     """
     at = F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("-")) for k in keys])
     clause = F.concat(at, F.lit("/c"), F.col("clause").cast("string"))
-    held = tokens.select(*keys, "pos", "surface").join(spans.select(*keys, "clause", "start", "end"), [*keys], "left")
+    held = large_join(tokens.select(*keys, "pos", "surface"), spans.select(*keys, "clause", "start", "end"), keys, "left")
     inside = held.where("pos BETWEEN start AND end").select(*keys, "pos", "surface", "clause")
-    free = tokens.select(*keys, "pos", "surface").join(inside.select(*keys, "pos"), [*keys, "pos"], "left_anti").withColumn("clause", F.lit(None).cast("int"))
+    free = large_join(tokens.select(*keys, "pos", "surface"), inside.select(*keys, "pos"), [*keys, "pos"], "left_anti").withColumn("clause", F.lit(None).cast("int"))
     t = inside.unionByName(free)
     token = F.concat(at, F.lit("/c"), F.coalesce(F.col("clause").cast("string"), F.lit("m")), F.lit("_t"), F.col("pos").cast("string"))
     nodes = t.select(token.alias("id"), F.lit("token").alias("type"), F.col("surface").alias("label")).unionByName(spans.select(clause.alias("id"), F.col("type"), F.col("head_token").alias("label")))

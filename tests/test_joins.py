@@ -31,3 +31,23 @@ def test_large_join_is_merged(spark):
     joined = large_join(spark.range(200).withColumnRenamed("id", "sent"), a, ["sent"], "left")
     assert "BroadcastHashJoin" not in plan(joined)
     assert joined.where("v = 1").count() == 100 and joined.count() == 200
+
+
+def test_joins_of_tokens_send_no_side_to_all_tasks(spark):
+    """Graph, gate, clause and text graph joins over written tables; only tables of rules may be sent."""
+    from rulelens.operators.clauses import condition_edges
+    from rulelens.operators.gates import replace_edges
+    from rulelens.operators.graph import events
+    from rulelens.operators.textgraph import assembled
+
+    toks = save(spark.createDataFrame([(1, 0, "قَالَ", "قال", "VERB", None, None, "M", "SG", "past"), (1, 1, "رَجُلٌ", "رجل", "NOUN", "NOM", False, "M", "SG", None)], "sent long, pos int, surface string, lemma string, class string, gcase string, definite boolean, gender string, number string, tense string"), "test-toks")
+    found = save(spark.createDataFrame([(1, "agent_of", 1, 0, "رَجُلٌ", "Certificate")], "sent long, name string, source int, target int, surface string, proof string"), "test-edges")
+    ev = events(toks, spark, found)
+    assert "BroadcastHashJoin" not in plan(ev) and [r.agent_of for r in ev.collect()] == ["رَجُلٌ"]
+    spans = save(spark.createDataFrame([(1, 0, 0, 1, "A2", None, "x", "if", "t"), (1, 1, 2, 3, "A3a", 0, "fa", "fa", "t")], "sent long, clause int, start int, end int, rule string, parent int, introduced_by string, head_token string, type string"), "test-spans")
+    nodes, edges = assembled(toks, spans, ["sent"])
+    assert "BroadcastHashJoin" not in plan(nodes) + plan(edges)
+    pairs = condition_edges(toks, spans, spark.createDataFrame([("رَجُلٌ",)], "word string"), ["sent"])
+    assert plan(pairs).count("BroadcastHashJoin") <= 1 and pairs.count() == 2  # the list of verbs may be sent
+    kept = replace_edges(found.drop("surface"), found.drop("surface"), ["sent", "source"])
+    assert plan(kept).count("SortMergeJoin") >= 2 and kept.count() == 1
