@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rulelens.operators.mining import is_heading, page_claims
@@ -15,10 +15,17 @@ from rulelens.sources.rules import Table
 LEVELS = (20, 40)
 #: Examples by type: a pattern with the example as its group. Fixed values.
 EXAMPLES = Table("example_rules", "type pattern", "string string", (("exclaimed", r"([^.!?|]+)!"), ("numbered", r"([0-9]+ [^.!?|]+)"), ("listed", r"\| ([^|]+) \|"), ("bracketed", r"\(([^()]{3,})\)"), ("quoted", r"«([^»]+)»")))
+#: The same matches for an engine with lookbehind: a run that may be exclaimed is tried at its start only, not again at each of its letters.
+AT_STARTS = {r"([^.!?|]+)!": r"(?<![^.!?|])([^.!?|]++)!"}
 #: Pages behind a rule's page on which its examples may stand.
 REACH = 2
 
 
+def _matches(pattern: str) -> Column:
+    """All matches of an example pattern on a page."""
+    return F.regexp_extract_all("raw", F.lit(AT_STARTS.get(pattern, pattern)), F.lit(1))
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row, doc_id, page, raw): each line of a document is a page. Rows that share an id, or have none, stay apart by ``row``."""
     docs = spread(table(spark, sf_dir, "documents")).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("l"))
@@ -63,7 +70,7 @@ def j20_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = F.array_distinct(F.transform(page_claims(F.col("raw")), lambda c: c["type"]))
     rules = save(p.select("row", "doc_id", F.col("page").alias("first_page"), (F.col("page") + REACH).alias("last_page"), F.explode(types).alias("rule")), "coverage-rules")
     as_row = lambda kind: lambda x, i: F.struct(F.lit(kind).alias("type"), i.cast("int").alias("nth"), F.trim(x).alias("text"))
-    found = [F.transform(F.regexp_extract_all("raw", F.lit(pattern), F.lit(1)), as_row(kind)) for kind, pattern in EXAMPLES.rows]
+    found = [F.transform(_matches(pattern), as_row(kind)) for kind, pattern in EXAMPLES.rows]
     examples = p.select("row", "page", F.inline(F.concat(*found))).where("text <> ''")
     j = interval_join(examples, rules, ["row"], "page", "first_page", "last_page")
     return j.select("doc_id", "rule", "first_page", "page", "type", "nth", F.md5("text").alias("text_md5"))
@@ -74,7 +81,7 @@ def a11_table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pages(spark, sf_dir)
     one = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
     claims = p.select(F.explode(page_claims(F.col("raw"))).alias("c"))
-    found = p.select(F.explode(F.concat(*[F.regexp_extract_all("raw", F.lit(x), F.lit(1)) for _, x in EXAMPLES.rows])).alias("x")).where("trim(x) <> ''")
+    found = p.select(F.explode(F.concat(*[_matches(x) for _, x in EXAMPLES.rows])).alias("x")).where("trim(x) <> ''")
     return one("pages", p).unionByName(one("topics", nested_topics(p))).unionByName(one("claims", claims)).unionByName(one("examples", found))
 
 
