@@ -51,3 +51,44 @@ def test_joins_of_tokens_send_no_side_to_all_tasks(spark):
     assert plan(pairs).count("BroadcastHashJoin") <= 1 and pairs.count() == 2  # the list of verbs may be sent
     kept = replace_edges(found.drop("surface"), found.drop("surface"), ["sent", "source"])
     assert plan(kept).count("SortMergeJoin") >= 2 and kept.count() == 1
+
+
+def test_tokens_meet_their_forms_without_a_shuffle_by_token(spark, tmp_path):
+    """Sorting tokens beside a salted vocabulary took most of the time of all queries on analysed tokens."""
+    from rulelens.sources import analysed, readings, sequences
+
+    rows = [(1, "en", "a", "Alpha, beta gamma. of... O'Neil (x) 7-8"), (None, "en", "a", "beta, beta"), (3, "en", "a", None)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    toks = analysed.sentences(spark, str(tmp_path))
+    shuffles = [x for x in plan(toks).split("\n") if "Exchange" in x and "Broadcast" not in x and "hashpartitioning" in x]
+    assert len(shuffles) == 1 and "hashpartitioning(sent" in shuffles[0]
+    word = {r.id[1:]: r.word for r in readings.readings(spark.createDataFrame([(t,) for t in ("alpha", "beta", "gamma", "of", "o'neil", "x", "7-8")], "token string")).collect()}
+    first = [r.surface for r in toks.where("sent >> 24 = 1").orderBy("sent", "pos").collect()]
+    assert first == [word[t] for t in ("alpha", "beta", "gamma", "of", "o'neil", "x", "7-8")] and toks.count() == 9
+    assert {r.id[1:] for r in readings.read_words(spark, str(tmp_path)).collect()} == set(word)
+    pieces = [r.surface for r in sequences.read_sentences(spark, str(tmp_path)).where("doc_id is null").orderBy("pos").collect()]
+    assert pieces == [word["beta"], sequences.PAUSE, word["beta"]]
+
+
+def test_forms_are_the_readings_of_their_digests(spark):
+    import hashlib
+
+    from rulelens.sources import readings
+
+    tokens = [f"w{k}" for k in range(500)] + ["", "ß", "été", "ΑΣ"]
+    told = {r.id[1:]: (r.kind, r.word) for r in readings.readings(spark.createDataFrame([(t,) for t in tokens], "token string")).collect()}
+    codes = {r.code: (r.kind, r.word) for r in readings.forms(spark).collect()}
+    for t in tokens:
+        d = hashlib.md5(t.encode()).hexdigest()
+        nr = int(d[:7], 16) % len(readings.STEMS.rows)
+        kind = readings.STEMS.rows[nr][1]
+        slot = int(d[8:12], 16) % readings._N_BEFORE[kind]
+        place = int(d[12:16], 16) % readings._N_ENDINGS[readings._BEFORE[kind][slot][1]]
+        assert told[t] == codes[nr * 10_000 + slot * 100 + place] and told[t][0] == kind
+
+
+def test_one_order_serves_all_windows_of_roles(spark):
+    from rulelens.operators.graph import _edges
+
+    toks = save(spark.createDataFrame([(1, 0, "x", "x", "VERB", None, None, "M", "SG", "past")], "sent long, pos int, surface string, lemma string, class string, gcase string, definite boolean, gender string, number string, tense string"), "test-order")
+    assert plan(_edges(toks, spark)).count("Sort [") == 1
