@@ -92,3 +92,25 @@ def test_one_order_serves_all_windows_of_roles(spark):
 
     toks = save(spark.createDataFrame([(1, 0, "x", "x", "VERB", None, None, "M", "SG", "past")], "sent long, pos int, surface string, lemma string, class string, gcase string, definite boolean, gender string, number string, tense string"), "test-order")
     assert plan(_edges(toks, spark)).count("Sort [") == 1
+
+
+@pytest.mark.parametrize("name", ["d05_modals", "d01_clause_acts"])
+def test_texts_are_cut_and_hits_sought_once(spark, tmp_path, name):
+    """A column that is unfolded after it was made is worked out again in the filter that Spark derives from it."""
+    from rulelens import catalog
+
+    spark.createDataFrame([(1, "en", "a", "It is to be. That is, if it is not to be and may be")], "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = catalog.queries()[name](spark, str(tmp_path))
+    assert plan(df).count("regexp_extract_all(") == 1 and "size(" not in "".join(x for x in plan(df).split("\n") if "Filter" in x)
+    assert df.count() > 0
+
+
+def test_vocabulary_is_that_of_the_tokens(spark, tmp_path):
+    from rulelens.operators.tokens import document_tokens
+    from rulelens.sources.readings import vocabulary
+
+    texts = ["a.b A.B !? ...", "(Ωd) ΑΣ. ΑΣ.Β ΑΣ,Β -- x-y- 'z'  q  İI", "tab\tvt\x0bff\x0ccr\rnl\nend", "", None, "ß.ẞ é́. 1,5 3.14 --a--b--"]
+    spark.createDataFrame([(k, "en", "a", t) for k, t in enumerate(texts)], "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {t for r in document_tokens(spark, str(tmp_path)).collect() for s in r.sents for t in s}
+    told = [r.token for r in vocabulary(spark, str(tmp_path)).collect()]
+    assert set(told) == want and len(told) == len(want)
