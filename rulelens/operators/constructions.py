@@ -102,7 +102,9 @@ def d05_modals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def phrases(toks: Column) -> Column:
         modal = lambda p: labelled(p, F.col("lang"), [(phrase, lang, phrase) for phrase, lang, _ in MODALS.rows])
-        return indexed(toks, lambda t, i: F.coalesce(modal(F.concat_ws(" ", t, at(toks, i + 1))), modal(t)), lambda p: p.isNotNull())
+        # Few words open a modal; only those are looked up with the next one.
+        opens = sorted({phrase.split(" ")[0] for phrase, _, _ in MODALS.rows})
+        return indexed(toks, lambda t, i: F.when(t.isin(opens), F.coalesce(modal(F.concat_ws(" ", t, at(toks, i + 1))), modal(t))), lambda p: p.isNotNull())
 
     each = counted_once(F.flatten(F.transform("sents", phrases)), lambda p, n: F.struct(p.alias("phrase"), n.cast("long").alias("n")))
     summed = found(document_tokens(spark, sf_dir), each, "lang").groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
