@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rulelens.functions import arabic as ar
+from rulelens.functions.arrays import let
 from rulelens.plans.joins import large_join
 from rulelens.sources.rules import Rules, Table
-from rulelens.sources.sequences import PAUSE, SEQUENCES_SQL, read_sentences
+from rulelens.sources.sequences import PAUSE, SEQUENCES_SQL, read_pieces, read_sentences, sentence_rows
 
 #: Verbs of speaking by stripped form, with person, number and the type of speech they open. Fixed values.
 SPEECH_VERBS = Table("speech_verbs", "plain person number type", "string string string string", (
@@ -126,39 +127,47 @@ SELECT * FROM outer_ UNION ALL SELECT doc_id, sent, frame + 0.5, 'commanded_spee
 # -- realignment ------------------------------------------------------------------------------------------------------------
 
 
+def realigned(pieces: Column, tokens: Column) -> Column:
+    """(nth, surface) of the tokens that a pause stands before, as an array; ``pieces`` and ``tokens`` are arrays of surfaces.
+
+    Pieces that are pauses are no words. The k-th word lies beside the k-th token. Where they are the same, a pause since the
+    last place at which they were the same marks the token; where a tokeniser joined or cut words they differ, and the pause
+    is kept for the next place where they agree again. Null pieces are passed over.
+    """
+    known = F.filter(pieces, lambda x: x.isNotNull())
+    placed = F.transform(known, lambda x, at: F.struct(x.alias("surface"), at.alias("at")))
+    words = F.filter(placed, lambda x: ~x["surface"].rlike("^[ۖۗۘۙۚۛۜ۝۞،؛.؟!]+$"))
+    # Before the k-th word stand k words; what else stands before it is pauses.
+    beside = lambda toks: F.transform(words, lambda w, k: F.struct(k.alias("nth"), (w["at"] - k).alias("pauses"), (w["surface"] == F.get(toks, k)).alias("same"), w["surface"].alias("surface")))
+    same = let(tokens, lambda toks: F.filter(beside(toks), lambda x: x["same"]))
+    marked = lambda xs: F.filter(F.transform(xs, lambda x, j: F.struct(x["nth"].alias("nth"), x["surface"].alias("surface"), (x["pauses"] > F.coalesce(F.get(xs, j - 1)["pauses"], F.lit(0))).alias("paused"))), lambda x: x["paused"])
+    return F.transform(let(same, marked), lambda x: F.struct(x["nth"].alias("nth"), x["surface"].alias("surface")))
+
+
 def pauses_before(pieces: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame:
     """``keys`` and pos of the tokens that a pause stands before, found by laying the text's pieces beside its tokens.
 
-    ``pieces`` and ``tokens`` have the keys, pos and surface; pieces that are pauses are no words. The k-th word lies beside
-    the k-th token. Where they are the same, a pause since the last place at which they were the same marks the token; where
-    a tokeniser joined or cut words they differ, and the pause is kept for the next place where they agree again.
+    ``pieces`` and ``tokens`` have the keys, pos and surface. Both are gathered by their keys once and laid side by side there.
     """
-    by = Window.partitionBy(*keys).orderBy("pos")
-    upto = by.rowsBetween(Window.unboundedPreceding, 0)
-    p = pieces.withColumn("_pause", F.col("surface").rlike("^[ۖۗۘۙۚۛۜ۝۞،؛.؟!]+$"))
-    p = p.withColumn("nth", F.sum((~F.col("_pause")).cast("long")).over(upto) - 1).withColumnRenamed("pos", "at")
-    t = tokens.withColumn("nth", (F.row_number().over(by) - 1).cast("long")).select(*keys, "nth", F.col("pos").alias("token_pos"), F.col("surface").alias("token"))
-    side = large_join(p, t, [*keys, "nth"], "left").withColumn("_same", ~F.col("_pause") & F.coalesce(F.col("surface") == F.col("token"), F.lit(False)))
-    order = Window.partitionBy(*keys).orderBy("at")
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    last = lambda c: F.coalesce(F.max(F.when(c, F.col("at"))).over(earlier), F.lit(-1))
-    side = side.withColumns({"_last_pause": last(F.col("_pause")), "_last_same": last(F.col("_same"))})
-    return side.where(F.col("_same") & (F.col("_last_pause") > F.col("_last_same"))).select(*keys, F.col("token_pos").alias("pos"), F.col("token").alias("surface"))
-
-
-def cut_tokens(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """A tokeniser that drops pauses and cuts "and" from words with the article."""
-    words = pieces.where(F.col("surface") != PAUSE)
-    parts = F.when(F.col("surface").startswith("وَال"), F.array(F.lit("وَ"), F.expr("substr(surface, 3)"))).otherwise(F.array("surface"))
-    cut = words.select(*keys, F.col("pos").alias("_at"), F.posexplode(parts).alias("_k", "surface"))
-    return cut.withColumn("pos", (F.row_number().over(Window.partitionBy(*keys).orderBy("_at", "_k")) - 1).cast("int")).drop("_at", "_k")
+    gathered = lambda df, name: df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "surface"))).alias(name))
+    both = large_join(gathered(pieces, "_pieces"), gathered(tokens, "_tokens"), keys)
+    found = both.select(*keys, "_tokens", F.inline(realigned(F.col("_pieces.surface"), F.col("_tokens.surface"))))
+    return found.select(*keys, F.get("_tokens", F.col("nth"))["pos"].alias("pos"), "surface")
+
+
+def cut_words(pieces: Column) -> Column:
+    """A tokeniser that drops pauses and cuts "and" from words with the article, on an array of surfaces."""
+    parts = lambda x: F.when(x.startswith("وَال"), F.array(F.lit("وَ"), F.substr(x, F.lit(3)))).otherwise(F.array(x))
+    return F.flatten(F.transform(F.filter(pieces, lambda x: x != PAUSE), parts))
 
 
 def w13_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tokens that a pause stands before, in every sentence, with tokens cut otherwise than the text's pieces."""
-    keys = ["row", "doc_id", "sent"]
-    pieces = read_sentences(spark, sf_dir).select(*keys, "pos", "surface")
-    return pauses_before(pieces, cut_tokens(pieces, keys), keys).drop("row")
+    """The tokens that a pause stands before, in every sentence, with tokens cut otherwise than the text's pieces.
+
+    A sentence's pieces stay in its row, so no token is written or shuffled.
+    """
+    hits = let(read_pieces(spark, F.col("s")), lambda x: realigned(x, cut_words(x)))
+    return sentence_rows(spark, sf_dir).select("doc_id", "sent", F.inline(hits)).withColumnRenamed("nth", "pos")
 
 
 W13 = f"""WITH {SEQUENCES_SQL}, words_ AS (SELECT * FROM seqs WHERE surface <> '{PAUSE}'),

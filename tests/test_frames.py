@@ -1,8 +1,10 @@
 """Frames of speech in stated sentences, and pauses found over two tokenisations."""
 
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from rulelens.functions.arabic import ordered
 from rulelens.operators import frames
@@ -75,3 +77,19 @@ def test_pauses_match_a_cursor(spark, seed):
     rows = lambda xs: spark.createDataFrame([(k, pos, w) for k, x in enumerate(xs) for pos, w in enumerate(x)], "sent int, pos int, surface string").repartition(3)
     got = {(r.sent, r.pos) for r in frames.pauses_before(rows(texts), rows(cut), ["sent"]).collect()}
     assert got == {(k, i) for k, (p, t) in enumerate(zip(texts, cut, strict=True)) for i in brute_pauses(p, t)} and got
+
+
+def test_pauses_of_documents_are_found_within_their_rows(spark, tmp_path):
+    """Five shuffles of all tokens filled the disk."""
+    spark.createDataFrame([(1, "a b, c: d; e, , f. g, h"), (None, ", x y"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = frames.w13_pauses(spark, str(tmp_path))
+    df.collect()
+    shown = df._jdf.queryExecution().executedPlan().toString()
+    assert not {"Window", "SortMergeJoin", "hashpartitioning"} & set(re.findall(r"\w+", shown))
+
+
+def test_a_cut_word_keeps_the_pause_for_the_next_agreement(spark):
+    df = spark.createDataFrame([(["a", "وَالب", "ۚ", "c", "d", None, "ۖ", "d"],), ([],), (["ۚ", "x"],)], "p array<string>")
+    got = [[tuple(x) for x in r.x] for r in df.select(frames.realigned(F.col("p"), frames.cut_words(F.col("p"))).alias("x")).collect()]
+    # The words a, wa-al-b, c, d, d lie beside the tokens a, wa, al-b, c, d, d.
+    assert got == [[(4, "d")], [], [(0, "x")]]
