@@ -110,3 +110,23 @@ def test_normalize_names_its_steps(spark):
     df = spark.createDataFrame([("آمَن",), (None,), ("",), ("رَحْمَـــة",)], "w string")
     got = ar.normalize(df, "w").collect()
     assert got[0].applied == ["madda"] and got[1].normalized is None and got[2].applied == [] and got[3].applied == ["tatweel"]
+
+
+def test_a_graph_is_dealt_once_by_sentence_and_once_by_document(spark):
+    """Edges, events and nodes were written and joined by their names; the joins' shuffles filled the disk."""
+    from rulelens import catalog
+
+    for name in ("d30_graph_edges", "a29_graph_stats"):
+        shown = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        dealt = [x for x in shown.split("\n") if "Exchange hashpartitioning" in x and "type#" not in x]
+        assert len(dealt) == 2 and "SortMergeJoin" not in shown
+        assert shown.count("Sort [") == 2  # tokens are sorted as three numbers
+
+
+def test_resolutions_count_nouns_of_the_sentence_before_only(spark):
+    noun, pron = ("NOUN", "M", "SG"), ("PRON", "M", "SG")
+    doc = 1 << 24
+    rows = [(doc + 1, 0, "b", *noun), (doc + 1, 5, "c", *noun), (doc + 2, 1, "d", *noun), (doc + 3, 0, "y", *pron), (doc + 3, 1, "e", *noun), (doc + 3, 2, "z", *pron)]
+    t = spark.createDataFrame(rows, "sent long, pos int, surface string, class string, gender string, number string")
+    got = {r.surface: (r.target, r.candidates) for r in graph.resolutions(t.repartition(3)).collect()}
+    assert got == {"y": ("d", 1), "z": ("e", 2)}
