@@ -7,6 +7,8 @@ that neither a long walk nor a lost executor starts anything anew.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from rulelens.operators.clauses import G40, clauses
 from rulelens.operators.graph import _GRAPH, graph
 from rulelens.plans.joins import large_join
 from rulelens.plans.scratch import save
-from rulelens.sources.analysed import sentences
+from rulelens.sources.analysed import Analysed
 from rulelens.sources.sequences import SEQUENCES_SQL, read_sentences
 
 
@@ -23,8 +25,15 @@ class TextGraph:
 
     def __init__(self, nodes: DataFrame, edges: DataFrame):
         self.nodes, self.edges = nodes, edges
-        both = edges.select(F.col("source").alias("node"), F.col("target").alias("other"), "type", F.lit("out").alias("way")).unionByName(edges.select(F.col("target").alias("node"), F.col("source").alias("other"), "type", F.lit("in").alias("way")))
-        self.adjacency = save(both.repartition("node").sortWithinPartitions("node"), "graph-adjacency")
+
+    def _both(self, edges: DataFrame) -> DataFrame:
+        """Each edge as seen from both of its ends."""
+        ends = F.array(F.struct(F.col("source").alias("node"), F.col("target").alias("other"), F.lit("out").alias("way")), F.struct(F.col("target").alias("node"), F.col("source").alias("other"), F.lit("in").alias("way")))
+        return edges.select("type", F.inline(ends)).select("node", "other", "type", "way")
+
+    @cached_property
+    def adjacency(self) -> DataFrame:
+        return save(self._both(self.edges).repartition("node").sortWithinPartitions("node"), "graph-adjacency")
 
     def node(self, ids: list[str]) -> DataFrame:
         return self.nodes.where(F.col("id").isin(ids))
@@ -44,10 +53,9 @@ class TextGraph:
         """(seed, node, step): every node that is reached from each of the ``seeds`` (id) in so many steps at most, by its least step.
 
         Edges are walked both ways; ``types`` restricts them. A step joins only the nodes that the step before reached
-        first. Edges to nodes that aren't there are walked too: the graph says what it says.
+        first. Edges to nodes that aren't there are walked too: the graph says what it says. Edges should be a written table.
         """
-        links = self.adjacency.where(F.col("type").isin(*types)) if types else self.adjacency
-        links = links.select("node", "other").distinct()
+        links = self._both(self.edges.where(F.col("type").isin(*types)) if types else self.edges).select("node", "other")
         reached = save(seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("step")).distinct(), "graph-reached")
         front = reached
         for step in range(1, steps + 1):
@@ -90,8 +98,8 @@ def d14_text_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def d13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What two steps reach from every event of saying, over the meaning graph's edges."""
-    nodes, edges = graph(sentences(spark, sf_dir), spark)
-    g = TextGraph(nodes, edges.select("source", "target", "type"))
+    nodes, edges = graph(Analysed(spark, sf_dir), spark)
+    g = TextGraph(nodes, save(edges.select("source", "target", "type"), "graph-edges"))
     return g.walk(save(nodes.where("type = 'event' and label = 'قال'").select("id"), "graph-seeds"), 2)
 
 
