@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rulelens.functions import arabic as ar
 from rulelens.operators.alignment import ALIGNED_SQL, best_alignment
-from rulelens.operators.graph import _EDGES, relations
+from rulelens.operators.graph import _EDGES, relations, walked
 from rulelens.operators.morphology import M13_SQL, classes
-from rulelens.operators.references import D08, passes
+from rulelens.operators.references import D08, passed
 from rulelens.operators.segmenter import G11, segments
 from rulelens.plans.joins import checked_join, large_join
 from rulelens.plans.scratch import save
@@ -189,12 +189,29 @@ def replace_edges(edges: DataFrame, added: DataFrame, keys: list[str], precedenc
     return kept.unionByName(new.select(*edges.columns))
 
 
+def replaced_edges(toks: DataFrame, spark: SparkSession, precedence: tuple[tuple[str, str], ...] = PRECEDENCE) -> DataFrame:
+    """(sent, name, source, target, distance, proof): what ``replace_edges`` makes of the walk's edges and those of the later passes.
+
+    All edges of a sentence are found and compared where its tokens are, so tokens dealt by sentence are not shuffled again.
+    """
+    columns = ["name", "source", "target", "distance", "proof"]
+    one = F.struct("name", F.col("pos").alias("source"), "target", "distance", "proof", F.lit(False).alias("added"))
+    later = F.transform(F.coalesce("passed", F.array()), lambda x: F.struct(*[x[c].alias(c) for c in columns], F.lit(True).alias("added")))
+    every = F.concat(F.when(F.col("name").isNotNull(), F.array(one)).otherwise(F.array()), later)
+    edges = walked(passed(toks), spark).select("sent", F.inline(every))
+    # Both windows go by one order: what the walk found stands before what a pass added.
+    of_source = Window.partitionBy("sent", "source").orderBy("name", "target", "added").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    same = Window.partitionBy("sent", "source", "name", "target").orderBy("added").rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.withColumn("_added", F.collect_set(F.when(F.col("added"), F.col("name"))).over(of_source))
+    loses = reduce(lambda a, b: a | b, [(F.col("name") == name) & F.array_contains("_added", winner) for winner, name in precedence], F.lit(False))
+    edges = edges.withColumn("_stays", F.col("added") | ~loses)
+    told = F.count(F.when(F.col("_stays"), 1)).over(same)
+    return edges.withColumn("_told", told).where("_stays and (not added or _told = 0)").select("sent", *columns)
+
+
 def u04_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The relations of the walk with those of the later passes, which replace what they know better."""
-    toks = sentences(spark, sf_dir)
-    columns = ["sent", "name", "source", "target", "distance", "proof"]
-    walked, later = save(relations(toks, spark).select(*columns), "edges-walked"), save(passes(toks).select(*columns).distinct(), "edges-passes")
-    return replace_edges(walked, later, ["sent", "source"]).select("sent", "name", "source", "target", "proof")
+    return replaced_edges(sentences(spark, sf_dir), spark).select("sent", "name", "source", "target", "proof")
 
 
 #: Who acts where no word says so, by the letter before a present verb or the ending of a past one; longer endings first (L8). Fixed values.

@@ -71,3 +71,18 @@ def test_claims_are_certified_by_segments(spark):
     assert not ok("كَتَبَ", "KAF_TASHBIH")[0]
     # A whole word without its exact form is looked up without marks.
     assert {m for x, m in got if x == "مَن"} == {"MIN_IBTIDA", "MAN_SHART"} and {m for x, m in got if x == ordered("إِنْ")} == {"IN_SHART"}
+
+
+def test_edges_of_a_pass_are_replaced_as_tables_are(spark):
+    """Edges were written twice and dealt three times to be compared."""
+    from rulelens.operators.graph import relations
+    from rulelens.operators.references import passes
+    from rulelens.sources.analysed import sentences
+
+    toks = sentences(spark, "/root/testdata/sf0.001")
+    columns = ["sent", "name", "source", "target", "distance", "proof"]
+    want = gates.replace_edges(relations(toks, spark).select(*columns), passes(toks).select(*columns).distinct(), ["sent", "source"]).select(*columns)
+    got = gates.replaced_edges(toks, spark)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and not got.isEmpty()
+    shown = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in shown and shown.count("Exchange hashpartitioning") == 1
